@@ -5,12 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import packing, spans, tokens
+from quillon.llm import canonical, packing, spans, tokens
 from quillon.session import cut, table
 
 CAPACITY = 2_048
 
 
+def _lists(spark: SparkSession, d: str) -> dict:
+    return {
+        "current_title": (canonical.read_list(table(spark, d, "title_ref"), "title_id", "title"), canonical.TITLES),
+        "current_company": (canonical.read_list(table(spark, d, "organization"), "organization_id", "canonical_name"), canonical.COMPANIES),
+        "location": (canonical.read_list(table(spark, d, "place_ref"), "place_id", "name", "country"), canonical.PLACES),
+    }
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "observation").filter("content_type = 'profile_snapshot'")
+    return canonical.map_profiles(o, "observation_id", "raw_json", _lists(spark, d))
+
+
+def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The values without an entry, by field."""
+    return p3_found(spark, d).groupBy("field").agg(F.count("*").alias("rows"), F.sum((F.col("ref_id") == "").cast("bigint")).alias("unmatched"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -50,5 +68,5 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (p8_ids, p9_packed, p9_containers, p10_found, p10_shared)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_unmatched, p8_ids, p9_packed, p9_containers, p10_found, p10_shared)}
 SQL: dict[str, str] = {}
