@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import canonical, packing, spans, tokens
-from quillon.session import cut, table
+from quillon.llm import canonical, names, packing, spans, tokens
+from quillon.session import broadcast_if_small, cut, table
 
 CAPACITY = 2_048
 
@@ -29,6 +29,22 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return p3_found(spark, d).groupBy("field").agg(F.count("*").alias("rows"), F.sum((F.col("ref_id") == "").cast("bigint")).alias("unmatched"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "observation").select("observation_id", "subject_hint").filter("subject_hint is not null")
+    people = table(spark, d, "watchlist").groupBy("canonical_name").agg(F.min("person_id").alias("person_id"), F.count("*").alias("n")).filter("n = 1")
+    linked = names.link(o.select(F.col("subject_hint").alias("name")), people.select(F.col("canonical_name").alias("name")))
+    linked = linked.filter("name <> center").join(people, F.col("center") == F.col("canonical_name")).select(F.col("name").alias("subject_hint"), "person_id")
+    return o.join(broadcast_if_small(cut(linked)), "subject_hint").select("observation_id", "person_id")
+
+
+def p7_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The spelling of each er_candidate linked to a live person's name."""
+    c = table(spark, d, "er_candidate").select("candidate_id", "name")
+    people = table(spark, d, "person").filter("merged_into_id is null").select(F.col("canonical_name").alias("name"))
+    linked = names.link(c, people, least=0.45, rows=3)
+    return c.join(linked, "name").select("candidate_id", F.col("center").alias("canonical_name"), F.round("similarity", 4).alias("similarity"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -68,5 +84,5 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_unmatched, p8_ids, p9_packed, p9_containers, p10_found, p10_shared)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_unmatched, p7_found, p7_candidates, p8_ids, p9_packed, p9_containers, p10_found, p10_shared)}
 SQL: dict[str, str] = {}
