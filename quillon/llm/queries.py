@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import canonical, names, packing, spans, tokens
+from quillon.llm import canonical, names, packing, people, spans, tokens
 from quillon.session import broadcast_if_small, cut, table
 
 CAPACITY = 2_048
@@ -29,6 +29,15 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return p3_found(spark, d).groupBy("field").agg(F.count("*").alias("rows"), F.sum((F.col("ref_id") == "").cast("bigint")).alias("unmatched"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return people.best(people.matches(spark, d)).select("candidate_id", "person_id")
+
+
+def p4_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """The match of each candidate with its confidence and what agrees."""
+    return people.best(people.matches(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "observation").select("observation_id", "subject_hint").filter("subject_hint is not null")
     people = table(spark, d, "watchlist").groupBy("canonical_name").agg(F.min("person_id").alias("person_id"), F.count("*").alias("n")).filter("n = 1")
@@ -84,5 +93,5 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_unmatched, p7_found, p7_candidates, p8_ids, p9_packed, p9_containers, p10_found, p10_shared)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_unmatched, p4_found, p4_confidence, p7_found, p7_candidates, p8_ids, p9_packed, p9_containers, p10_found, p10_shared)}
 SQL: dict[str, str] = {}
