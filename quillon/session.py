@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,28 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over as many tasks as a shuffle has partitions, for costly work on few bytes.
+
+    Without it the optimizer merges small partitions by their bytes and one task would do all the work.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for clusters that don't have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_quillon_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = f"{tempfile.mkdtemp(prefix='quillon-')}/quillon_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(archive)
+    context._quillon_shipped = True
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when a count proves at most ``rows`` rows, else leave the choice to the optimizer.
 
