@@ -14,10 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.session import broadcast_if_small, cut
+from quillon.session import broadcast_if_small, cut, spread
 
 #: The hashed table of token vectors.
-BUCKETS, DIMENSIONS = 1 << 15, 32
+BUCKETS, DIMENSIONS = 1 << 15, 64
 #: Walk length in tokens, walks from each record, negatives per pair, passes and shards of the training.
 WALK, WALKS, NEGATIVES, PASSES, SHARDS = 5, 4, 4, 2, 24
 WINDOW, RATE = 3, 0.05
@@ -136,7 +136,30 @@ def fit(walk_rows: DataFrame, shards: int = SHARDS, passes: int = PASSES, seed:
             vectors[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = both[:, :DIMENSIONS]
             contexts[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = both[:, DIMENSIONS:]
         start.unpersist()
-    return vectors
+    return spread_out(vectors, data)
+
+
+#: Directions that all frequent tokens share and that tell no records apart; taken out of the vectors.
+COMMON = 3
+
+
+def spread_out(vectors, walk_rows: DataFrame):
+    """Unit vectors without their common direction: the mean and the first COMMON components, weighted by occurrence.
+
+    Skip-gram vectors of frequent tokens crowd into a narrow cone, where every hyperplane leaves all on one side.
+    Occurrences are counted over all walks; there are at most BUCKETS of them.
+    """
+    import numpy as np
+
+    counts = np.full(BUCKETS, 1e-3)
+    for r in walk_rows.select(F.explode("walk").alias("b")).groupBy("b").count().collect():
+        counts[r["b"]] = r["count"]
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    v = unit(vectors.astype(np.float64))
+    v -= (v * counts[:, None]).sum(0) / counts.sum()
+    _, axes = np.linalg.eigh((v * counts[:, None]).T @ v)
+    top = axes[:, -COMMON:]
+    return unit(v - (v @ top) @ top.T).astype(np.float32)
 
 
 def _seeded(bits: int, tables: int, seed: int):
@@ -173,7 +196,7 @@ def hashed(views: DataFrame, table, bits: dict[str, int], tables: dict[str, int]
                     keys[i] = row
             yield pd.DataFrame({"record": batch["record"], "view": batch["view"], "vector": list(vectors), "keys": keys})
 
-    return views.mapInPandas(run, "record string, view string, vector array<float>, keys array<bigint>")
+    return spread(views, "record").mapInPandas(run, "record string, view string, vector array<float>, keys array<bigint>")
 
 
 def blocked(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -225,7 +248,7 @@ class Matcher:
         n = self.right.select("record").distinct().count()
         document = edges.groupBy("token").agg(F.count("*").alias("df"))
         self.weights = cut(document.select("token", F.log(F.lit(2.0 + n) / F.col("df")).alias("idf")))
-        loose = max(8, n.bit_length() - 2)
+        loose = max(8, n.bit_length() - 1)
         self.bits = {name: (24 if v.exact else loose) for name, v in views.items()}
         self.tables = {name: (1 if v.exact else TABLES) for name, v in views.items()}
         self.views = views
@@ -253,7 +276,7 @@ class Matcher:
 def rerank(pairs: DataFrame, left: DataFrame, right: DataFrame, rule: Callable, schema: str) -> DataFrame:
     """Rows ``rule(left value, right value)`` gives for blocked pairs; sides are (record, payload string)."""
     l_, r_ = left.select(F.col("record").alias("left_record"), F.col("payload").alias("l")), right.select(F.col("record").alias("right_record"), F.col("payload").alias("r"))
-    joined = pairs.join(broadcast_if_small(l_, 50_000), "left_record").join(broadcast_if_small(r_, 50_000), "right_record")
+    joined = spread(pairs, "left_record", "right_record").join(broadcast_if_small(l_, 50_000), "left_record").join(broadcast_if_small(r_, 50_000), "right_record")
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.spelling import looks, plain, spaced, word_distance
-from quillon.session import broadcast_if_small, cut
+from quillon.session import broadcast_if_small, cut, spread
 
 Q = 3
 #: Jaccard similarity of q-gram sets that a true variant has at least (an initial for the first name and a typing
@@ -66,7 +66,7 @@ def grams(name: str, q: int = Q) -> set[str]:
     return {p[i : i + q] for w in parts(name) for p in [pad + looks(w) + pad] for i in range(len(p) - q + 1)}
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=100_000)
 def word_similarity(a: str, b: str) -> float:
     """1 for equal words, less for familiar forms, initials and typing errors, 0 for different words."""
     if a == b:
@@ -90,7 +90,6 @@ def _monge_elkan(of: tuple[str, ...], to: tuple[str, ...]) -> float:
     return sum(n * max((word_similarity(w, v) for v in to), default=0.0) for n, w in zip(weight, of)) / sum(weight)
 
 
-@lru_cache(maxsize=500_000)
 def similarity(a: str, b: str) -> float:
     """Symmetric Monge-Elkan similarity of two names; the lesser side where both last names must agree.
 
@@ -104,19 +103,21 @@ def similarity(a: str, b: str) -> float:
         return 1.0
     run = 0.0
     # A lost blank joins two words, a stray one parts a word: the letters in order then tell.
-    if len(x) != len(y):
-        d = word_distance("".join(x), "".join(y))
-        run = 1.0 - 0.05 * d if d <= 2 and min(len("".join(x)), len("".join(y))) >= 6 else 0.0
+    if len(x) != len(y) and min(len(jx := "".join(x)), len(jy := "".join(y))) >= 6 and abs(len(jx) - len(jy)) <= 2:
+        d = word_distance(jx, jy)
+        run = 1.0 - 0.05 * d if d <= 2 else 0.0
     full = lambda n: [w for w in n if len(w) > 1 and w not in PARTICLES]
     fx, fy = full(x), full(y)
     if not fx or not fy:
         return run
     # Every full word must find its partner, save a middle initial or particle: the family name can't be left out.
+    if not any(word_similarity(v, w) >= 0.75 for v in fx for w in fy):
+        return run
     main = lambda n, m: tuple(w for w in n if len(w) > 1 and w not in PARTICLES or len(n) <= 2 or max(word_similarity(w, v) for v in m) > 0)
     mx, my = main(x, y), main(y, x)
     if len(mx) < 2 or len(my) < 2:
         return run
-    strongest = max(word_similarity(v, w) for v in fx for w in fy if min(len(v), len(w)) >= 3) if any(min(len(v), len(w)) >= 3 for v in fx for w in fy) else 0.0
+    strongest = max((word_similarity(v, w) for v in fx for w in fy if min(len(v), len(w)) >= 3), default=0.0)
     if strongest < 0.75 or not _paired(mx, my):
         return run
     return max(run, min(_monge_elkan(mx, my), _monge_elkan(my, mx)))
@@ -171,7 +172,7 @@ def banded(df: DataFrame, name: str, bands: int, rows: int = BAND_ROWS) -> DataF
             names = [n for n in batch["name"].tolist() if parts(n)]
             yield pd.DataFrame({"name": names, "band_keys": list(_signatures(names, bands, rows))})
 
-    return df.select(F.col(name).alias("name")).filter("name is not null").mapInPandas(run, "name string, band_keys array<bigint>")
+    return spread(df.select(F.col(name).alias("name")).filter("name is not null")).mapInPandas(run, "name string, band_keys array<bigint>")
 
 
 def candidates(left: DataFrame, right: DataFrame, least: float = LEAST_SIMILARITY, rows: int = BAND_ROWS) -> DataFrame:
@@ -196,7 +197,7 @@ def verified(pairs: DataFrame, accept: float = ACCEPT) -> DataFrame:
             out = [(n, c, s) for n, cs in zip(batch["name"], batch["centers"]) for c in cs if (s := similarity(n, c)) >= accept]
             yield pd.DataFrame(out, columns=["name", "center", "similarity"])
 
-    return pairs.mapInPandas(run, "name string, center string, similarity double")
+    return spread(pairs, "name").mapInPandas(run, "name string, center string, similarity double")
 
 
 def stars(links: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillon.llm import canonical
 from quillon.llm.matching import Matcher, View, calibrated, cosine, rerank
 from quillon.llm.names import ACCEPT, grams, parts, similarity
-from quillon.session import cut, table
+from quillon.session import cut, spread, table
 
 SIDE = "record string, attribute string, value string, tokens array<string>"
 VIEWS = {
@@ -22,7 +22,7 @@ VIEWS = {
     "name": View(("name",)),
     "record": View(("name", "employer", "place", "url", "email")),
 }
-#: Agreeing employers and places that stand for an address.
+#: Agreeing employers that, with the place, stand for an address.
 ENOUGH = 2
 
 
@@ -38,6 +38,11 @@ def mail(email: str | None) -> str:
     return email.strip().lower() if isinstance(email, str) else ""
 
 
+def _read(payload: str) -> dict:
+    """A payload is the name, a line end and all attributes as JSON, so that most pairs are told apart by the name."""
+    return json.loads(payload[payload.rindex("\n") :])
+
+
 def attributes(df: DataFrame, companies: list, places: list) -> DataFrame:
     """(record, payload): canonical values of rows record, name, urls, emails, employers, org_ids, places (arrays)."""
 
@@ -58,10 +63,10 @@ def attributes(df: DataFrame, companies: list, places: list) -> DataFrame:
                     "orgs": sorted(orgs),
                     "places": sorted({i for v in lists(r.places) if (i := p.find(v))}),
                 }
-                out.append((r.record, json.dumps(made)))
+                out.append((r.record, f"{made['name']}\n{json.dumps(made)}"))
             yield pd.DataFrame(out, columns=["record", "payload"])
 
-    return df.mapInPandas(run, "record string, payload string")
+    return spread(df, "record").mapInPandas(run, "record string, payload string")
 
 
 def tokens(sides: DataFrame) -> DataFrame:
@@ -73,7 +78,7 @@ def tokens(sides: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for rid, payload in zip(batch["record"], batch["payload"]):
-                v = json.loads(payload)
+                v = _read(payload)
                 words = parts(v["name"])
                 if words:
                     out.append((rid, "name", v["name"], sorted("n:" + g for g in grams(v["name"]))))
@@ -83,7 +88,7 @@ def tokens(sides: DataFrame) -> DataFrame:
                     out += [(rid, kind, x, [mark + x]) for x in v[key]]
             yield pd.DataFrame(out, columns=["record", "attribute", "value", "tokens"])
 
-    return sides.mapInPandas(run, SIDE)
+    return spread(sides, "record").mapInPandas(run, SIDE)
 
 
 def live_ids(person: DataFrame, hops: int = 4) -> DataFrame:
@@ -121,10 +126,10 @@ def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def agreement(left: str, right: str) -> tuple[float, int, int, int] | None:
     """(name similarity, addresses, employers, places that agree) of two payloads whose names agree, else None."""
-    a, b = json.loads(left), json.loads(right)
-    s = similarity(a["name"], b["name"])
+    s = similarity(left[: left.rindex("\n")], right[: right.rindex("\n")])
     if s < ACCEPT:
         return None
+    a, b = _read(left), _read(right)
     same = lambda k: len(set(a[k]) & set(b[k]))
     return s, same("urls") + same("emails"), same("orgs"), same("places")
 
@@ -136,7 +141,7 @@ def matches(spark: SparkSession, d: str) -> DataFrame:
     pairs, a, b = matcher.pairs()
     ranked = cut(rerank(pairs, left, right, agreement, "name_similarity double, addresses int, employers int, places int"))
     scored = cosine(ranked, a, b, "record")
-    qualified = (F.col("addresses") > 0) | (F.col("employers") + F.col("places") >= ENOUGH)
+    qualified = (F.col("addresses") > 0) | ((F.col("employers") >= ENOUGH) & (F.col("places") > 0))
     scored = cut(scored.withColumn("qualified", qualified))
     return calibrated(scored, "cosine", "qualified").withColumnsRenamed({"left_record": "candidate_id", "right_record": "person_id"})
 

@@ -27,11 +27,12 @@ def spaced(text: str) -> str:
     return text
 
 
-@lru_cache(maxsize=200_000)
-def distance(a: str, b: str) -> int:
-    """Edits from a to b: insertions, deletions, substitutions and swaps of neighbours."""
+def distance(a: str, b: str, limit: int = 99) -> int:
+    """Edits from a to b: insertions, deletions, substitutions and swaps of neighbours; limit + 1 for any above it."""
     if a == b:
         return 0
+    if abs(len(a) - len(b)) > limit:
+        return limit + 1
     while a and b and a[0] == b[0]:
         a, b = a[1:], b[1:]
     while a and b and a[-1] == b[-1]:
@@ -46,6 +47,8 @@ def distance(a: str, b: str) -> int:
             if before and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 best = min(best, before[j - 2] + 1)
             row.append(best)
+        if min(row) > limit and min(last) > limit:
+            return limit + 1
         before, last = last, row
     return last[-1]
 
@@ -63,10 +66,10 @@ def looks(word: str) -> str:
 
 
 def word_distance(a: str, b: str) -> int:
-    """Edits between two words, confusions of lookalikes as one edit however many there are."""
-    d = distance(a, b)
-    if d > 1:
-        d = min(d, 1 + distance(looks(a), looks(b)))
+    """Edits between two words up to 3, confusions of lookalikes as one edit however many there are."""
+    d = distance(a, b, 2)
+    if d > 1 and ((x := looks(a)) != a or looks(b) != b):
+        d = min(d, 1 + distance(x, looks(b), 1))
     return d
 
 
