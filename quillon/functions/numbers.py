@@ -25,7 +25,7 @@ def _min_ratio(v: Column, p: dict) -> Column:
 
 def _exp_decay(v: Column, p: dict) -> Column:
     rate = math.log(2) / p["half_life"] if "half_life" in p else p["lambda"]
-    return F.exp(F.lit(-float(rate)) * F.greatest(F.lit(0.0), v))
+    return F.when(v.isNotNull(), F.exp(F.lit(-float(rate)) * F.greatest(F.lit(0.0), v)))
 
 
 def _bucket(v: Column, p: dict) -> Column:
@@ -72,7 +72,7 @@ def days_between(earlier: Column, later: Column) -> Column:
 def decayed(initial: Column, age_days: Column, half_life: Column | float) -> Column:
     """``initial`` halved every ``half_life`` days; an age below zero counts as none, a null age gives null."""
     hl = half_life if isinstance(half_life, Column) else F.lit(float(half_life))
-    return initial * F.exp(-F.lit(math.log(2)) / hl * F.greatest(F.lit(0.0), age_days))
+    return F.when(age_days.isNotNull(), initial * F.exp(-F.lit(math.log(2)) / hl * F.greatest(F.lit(0.0), age_days)))
 
 
 def delta(new: Column, old: Column) -> Column:

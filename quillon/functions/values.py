@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,7 +41,6 @@ def canonical_json(json_text: Column) -> Column:
 
     Arbitrary keys can't be sorted by built-in functions, so this is an Arrow-batched function.
     """
-    import pandas as pd
 
     @F.pandas_udf("string")
     def canonical(texts: pd.Series) -> pd.Series:

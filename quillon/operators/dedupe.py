@@ -21,20 +21,39 @@ def _known(keys: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, (k.isNotNull() for k in keys))
 
 
-def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
-    """Exactly one row of each identifier: the first by ``order``.
+def keep_first(df: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:
+    """Exactly one row of each identifier: the first by the ``order`` columns, ascending with nulls last.
 
     Rows are partitioned by identifier and ranked; only rank 1 stays. Catalyst turns the rank filter into a group
     limit that runs before the shuffle too, so a hot identifier reaches its partition as one row per input task.
     Null keys never equal one another: those rows all stay. ``order`` should end in something unique; rows equal in
     all of it are interchangeable and one of them stays. An empty table gives an empty table.
     """
-    names = [f"__key{i}" for i in range(len(keys))]
-    keyed = df.select("*", *(k.alias(n) for n, k in zip(names, keys)))
+    row, rank = fresh_names(df.columns, "row", "rank")
+    names = fresh_names(df.columns, *(f"key{i}" for i in range(len(keys))))
+    # The row travels as one struct, so that no column of its own can clash with the ones added.
+    keyed = df.select(F.struct(*(df[c] for c in df.columns)).alias(row), *(k.alias(n) for n, k in zip(names, keys)), F.struct(*_sortable(order)).alias(rank))
     known = _known([F.col(n) for n in names])
-    ranked = keyed.filter(known).withColumn("__rank", F.row_number().over(Window.partitionBy(*names).orderBy(*order)))
-    first = ranked.filter("__rank = 1").drop("__rank", *names)
-    return first.unionByName(keyed.filter(~known | known.isNull()).drop(*names))
+    w = Window.partitionBy(*names).orderBy(rank)
+    first = keyed.filter(known).withColumn("n", F.row_number().over(w)).filter("n = 1").select(f"{row}.*")
+    return first.unionByName(keyed.filter(~known).select(f"{row}.*"))
+
+
+def fresh_names(taken: list[str], *wanted: str) -> list[str]:
+    """``wanted`` names, lengthened until none equals a taken one, letter case aside."""
+    used, out = {t.lower() for t in taken}, []
+    for w in wanted:
+        name = f"__{w}"
+        while name.lower() in used:
+            name += "_"
+        used.add(name)
+        out.append(name)
+    return out
+
+
+def _sortable(order: list[str]) -> list[Column]:
+    """Struct fields that sort as ``order`` ascending with nulls last."""
+    return [x for i, o in enumerate(order) for x in (F.col(o).isNull().alias(f"null{i}"), F.col(o).alias(f"value{i}"))]
 
 
 def later_copies(df: DataFrame, row_id: str, keys: list[Column], order: list[str]) -> DataFrame:
@@ -45,20 +64,20 @@ def later_copies(df: DataFrame, row_id: str, keys: list[Column], order: list[str
     Nulls in ``order`` come after all values.
     """
     names = [f"__key{i}" for i in range(len(keys))]
-    rank = F.struct(*(x for o in order for x in (F.col(o).isNull().alias(f"__null_{o}"), F.col(o))), F.col(row_id).alias("__row"))
+    rank = F.struct(*_sortable(order), F.col(row_id).alias("__row"))
     keyed = df.select(F.col(row_id), rank.alias("__rank"), *(k.alias(n) for n, k in zip(names, keys)))
     keyed = keyed.filter(_known([F.col(n) for n in names]))
     first = keyed.groupBy(*names).agg(F.min("__rank").alias("__first")).select(F.col("__first.__row").alias(row_id))
     return keyed.select(row_id).join(first, row_id, "left_anti")
 
 
-def admit(batch: DataFrame, stored: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+def admit(batch: DataFrame, stored: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows of a new batch whose identifier is not stored yet, one of each.
 
     ``keys`` name columns of both tables and are compared by identifier(). Null identifiers are always admitted.
     """
-    names = [f"__key{i}" for i in range(len(keys))]
     fresh = keep_first(batch, [identifier(k) for k in keys], order)
-    fresh = fresh.select("*", *(identifier(k).alias(n) for n, k in zip(names, keys)))
+    row, *names = fresh_names(batch.columns, "row", *(f"key{i}" for i in range(len(keys))))
+    keyed = fresh.select(F.struct(*(fresh[c] for c in fresh.columns)).alias(row), *(identifier(k).alias(n) for n, k in zip(names, keys)))
     seen = stored.select(*(identifier(k).alias(n) for n, k in zip(names, keys))).distinct()
-    return fresh.join(seen, names, "left_anti").select(*batch.columns)
+    return keyed.join(seen, names, "left_anti").select(f"{row}.*")

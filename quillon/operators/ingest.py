@@ -15,7 +15,7 @@ def accept_new(drafts: DataFrame, stored: DataFrame, content: str, provider: lis
     ``content`` is a hash column of both tables; ``provider`` the columns of the provider's key, null keys are never
     stored ones. Equal provider keys within one batch are not folded.
     """
-    first = keep_first(drafts, [F.col(content)], [F.col(o).asc_nulls_last() for o in order])
+    first = keep_first(drafts, [F.col(content)], order)
     fresh = first.join(stored.select(content).distinct(), content, "left_anti")
     return fresh.join(stored.select(*provider).dropna().distinct(), provider, "left_anti").select(*drafts.columns)
 

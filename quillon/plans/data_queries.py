@@ -17,7 +17,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_kept(spark: SparkSession, d: str) -> DataFrame:
     """The observations after repeated deliveries are gone."""
     o = table(spark, d, "observation")
-    kept = dedupe.keep_first(o, [F.col("source_id"), dedupe.identifier("provider_record_id")], [F.asc_nulls_last("observed_at"), F.asc_nulls_last("ingested_at"), F.asc("observation_id")])
+    kept = dedupe.keep_first(o, [F.col("source_id"), dedupe.identifier("provider_record_id")], ["observed_at", "ingested_at", "observation_id"])
     return kept.select("observation_id", "source_id", "batch_id")
 
 
@@ -28,7 +28,7 @@ def p1_admitted(spark: SparkSession, d: str) -> DataFrame:
     marked = o.join(last)
     batch = marked.filter(F.col("batch_id") == F.col("__last")).drop("__last")
     stored = marked.filter(F.col("batch_id") < F.col("__last")).drop("__last")
-    order = [F.asc_nulls_last("observed_at"), F.asc_nulls_last("ingested_at"), F.asc("observation_id")]
+    order = ["observed_at", "ingested_at", "observation_id"]
     return dedupe.admit(batch, stored, ["source_id", "provider_record_id"], order).select("observation_id", "batch_id")
 
 

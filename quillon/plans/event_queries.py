@@ -88,7 +88,7 @@ select event_id, dedupe_key from (select *, row_number() over (partition by dedu
 def event_exact_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """EVT-02, HSH-01: one event per person, type and day."""
     e = table(spark, d, "events").withColumn("dedupe_key", values.event_key(F.col("user_id"), F.col("event_type"), F.col("ts")))
-    return keep_first(e, [F.col("dedupe_key")], [F.asc("ts"), F.asc("event_id")]).select("event_id", "dedupe_key")
+    return keep_first(e, [F.col("dedupe_key")], ["ts", "event_id"]).select("event_id", "dedupe_key")
 
 
 @query("""select a.user_id, a.event_type, count(*) as pairs from events a join events b on a.user_id = b.user_id and a.event_type = b.event_type
@@ -189,7 +189,7 @@ union all select observation_id from observation where content_hash is null""")
 def dedupe_content_hash(spark: SparkSession, d: str) -> DataFrame:
     """ING-02: the first delivery of each content."""
     o = table(spark, d, "observation").select("observation_id", "content_hash", "ingested_at")
-    return keep_first(o, [F.col("content_hash")], [F.asc_nulls_last("ingested_at"), F.asc("observation_id")]).select("observation_id")
+    return keep_first(o, [F.col("content_hash")], ["ingested_at", "observation_id"]).select("observation_id")
 
 
 @query("""with n as (select *, row_number() over (partition by content_hash order by ingested_at, observation_id) as rn from observation where batch_id > '2026-03'),

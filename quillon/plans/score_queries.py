@@ -185,8 +185,8 @@ def prf_by_category(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with l as (select lang, doc_id, n_chars, case when contains(lower(text), 'investors') then 2 when contains(lower(text), 'million') then 1 else 0 end as rel from documents where text is not null and lang is not null),
 r as (select *, row_number() over (partition by lang order by n_chars desc, doc_id) as r, row_number() over (partition by lang order by rel desc) as i from l)
-select lang, round(count(*) filter (r <= 20 and rel > 0) / 20.0, 6) as precision, round(count(*) filter (r <= 20 and rel > 0) / count(*) filter (rel > 0), 6) as recall,
-round(sum(case when r <= 20 then rel / log2(r + 1) else 0 end) / sum(case when i <= 20 then rel / log2(i + 1) else 0 end), 6) as ndcg from r group by 1""")
+select lang, round(count(*) filter (r <= 20 and rel > 0) / 20.0, 6) as precision, round(case when count(*) filter (rel > 0) = 0 then 1 else count(*) filter (r <= 20 and rel > 0) / count(*) filter (rel > 0) end, 6) as recall,
+round(case when sum(rel) = 0 then 1 else sum(case when r <= 20 then rel / log2(r + 1) else 0 end) / sum(case when i <= 20 then rel / log2(i + 1) else 0 end) end, 6) as ndcg from r group by 1""")
 def precision_ndcg_at_k(spark: SparkSession, d: str) -> DataFrame:
     """AGG-24."""
     low = F.lower("text")
