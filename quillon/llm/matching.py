@@ -3,18 +3,18 @@
 Records, their attributes and the attributes' tokens form a graph. Random walks over it train skip-gram vectors of the
 tokens, kept in a table of fixed size by hashing, so the model is bounded however large the corpus. A record's vectors
 (per attribute and as a whole) are weighted means of its tokens' vectors; random hyperplanes in many tables block
-them; the pairs that meet are reranked exactly by a rule, and cosines are calibrated to a confidence.
+them; the pairs that meet are reranked exactly, and cosines are calibrated to a confidence.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.session import broadcast_if_small, cut, spread
+from quillon.session import cut, spread
 
 #: The hashed table of token vectors.
 BUCKETS, DIMENSIONS = 1 << 15, 64
@@ -24,18 +24,17 @@ WINDOW, RATE = 3, 0.05
 #: Incident records of a token that are mixed in one task; hotter tokens are split at random.
 MIX = 2_000
 #: Hyperplane tables of a view that tolerates differences.
-TABLES = 48
+TABLES = 64
 #: Pairs on which the confidence is fitted, at most.
 CALIBRATION_ROWS = 50_000
 
 
 @dataclass(frozen=True)
 class View:
-    """Attributes that make a vector; ``each``: one vector for each value; ``exact``: equal tokens only, one table."""
+    """Attributes that make a vector; ``each``: one vector for each value."""
 
     attributes: tuple[str, ...]
     each: bool = False
-    exact: bool = False
 
 
 def bucket(token: Column) -> Column:
@@ -233,60 +232,38 @@ def calibrated(pairs: DataFrame, score: str, label: str) -> DataFrame:
     return pairs.withColumn("confidence", F.round(curve, 4))
 
 
-class Matcher:
-    """Match ``left`` records to ``right`` ones.
+class Space:
+    """The vector space of two tables' records.
 
-    Both sides are rows (record, attribute, value, tokens array<string>): one row per attribute value. Rows with null
-    tokens speak for nothing; a record without tokens meets none.
+    Sides are rows (record, attribute, value, tokens array<string>), one per attribute value. Rows with null tokens
+    speak for nothing. Walks, token weights and vectors cover all records of both sides.
     """
 
-    def __init__(self, left: DataFrame, right: DataFrame, views: dict[str, View]):
-        self.left, self.right = cut(left), cut(right)
-        both = self.left.withColumn("record", F.concat(F.lit("L"), "record")).unionByName(self.right.withColumn("record", F.concat(F.lit("R"), "record")))
-        edges = both.select("record", F.explode("tokens").alias("token")).distinct()
+    def __init__(self, left: DataFrame, right: DataFrame):
+        both = left.withColumn("record", F.concat(F.lit("L"), "record")).unionByName(right.withColumn("record", F.concat(F.lit("R"), "record")))
+        edges = cut(both.select("record", F.explode("tokens").alias("token")).distinct())
         self.table = fit(walks(edges))
-        n = self.right.select("record").distinct().count()
+        n = right.select("record").distinct().count()
         document = edges.groupBy("token").agg(F.count("*").alias("df"))
         self.weights = cut(document.select("token", F.log(F.lit(2.0 + n) / F.col("df")).alias("idf")))
-        loose = max(8, n.bit_length() - 1)
-        self.bits = {name: (24 if v.exact else loose) for name, v in views.items()}
-        self.tables = {name: (1 if v.exact else TABLES) for name, v in views.items()}
-        self.views = views
 
-    def vectors(self, side: DataFrame) -> DataFrame:
-        """Vectors and keys of each record's views."""
+    def vectors(self, side: DataFrame, views: dict[str, View], bits: int = 0, tables: int = 0) -> DataFrame:
+        """(record, view, vector, keys): each record's views, with ``tables`` keys of ``bits`` sides of hyperplanes."""
         tokens = side.select("record", "attribute", "value", F.explode("tokens").alias("token"))
         weighed = tokens.join(self.weights, "token").select("record", "attribute", "value", bucket(F.col("token")).alias("b"), "idf")
         out = None
-        for view, v in self.views.items():
+        for view, v in views.items():
             rows = weighed.filter(F.col("attribute").isin(*v.attributes))
             by = ["record", "value"] if v.each else ["record"]
-            grouped = rows.groupBy(*by).agg(F.collect_list(F.struct("b", "idf")).alias("t"))
-            grouped = grouped.select("record", F.lit(view).alias("view"), F.array_sort("t").alias("t"))
-            grouped = grouped.select("record", "view", F.col("t.b").alias("tokens"), F.col("t.idf").alias("weights"))
+            grouped = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("b", "idf"))).alias("t"))
+            grouped = grouped.select("record", F.lit(view).alias("view"), F.col("t.b").alias("tokens"), F.col("t.idf").alias("weights"))
             out = grouped if out is None else out.unionByName(grouped)
-        return hashed(out, self.table, self.bits, self.tables)
+        return hashed(out, self.table, dict.fromkeys(views, bits), dict.fromkeys(views, tables))
 
-    def pairs(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Blocked pairs and the vectors of both sides."""
-        a, b = cut(self.vectors(self.left)), cut(self.vectors(self.right))
-        return blocked(a, b), a, b
 
-
-def rerank(pairs: DataFrame, left: DataFrame, right: DataFrame, rule: Callable, schema: str) -> DataFrame:
-    """Rows ``rule(left value, right value)`` gives for blocked pairs; sides are (record, payload string)."""
-    l_, r_ = left.select(F.col("record").alias("left_record"), F.col("payload").alias("l")), right.select(F.col("record").alias("right_record"), F.col("payload").alias("r"))
-    joined = spread(pairs, "left_record", "right_record").join(broadcast_if_small(l_, 50_000), "left_record").join(broadcast_if_small(r_, 50_000), "right_record")
-
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        names = [c.split()[0] for c in schema.split(",")]
-        for batch in batches:
-            out = [(a, b, *found) for a, b, l, r in zip(batch["left_record"], batch["right_record"], batch["l"], batch["r"]) if (found := rule(l, r)) is not None]
-            yield pd.DataFrame(out, columns=["left_record", "right_record", *names])
-
-    return joined.mapInPandas(run, f"left_record string, right_record string, {schema}")
+def bits_for(records: int) -> int:
+    """Hyperplanes of a table so that a bucket holds about two of ``records`` unrelated records."""
+    return max(8, records.bit_length() - 1)
 
 
 def cosine(pairs: DataFrame, a: DataFrame, b: DataFrame, view: str) -> DataFrame:

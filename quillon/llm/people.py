@@ -10,18 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import canonical
-from quillon.llm.matching import Matcher, View, calibrated, cosine, rerank
-from quillon.llm.names import ACCEPT, grams, parts, similarity
+from quillon.llm.matching import TABLES, Space, View, bits_for, blocked, calibrated, cosine
+from quillon.llm.names import grams, parts, verified
 from quillon.session import cut, spread, table
 
 SIDE = "record string, attribute string, value string, tokens array<string>"
-VIEWS = {
-    "url": View(("url",), each=True, exact=True),
-    "email": View(("email",), each=True, exact=True),
-    "family": View(("family",), each=True),
-    "name": View(("name",)),
-    "record": View(("name", "employer", "place", "url", "email")),
-}
+NAME_VIEWS = {"family": View(("family",), each=True), "name": View(("name",))}
+RECORD_VIEW = {"record": View(("name", "employer", "place", "url", "email"))}
+ADDRESSES = ("url", "email")
 #: Agreeing employers that, with the place, stand for an address.
 ENOUGH = 2
 
@@ -38,13 +34,8 @@ def mail(email: str | None) -> str:
     return email.strip().lower() if isinstance(email, str) else ""
 
 
-def _read(payload: str) -> dict:
-    """A payload is the name, a line end and all attributes as JSON, so that most pairs are told apart by the name."""
-    return json.loads(payload[payload.rindex("\n") :])
-
-
 def attributes(df: DataFrame, companies: list, places: list) -> DataFrame:
-    """(record, payload): canonical values of rows record, name, urls, emails, employers, org_ids, places (arrays)."""
+    """(record, name, payload): canonical values of rows record, name, urls, emails, employers, org_ids, places (arrays)."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -63,14 +54,35 @@ def attributes(df: DataFrame, companies: list, places: list) -> DataFrame:
                     "orgs": sorted(orgs),
                     "places": sorted({i for v in lists(r.places) if (i := p.find(v))}),
                 }
-                out.append((r.record, f"{made['name']}\n{json.dumps(made)}"))
-            yield pd.DataFrame(out, columns=["record", "payload"])
+                out.append((r.record, made["name"], json.dumps(made)))
+            yield pd.DataFrame(out, columns=["record", "name", "payload"])
+
+    return spread(df, "record").mapInPandas(run, "record string, name string, payload string")
+
+
+def _name_rows(rid: str, name: str) -> list[tuple]:
+    """A name's q-grams, and those of its longest word as the attribute ``family``."""
+    words = parts(name)
+    if not words:
+        return []
+    family = max(words, key=lambda w: (len(w), w))
+    return [(rid, kind, of, sorted("n:" + g for g in grams(of))) for kind, of in (("name", name), ("family", family))]
+
+
+def name_tokens(names: DataFrame) -> DataFrame:
+    """SIDE rows of distinct names (column name), each its own record."""
 
-    return spread(df, "record").mapInPandas(run, "record string, payload string")
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            yield pd.DataFrame([r for n in batch["name"] for r in _name_rows(n, n)], columns=["record", "attribute", "value", "tokens"])
+
+    return spread(names.select("name").filter("name <> ''").distinct()).mapInPandas(run, SIDE)
 
 
 def tokens(sides: DataFrame) -> DataFrame:
-    """SIDE rows of payloads; of a name's words the longest is its ``family`` attribute."""
+    """SIDE rows of payloads."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -78,12 +90,8 @@ def tokens(sides: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for rid, payload in zip(batch["record"], batch["payload"]):
-                v = _read(payload)
-                words = parts(v["name"])
-                if words:
-                    out.append((rid, "name", v["name"], sorted("n:" + g for g in grams(v["name"]))))
-                    family = max(words, key=lambda w: (len(w), w))
-                    out.append((rid, "family", family, sorted("n:" + g for g in grams(family))))
+                v = json.loads(payload)
+                out += _name_rows(rid, v["name"])
                 for kind, key, mark in (("url", "urls", "u:"), ("email", "emails", "e:"), ("employer", "orgs", "o:"), ("place", "places", "p:")):
                     out += [(rid, kind, x, [mark + x]) for x in v[key]]
             yield pd.DataFrame(out, columns=["record", "attribute", "value", "tokens"])
@@ -124,25 +132,41 @@ def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return cut(attributes(left, companies, places)), cut(attributes(right, companies, places))
 
 
-def agreement(left: str, right: str) -> tuple[float, int, int, int] | None:
-    """(name similarity, addresses, employers, places that agree) of two payloads whose names agree, else None."""
-    s = similarity(left[: left.rindex("\n")], right[: right.rindex("\n")])
-    if s < ACCEPT:
-        return None
-    a, b = _read(left), _read(right)
-    same = lambda k: len(set(a[k]) & set(b[k]))
-    return s, same("urls") + same("emails"), same("orgs"), same("places")
+def name_pairs(space: Space, left: DataFrame, right: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """(left_name, right_name, name_similarity) of distinct names that agree.
+
+    Candidates meet in a bucket of a name's vectors, or belong to records with an address in common. Names and not
+    records are blocked, so a name that a third of all records bear is one row here.
+    """
+    n = right.select("name").distinct().count()
+    made = [space.vectors(name_tokens(x), NAME_VIEWS, bits_for(n), TABLES) for x in (left, right)]
+    met = blocked(cut(made[0]), cut(made[1])).select(F.col("left_record").alias("left_name"), F.col("right_record").alias("right_name"))
+    of = lambda side, tok, name: tok.filter(F.col("attribute").isin(*ADDRESSES)).join(side.select("record", "name"), "record").select("attribute", "value", F.col("name").alias(name)).distinct()
+    shared = of(left, a, "left_name").join(of(right, b, "right_name"), ["attribute", "value"]).select("left_name", "right_name")
+    gathered = met.union(shared).groupBy(F.col("left_name").alias("name")).agg(F.collect_set("right_name").alias("centers"))
+    return verified(gathered).select(F.col("name").alias("left_name"), F.col("center").alias("right_name"), F.col("similarity").alias("name_similarity"))
 
 
 def matches(spark: SparkSession, d: str) -> DataFrame:
-    """(candidate_id, person_id, cosine, confidence, name_similarity, addresses, employers, places, qualified)."""
+    """(candidate_id, person_id, cosine, confidence, name_similarity, addresses, employers, places, qualified).
+
+    Pairs whose names agree and that share an address or employer; a name alone never counts. Records meet on the
+    name and the shared value together, so neither a frequent name nor a frequent employer makes all pairs.
+    """
     left, right = sides(spark, d)
-    matcher = Matcher(tokens(left), tokens(right), VIEWS)
-    pairs, a, b = matcher.pairs()
-    ranked = cut(rerank(pairs, left, right, agreement, "name_similarity double, addresses int, employers int, places int"))
-    scored = cosine(ranked, a, b, "record")
+    a, b = cut(tokens(left)), cut(tokens(right))
+    space = Space(a, b)
+    agreed = cut(name_pairs(space, left, right, a, b))
+    evidence = lambda side, tok, record, name: tok.filter(F.col("attribute").isin("url", "email", "employer")).join(side.select("record", "name"), "record").select(F.col("record").alias(record), F.col("name").alias(name), "attribute", "value").distinct()
+    met = evidence(left, a, "left_record", "left_name").join(agreed, "left_name").join(evidence(right, b, "right_record", "right_name"), ["right_name", "attribute", "value"])
+    count = lambda *kinds: F.sum(F.col("attribute").isin(*kinds).cast("int"))
+    pairs = met.groupBy("left_record", "right_record").agg(F.max("name_similarity").alias("name_similarity"), count(*ADDRESSES).alias("addresses"), count("employer").alias("employers"))
+    place = lambda tok, record: tok.filter("attribute = 'place'").select(F.col("record").alias(record), F.col("value").alias("place")).distinct()
+    there = place(a, "left_record").join(pairs.select("left_record", "right_record"), "left_record").join(place(b, "right_record"), ["right_record", "place"]).groupBy("left_record", "right_record").agg(F.count("*").cast("int").alias("places"))
+    pairs = pairs.join(there, ["left_record", "right_record"], "left").withColumn("places", F.coalesce("places", F.lit(0)))
     qualified = (F.col("addresses") > 0) | ((F.col("employers") >= ENOUGH) & (F.col("places") > 0))
-    scored = cut(scored.withColumn("qualified", qualified))
+    va, vb = space.vectors(a, RECORD_VIEW), space.vectors(b, RECORD_VIEW)
+    scored = cut(cosine(pairs.withColumn("qualified", qualified), va, vb, "record"))
     return calibrated(scored, "cosine", "qualified").withColumnsRenamed({"left_record": "candidate_id", "right_record": "person_id"})
 
 
