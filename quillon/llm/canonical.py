@@ -108,6 +108,7 @@ class Mapper:
         for pattern, who in patterns.items():
             if pattern:
                 automaton.add_word(f" {pattern} ", (len(pattern), tuple(sorted(who))))
+        automaton.add_word("\0", (0, ()))  # an empty list still needs an automaton
         automaton.make_automaton()
         self.automaton = automaton
         self.near = NearWords({w for w in self.known if len(w) >= 4})
@@ -143,7 +144,7 @@ class Mapper:
             starts[position] = i
             position += len(w) + 1
         found = []
-        for end, (length, who) in self.automaton.iter(joined):
+        for end, (length, who) in self.automaton.iter(joined.replace("\0", " ")):
             first = starts[end - length - 1]
             count = joined[end - length - 1 : end].count(" ")
             found.append((first, first + count, who))

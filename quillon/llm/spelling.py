@@ -38,7 +38,7 @@ def distance(a: str, b: str, limit: int = 99) -> int:
     while a and b and a[-1] == b[-1]:
         a, b = a[:-1], b[:-1]
     if not a or not b:
-        return max(len(a), len(b))
+        return min(max(len(a), len(b)), limit + 1)
     before, last = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -50,7 +50,7 @@ def distance(a: str, b: str, limit: int = 99) -> int:
         if min(row) > limit and min(last) > limit:
             return limit + 1
         before, last = last, row
-    return last[-1]
+    return min(last[-1], limit + 1)
 
 
 #: Characters read for one another in typed or scanned names: fixed values.
