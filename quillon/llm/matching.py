@@ -48,24 +48,23 @@ def walks(edges: DataFrame, length: int = WALK, per_record: int = WALKS, seed: i
     token's records; hot tokens are split at random into groups of about MIX first, which leaves the choice as random
     and no task with more than a group. Random numbers are hashes of the edge and the round, so lost tasks repeat them.
     """
-    e = cut(edges.select("record", "token", bucket(F.col("token")).alias("b")).distinct())
+    e = edges.select("record", "token", bucket(F.col("token")).alias("b")).distinct()
     degree = e.groupBy("token").agg(F.count("*").alias("degree"))
-    dice = lambda *c: F.xxhash64(*c)
-    e = cut(e.join(degree, "token"))
-    out = None
-    for r in range(per_record):
-        spread = e.withColumn("die", dice(F.lit(seed), F.lit(r), "record", "token"))
-        group = F.pmod(F.shiftright("die", 7), F.greatest(F.lit(1), F.floor(F.col("degree") / MIX))).alias("part")
-        w = Window.partitionBy("token", "part").orderBy("die", "record")
-        stepped = spread.select("record", "token", "b", "die", group).withColumn("next", F.coalesce(F.lead("record").over(w), F.first("record").over(w)))
-        steps = stepped.select("record", "b", "next", dice("die", F.lit(1)).alias("choice"))
-        # One random edge of each record serves the walks that come through it in this round.
-        way = cut(steps.groupBy("record").agg(F.min_by(F.struct("b", "next"), "choice").alias("a"), F.max_by(F.struct("b", "next"), "choice").alias("z")))
-        line = way.select(F.array("a.b", "z.b").alias("walk"), F.col("z.next").alias("at"))
-        for _ in range((length - 2 + 1) // 2):
-            line = line.join(way.select(F.col("record").alias("at"), "a", "z"), "at").select(F.concat("walk", F.array("a.b", "z.b")).alias("walk"), F.col("z.next").alias("at"))
-        out = line.select("walk") if out is None else out.union(line.select("walk"))
-    return out
+    rounds = F.explode(F.sequence(F.lit(0), F.lit(per_record - 1))).alias("round")
+    spread_ = e.join(degree, "token").select("record", "token", "b", "degree", rounds)
+    spread_ = spread_.withColumn("die", F.xxhash64(F.lit(seed), "round", "record", "token"))
+    group = F.pmod(F.shiftright("die", 7), F.greatest(F.lit(1), F.floor(F.col("degree") / MIX))).alias("part")
+    w = Window.partitionBy("round", "token", "part").orderBy("die", "record")
+    steps = spread_.select("round", "record", "token", "b", "die", group).withColumn("next", F.coalesce(F.lead("record").over(w), F.first("record").over(w)))
+    steps = steps.select("round", "record", "b", "next", F.xxhash64("die", F.lit(1)).alias("choice"))
+    # Two random edges of each record serve all walks that come through it in one round.
+    two = [f(F.struct("b", "next"), "choice").alias(n) for f, n in ((F.min_by, "a"), (F.max_by, "z"))]
+    way = cut(steps.groupBy("round", "record").agg(*two))
+    line = way.select("round", F.array("a.b", "z.b").alias("walk"), F.col("z.next").alias("at"))
+    for _ in range((length - 1) // 2):
+        line = line.join(way.select("round", F.col("record").alias("at"), "a", "z"), ["round", "at"])
+        line = line.select("round", F.concat("walk", F.array("a.b", "z.b")).alias("walk"), F.col("z.next").alias("at"))
+    return line.select("walk")
 
 
 def _train(shard_rows: Iterator, start, rate: float, seed: int):
@@ -120,7 +119,8 @@ def fit(walk_rows: DataFrame, shards: int = SHARDS, passes: int = PASSES, seed:
             v, c, seen = _train(rows, start.value, rate, seed + p)
             if seen:
                 both = np.concatenate([v, c], axis=1)
-                yield pd.DataFrame({"chunk": range(64), "seen": float(seen), "table": [both[i * chunk : (i + 1) * chunk].tobytes() for i in range(64)]})
+                for i in range(64):
+                    yield pd.DataFrame({"chunk": [i], "seen": [float(seen)], "table": [both[i * chunk : (i + 1) * chunk].tobytes()]})
 
         def mean(key, frame):
             import pandas as pd
@@ -134,7 +134,7 @@ def fit(walk_rows: DataFrame, shards: int = SHARDS, passes: int = PASSES, seed:
             both = np.frombuffer(r["table"], np.float32).reshape(chunk, 2 * DIMENSIONS)
             vectors[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = both[:, :DIMENSIONS]
             contexts[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = both[:, DIMENSIONS:]
-        start.unpersist()
+        start.destroy()
     return spread_out(vectors, data)
 
 
@@ -151,8 +151,8 @@ def spread_out(vectors, walk_rows: DataFrame):
     import numpy as np
 
     counts = np.full(BUCKETS, 1e-3)
-    for r in walk_rows.select(F.explode("walk").alias("b")).groupBy("b").count().collect():
-        counts[r["b"]] = r["count"]
+    met = walk_rows.select(F.explode("walk").alias("b")).groupBy("b").count().toPandas()
+    counts[met["b"].to_numpy()] = met["count"].to_numpy()
     unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
     v = unit(vectors.astype(np.float64))
     v -= (v * counts[:, None]).sum(0) / counts.sum()

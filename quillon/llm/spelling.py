@@ -90,6 +90,7 @@ class NearWords:
 
     def __init__(self, words: set[str], most: int = 2):
         self.most, self.words = most, words
+        self.longest = max(map(len, words), default=0) + most
         self.index: dict[str, list[str]] = {}
         for w in words:
             for form in {w, looks(w)}:
@@ -104,5 +105,7 @@ class NearWords:
         return out
 
     def near(self, word: str) -> list[tuple[str, int]]:
+        if len(looks(word)) > self.longest:
+            return []
         found = {w for form in {word, looks(word)} for v in self._shorter(form) for w in self.index.get(v, ())}
         return [(w, d) for w in found if (d := word_distance(word, w)) <= self.most]
