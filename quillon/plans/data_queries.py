@@ -97,6 +97,16 @@ ranked as (select *, row_number() over (partition by source_id, pid order by obs
     from keyed where source_id is not null and pid is not null)
 """
 
+#: The object a JSON text holds, or the object in the JSON string that it holds.
+_OPENED = "case when json_type(try_cast({0} as json)) = 'VARCHAR' then try_cast(try_cast({0} as json) ->> '$' as json) else try_cast({0} as json) end"
+_DOCS = f"""
+opened as (select observation_id, {_OPENED.format('raw_json')} as d, {_OPENED.format('previous_snapshot')} as b from observation where content_type = 'profile_snapshot'),
+root as (select observation_id, d from opened where json_type(d) = 'OBJECT'),
+prof as (select observation_id, case when json_type(d, '$.profile') = 'OBJECT' then json_extract(d, '$.profile') else d end as p from root),
+prev as (select observation_id from opened where json_type(b) = 'OBJECT')"""
+_EACH = "unnest(json_extract(case when json_type({0}) = 'OBJECT' then json_array({0}) when json_type({0}) = 'ARRAY' then {0} else '[]'::json end, '$[*]')) as e, unnest(range(cast(json_array_length(case when json_type({0}) = 'OBJECT' then json_array({0}) when json_type({0}) = 'ARRAY' then {0} else '[]'::json end) as bigint))) as i"
+_CANON = "coalesce(lower(regexp_replace(regexp_replace(json_extract_string(p, '$.{0}'), '[\\s\\x{{00a0}}]+', ' ', 'g'), '^ | $', '', 'g')), '')"
+
 SQL = {
     "p1_found": f"with {_P1_KEYED} select observation_id from ranked where rn > 1",
     "p1_kept": f"with {_P1_KEYED} select observation_id, source_id, batch_id from ranked where rn = 1 union all select observation_id, source_id, batch_id from keyed where source_id is null or pid is null",
@@ -108,4 +118,29 @@ f as (select fact_id, subject_id, fact_type, valid_to, coalesce(verified_at, cre
 r as (select observation_id, fact_id, row_number() over (partition by observation_id, fact_type order by start desc, known desc, fact_id) as rn
     from e join f on subject_id = person_id and start <= t and known <= t and (valid_to is null or valid_to > t))
 select observation_id, fact_id from r where rn = 1""",
+    "p1_admitted": f"""with {_P1_KEYED}, m as (select max(batch_id) as last from observation),
+b as (select k.*, row_number() over (partition by lower(regexp_replace(source_id, '^[\\s\\x{{00a0}}]+|[\\s\\x{{00a0}}]+$', '', 'g')), pid order by observed_at, ingested_at, observation_id) as rn from keyed k, m where batch_id = last),
+s as (select k.* from keyed k, m where batch_id < last)
+select observation_id, batch_id from b where source_id is null or pid is null
+union all select observation_id, batch_id from b where source_id is not null and pid is not null and rn = 1 and not exists (select 1 from s where lower(s.source_id) = lower(b.source_id) and s.pid = b.pid)""",
+    "p2_found": f"""with {_DOCS},
+arr as (select observation_id, case when json_type(p, '$.experience') in ('ARRAY', 'OBJECT') then json_extract(p, '$.experience') else json_extract(p, '$.positions') end as v from prof),
+j as (select observation_id, i as job_pos, e from (select observation_id, {_EACH.format('v')} from arr) where json_type(e) = 'OBJECT'),
+r as (select observation_id, job_pos, i as role_pos, e from (select observation_id, job_pos, {_EACH.format("json_extract(e, '$.roles')")} from j) where json_type(e) = 'OBJECT'),
+q as (select observation_id, job_pos, role_pos, i as project_pos from (select observation_id, job_pos, role_pos, {_EACH.format("json_extract(e, '$.projects')")} from r) where json_type(e) = 'OBJECT')
+select observation_id, 'profile' as node, cast(-1 as int) as job_pos, cast(-1 as int) as role_pos, cast(-1 as int) as project_pos from prof
+union all select observation_id, 'previous', -1, -1, -1 from prev
+union all select observation_id, 'job', cast(job_pos as int), -1, -1 from j
+union all select observation_id, 'role', cast(job_pos as int), cast(role_pos as int), -1 from r
+union all select observation_id, 'project', cast(job_pos as int), cast(role_pos as int), cast(project_pos as int) from q""",
+    "p5_found": f"""with {_DOCS},
+r as (select o.person_id, o.observed_at, o.ingested_at, o.observation_id, json_extract_string(root.d, '$.observed_on') as day,
+    {_CANON.format('current_title')} as title, {_CANON.format('current_company')} as company, {_CANON.format('headline')} as headline
+    from observation o join root using (observation_id) join prof using (observation_id) where o.source_id = 'src-00' and o.person_id is not null),
+s as (select day, person_id, title, company, headline from r where regexp_matches(day, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') qualify row_number() over (partition by day, person_id order by observed_at, ingested_at, observation_id) = 1),
+days as (select day, lead(day) over (order by day) as next from (select distinct day from s)),
+a as (select next as day, person_id, title, company, headline from s join days using (day) where next is not null),
+b as (select s.* from s where day > (select min(day) from s))
+select coalesce(a.day, b.day) as snapshot_date, coalesce(a.person_id, b.person_id) as person_id, case when a.person_id is null then 'added' when b.person_id is null then 'removed' else 'changed' end as change
+from a full join b on a.day = b.day and a.person_id = b.person_id where a.person_id is null or b.person_id is null or (a.title, a.company, a.headline) <> (b.title, b.company, b.headline)""",
 }
