@@ -256,3 +256,13 @@ def evidence_rollup(spark: SparkSession, d: str) -> DataFrame:
     by = li.groupBy("l_suppkey", "l_returnflag").agg(F.sum("l_quantity").alias("q"), F.count("*").alias("n"), F.sum("l_discount").alias("dsum"))
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("nation"))
     return by.join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("nation", "l_returnflag").agg(F.sum("q").alias("quantity"), F.sum("n").alias("n"), F.round(F.sum("dsum") / F.sum("n"), 6).alias("discount"))
+
+
+@query()
+def weekly_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """All stages of a week (ORC-01, SNK-12, SNK-20, DIG-01): its scores with changes against the week before."""
+    from quillon.plans import pipeline
+
+    last, _ = pipeline.weekly(spark, d, "2026-09-06")
+    before, _ = pipeline.weekly(spark, d, "2026-08-30")
+    return pipeline.with_changes(last["scores"], before["scores"])
