@@ -173,7 +173,9 @@ def _window_rows(length: int, seed: int):
                     hs.append(h[keep])
                     ps.append(keep + at)
                 h, p = np.concatenate(hs).view(np.int64), np.concatenate(ps).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), key, np.int64)), pa.array(p)], ["window", "text_key", "at"])
+                first = np.zeros(len(h), bool)
+                first[np.unique(h, return_index=True)[1]] = True
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), key, np.int64)), pa.array(p), pa.array(first)], ["window", "text_key", "at", "first"])
 
     return run
 
@@ -204,16 +206,17 @@ class SharedSpans:
         repeated = broadcast_if_small(cut(spread.select("seed")))
         places = cut(self.seeds.join(repeated, "seed").select("text_key", "at").groupBy("text_key").agg(F.collect_list("at").alias("ats")))
         again = single.join(broadcast_if_small(places.withColumnRenamed("text_key", "key")), "key")
-        self.windows = cut(again.select("key", "text", "ats").mapInArrow(_window_rows(length, seed), "window bigint, text_key bigint, at int"))
+        self.windows = cut(again.select("key", "text", "ats").mapInArrow(_window_rows(length, seed), "window bigint, text_key bigint, at int, first boolean"))
         mark = F.xxhash64("text_key")
-        held = self.windows.select("window", "text_key").distinct().groupBy("window")
+        # A text's windows come from one row, which marks the first of each, so texts are counted without a distinct.
+        held = self.windows.filter("first").groupBy("window")
         groups = held.agg(F.count("*").alias("texts"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("s"))
         self.groups = cut(groups.filter("texts > 1"))
 
     def text_pairs(self) -> DataFrame:
         """(a, b) of different texts, a < b, named by text_key."""
         speaking = self.groups.groupBy("texts", "x", "s").agg(F.min("window").alias("window")).select("window")
-        of = self.windows.join(broadcast_if_small(speaking), "window").select("window", "text_key").distinct()
+        of = self.windows.filter("first").join(broadcast_if_small(cut(speaking)), "window").select("window", "text_key")
         left, right = of.withColumnRenamed("text_key", "a"), of.withColumnRenamed("text_key", "b")
         return left.join(right, "window").filter("a < b").select("a", "b").distinct()
 
@@ -231,7 +234,7 @@ class SharedSpans:
 
     def intervals(self) -> DataFrame:
         """(text_key, start, end): maximal intervals of a text, each character of which lies in a span shared elsewhere."""
-        found = self.windows.join(broadcast_if_small(self.groups.select("window")), "window").select("text_key", "at").distinct()
+        found = self.windows.join(broadcast_if_small(self.groups.select("window")), "window").select("text_key", "at")
         w = Window.partitionBy("text_key").orderBy("at")
         apart = (F.col("at") > F.lag("at").over(w) + self.length).cast("int")
         runs = found.withColumn("new", F.coalesce(apart, F.lit(1))).withColumn("run", F.sum("new").over(w))
