@@ -72,7 +72,7 @@ def _train(shard_rows: Iterator, start, rate: float, seed: int):
     import numpy as np
 
     rng = np.random.default_rng(seed)
-    vectors, contexts = start[0].copy(), start[1].copy()
+    vectors, contexts = start[0].astype(np.float32), start[1].astype(np.float32)
     seen = 0
     for walk in shard_rows:
         a, b = [], []
@@ -109,7 +109,8 @@ def fit(walk_rows: DataFrame, shards: int = SHARDS, passes: int = PASSES, seed:
     data = cut(walk_rows.repartition(shards))
     chunk = BUCKETS // 64
     for p in range(passes):
-        start = data.sparkSession.sparkContext.broadcast((vectors, contexts))
+        # Half precision is enough to start from and to average, and halves what passes through the driver.
+        start = data.sparkSession.sparkContext.broadcast((vectors.astype(np.float16), contexts.astype(np.float16)))
         rate = RATE * (1 - p / (passes + 1))
 
         def run(batches: Iterator, start=start, rate=rate, p=p) -> Iterator:
@@ -118,20 +119,20 @@ def fit(walk_rows: DataFrame, shards: int = SHARDS, passes: int = PASSES, seed:
             rows = (np.stack(b["walk"].to_numpy()) for b in batches if len(b))
             v, c, seen = _train(rows, start.value, rate, seed + p)
             if seen:
-                both = np.concatenate([v, c], axis=1)
+                both = np.concatenate([v, c], axis=1).astype(np.float16)
                 for i in range(64):
                     yield pd.DataFrame({"chunk": [i], "seen": [float(seen)], "table": [both[i * chunk : (i + 1) * chunk].tobytes()]})
 
         def mean(key, frame):
             import pandas as pd
 
-            tables = np.stack([np.frombuffer(t, np.float32) for t in frame["table"]])
-            return pd.DataFrame({"chunk": [key[0]], "table": [np.average(tables, axis=0, weights=frame["seen"]).astype(np.float32).tobytes()]})
+            tables = np.stack([np.frombuffer(t, np.float16) for t in frame["table"]])
+            return pd.DataFrame({"chunk": [key[0]], "table": [np.average(tables.astype(np.float32), axis=0, weights=frame["seen"]).astype(np.float16).tobytes()]})
 
         moved = data.mapInPandas(run, "chunk int, seen double, table binary")
         parts = moved.groupBy("chunk").applyInPandas(mean, "chunk int, table binary").collect()
         for r in parts:
-            both = np.frombuffer(r["table"], np.float32).reshape(chunk, 2 * DIMENSIONS)
+            both = np.frombuffer(r["table"], np.float16).reshape(chunk, 2 * DIMENSIONS)
             vectors[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = both[:, :DIMENSIONS]
             contexts[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = both[:, DIMENSIONS:]
         start.destroy()
@@ -175,16 +176,17 @@ def hashed(views: DataFrame, table, bits: dict[str, int], tables: dict[str, int]
     import numpy as np
 
     unit = table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
-    shared = views.sparkSession.sparkContext.broadcast(unit)
+    shared = views.sparkSession.sparkContext.broadcast(unit.astype(np.float16))
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         planes = {v: _seeded(bits[v], tables[v], seed + i) for i, v in enumerate(sorted(bits))}
+        units = shared.value.astype(np.float32)
         for batch in batches:
             vectors = np.zeros((len(batch), DIMENSIONS), np.float32)
             for i, (t, w) in enumerate(zip(batch["tokens"], batch["weights"])):
-                vectors[i] = np.asarray(w, np.float32) @ shared.value[np.asarray(t, int)]
+                vectors[i] = np.asarray(w, np.float32) @ units[np.asarray(t, int)]
             vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
             keys: list = [None] * len(batch)
             for v in batch["view"].unique():
@@ -240,8 +242,7 @@ class Space:
     """
 
     def __init__(self, left: DataFrame, right: DataFrame):
-        both = left.withColumn("record", F.concat(F.lit("L"), "record")).unionByName(right.withColumn("record", F.concat(F.lit("R"), "record")))
-        edges = cut(both.select("record", F.explode("tokens").alias("token")).distinct())
+        edges = cut(both_sides(left, right).select("record", F.explode("tokens").alias("token")).distinct())
         self.table = fit(walks(edges))
         n = right.select("record").distinct().count()
         document = edges.groupBy("token").agg(F.count("*").alias("df"))
@@ -266,9 +267,20 @@ def bits_for(records: int) -> int:
     return max(8, records.bit_length() - 1)
 
 
+def both_sides(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of two sides in one table, their records marked L and R."""
+    mark = lambda df, m: df.withColumn("record", F.concat(F.lit(m), "record"))
+    return mark(left, "L").unionByName(mark(right, "R"))
+
+
+def side(df: DataFrame, mark: str) -> DataFrame:
+    """The rows of one side of both_sides(), the mark taken off."""
+    return df.filter(F.col("record").startswith(mark)).withColumn("record", F.substring("record", 2, 1 << 30))
+
+
 def cosine(pairs: DataFrame, a: DataFrame, b: DataFrame, view: str) -> DataFrame:
     """``pairs`` with the cosine of a view's vectors, null where a side has none."""
-    side = lambda df, name, vec: df.filter(F.col("view") == view).select(F.col("record").alias(name), F.col("vector").alias(vec))
-    joined = pairs.join(side(a, "left_record", "va"), "left_record", "left").join(side(b, "right_record", "vb"), "right_record", "left")
+    of = lambda df, name, vec: df.filter(F.col("view") == view).select(F.col("record").alias(name), F.col("vector").alias(vec))
+    joined = pairs.join(of(a, "left_record", "va"), "left_record", "left").join(of(b, "right_record", "vb"), "right_record", "left")
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     return joined.withColumn("cosine", F.round(dot, 6)).drop("va", "vb")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import canonical
-from quillon.llm.matching import TABLES, Space, View, bits_for, blocked, calibrated, cosine
+from quillon.llm.matching import TABLES, Space, View, bits_for, blocked, both_sides, calibrated, cosine, side
 from quillon.llm.names import grams, parts, verified
 from quillon.session import cut, spread, table
 
@@ -139,9 +139,9 @@ def name_pairs(space: Space, left: DataFrame, right: DataFrame, a: DataFrame, b:
     records are blocked, so a name that a third of all records bear is one row here.
     """
     n = right.select("name").distinct().count()
-    made = [space.vectors(name_tokens(x), NAME_VIEWS, bits_for(n), TABLES) for x in (left, right)]
-    met = blocked(cut(made[0]), cut(made[1])).select(F.col("left_record").alias("left_name"), F.col("right_record").alias("right_name"))
-    of = lambda side, tok, name: tok.filter(F.col("attribute").isin(*ADDRESSES)).join(side.select("record", "name"), "record").select("attribute", "value", F.col("name").alias(name)).distinct()
+    made = cut(space.vectors(both_sides(name_tokens(left), name_tokens(right)), NAME_VIEWS, bits_for(n), TABLES))
+    met = blocked(side(made, "L"), side(made, "R")).select(F.col("left_record").alias("left_name"), F.col("right_record").alias("right_name"))
+    of = lambda people, tok, name: tok.filter(F.col("attribute").isin(*ADDRESSES)).join(people.select("record", "name"), "record").select("attribute", "value", F.col("name").alias(name)).distinct()
     shared = of(left, a, "left_name").join(of(right, b, "right_name"), ["attribute", "value"]).select("left_name", "right_name")
     gathered = met.union(shared).groupBy(F.col("left_name").alias("name")).agg(F.collect_set("right_name").alias("centers"))
     return verified(gathered).select(F.col("name").alias("left_name"), F.col("center").alias("right_name"), F.col("similarity").alias("name_similarity"))
@@ -157,7 +157,7 @@ def matches(spark: SparkSession, d: str) -> DataFrame:
     a, b = cut(tokens(left)), cut(tokens(right))
     space = Space(a, b)
     agreed = cut(name_pairs(space, left, right, a, b))
-    evidence = lambda side, tok, record, name: tok.filter(F.col("attribute").isin("url", "email", "employer")).join(side.select("record", "name"), "record").select(F.col("record").alias(record), F.col("name").alias(name), "attribute", "value").distinct()
+    evidence = lambda people, tok, record, name: tok.filter(F.col("attribute").isin("url", "email", "employer")).join(people.select("record", "name"), "record").select(F.col("record").alias(record), F.col("name").alias(name), "attribute", "value").distinct()
     met = evidence(left, a, "left_record", "left_name").join(agreed, "left_name").join(evidence(right, b, "right_record", "right_name"), ["right_name", "attribute", "value"])
     count = lambda *kinds: F.sum(F.col("attribute").isin(*kinds).cast("int"))
     pairs = met.groupBy("left_record", "right_record").agg(F.max("name_similarity").alias("name_similarity"), count(*ADDRESSES).alias("addresses"), count("employer").alias("employers"))
@@ -165,8 +165,8 @@ def matches(spark: SparkSession, d: str) -> DataFrame:
     there = place(a, "left_record").join(pairs.select("left_record", "right_record"), "left_record").join(place(b, "right_record"), ["right_record", "place"]).groupBy("left_record", "right_record").agg(F.count("*").cast("int").alias("places"))
     pairs = pairs.join(there, ["left_record", "right_record"], "left").withColumn("places", F.coalesce("places", F.lit(0)))
     qualified = (F.col("addresses") > 0) | ((F.col("employers") >= ENOUGH) & (F.col("places") > 0))
-    va, vb = space.vectors(a, RECORD_VIEW), space.vectors(b, RECORD_VIEW)
-    scored = cut(cosine(pairs.withColumn("qualified", qualified), va, vb, "record"))
+    vectors = space.vectors(both_sides(a, b), RECORD_VIEW)
+    scored = cut(cosine(cut(pairs.withColumn("qualified", qualified)), side(vectors, "L"), side(vectors, "R"), "record"))
     return calibrated(scored, "cosine", "qualified").withColumnsRenamed({"left_record": "candidate_id", "right_record": "person_id"})
 
 
