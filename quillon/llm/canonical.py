@@ -62,7 +62,7 @@ PLACES = Kind(
 
 def words_of(value: str) -> tuple[str, ...]:
     """Words of a value: plain lower case letters and digits; dotted initials are one word."""
-    text = plain(spaced(value.strip())).lower()
+    text = spaced(plain(value.strip())).lower()
     text = re.sub(r"\b([a-z])/([a-z])\b", r"\1\2", text)
     text = re.sub(r"\b((?:[a-z]\.){2,})", lambda m: m[1].replace(".", "") + " ", text)
     return tuple(re.findall(r"[a-z0-9]+", text.replace("'", "")))

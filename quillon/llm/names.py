@@ -53,8 +53,8 @@ _FAMILIAR = {(short, full) for full, forms in NICKNAMES.items() for short in for
 @lru_cache(maxsize=200_000)
 def parts(name: str) -> tuple[str, ...]:
     """Words of a name: plain, lower case, without titles; hyphens and apostrophes inside a word go, its parts stay one."""
-    text = plain(spaced(name.strip()))
-    text = re.sub(r"(?<=[^\W\d_])['’-](?=[^\W\d_])", "", text).lower()
+    text = spaced(plain(name.strip()))
+    text = re.sub(r"(?<=[^\W_])['’-](?=[^\W_])", "", text).lower()
     words = [w for w in re.split(r"[^a-z0-9]+", text) if w]
     kept = tuple(w for w in words if w not in TITLES)
     return kept or tuple(words)
