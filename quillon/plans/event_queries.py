@@ -98,7 +98,9 @@ def event_window_pairs(spark: SparkSession, d: str) -> DataFrame:
     return events.near_pairs(table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id", 3).groupBy("user_id", "event_type").agg(F.count("*").alias("pairs"))
 
 
-@query()
+@query("""with recursive k as (select user_id, event_type, ts, event_id from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1
+union all select user_id, event_type, ts, event_id from (select e.*, row_number() over (partition by e.user_id, e.event_type order by e.ts, e.event_id) as rn from k join events e on e.user_id = k.user_id and e.event_type = k.event_type and e.ts > k.ts + interval 7 day) where rn = 1)
+select event_id, user_id, event_type, ts from k""")
 def event_greedy_collapse(spark: SparkSession, d: str) -> DataFrame:
     """EVT-03, STF-02: alike events within seven days of the last one kept are dropped."""
     return events.collapsed(table(spark, d, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "event_id", 7)
@@ -260,7 +262,40 @@ def text_findings(spark: SparkSession, d: str) -> DataFrame:
     return found.filter(F.col("name").isin("NEWS_MENTION", "FUNDRAISE_ANNOUNCED", "COMPANY_ACQUIRED")).groupBy("name").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("confidence"))
 
 
-@query()
+_STOPS = ", ".join(f"'{w}'" for w in text.HEADLINE_STOP)
+_RANK = "case lower({0}) " + " ".join(f"when '{k}' then {v}" for k, v in rules.SENIORITY.items()) + " else 0 end"
+_FIELD = "coalesce(json_extract_string({0}, '$.profile.{1}'), json_extract_string({0}, '$.{1}')) as {2}"
+_FIELDS = ", ".join(_FIELD.format(doc, f, f"{side}_{n}") for doc, side in (("j", "a"), ("p", "b")) for n, f in (("headline", "headline"), ("company", "current_company"), ("title", "current_title"), ("seniority", "current_seniority"), ("location", "location")))
+_WORDS = "coalesce(list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+')), lambda x: length(x) > 1 and x not in (" + _STOPS + ")), [])"
+_HAS = "coalesce(trim({0}) <> '', false)"
+_NEWLY = "(coalesce(regexp_matches(a_headline, '{0}'), false) and not coalesce(regexp_matches(b_headline, '{0}'), false))"
+PROFILE_PAIRS_SQL = f"""
+docs as (select observation_id, try_cast(raw_json as json) as j, try_cast(previous_snapshot as json) as p from observation where content_type = 'profile_snapshot' and previous_snapshot is not null and raw_json is not null),
+f as (select observation_id, {_FIELDS} from docs where j is not null and p is not null),
+w as (select *, {_WORDS.format('a_headline')} as aw, {_WORDS.format('b_headline')} as bw from f),
+c as (select *, len(list_filter(aw, lambda x: not list_contains(bw, x))) + len(list_filter(bw, lambda x: not list_contains(aw, x))) as changed, len(list_distinct(list_concat(aw, bw))) as total from w),
+m as (select *, trim(coalesce(a_headline, '')) <> trim(coalesce(b_headline, '')) and changed > 0 and (changed >= 2 or changed > 0.35 * total) as material from c)"""
+_STAYED = f"({_HAS.format('a_company')} and a_company = b_company)"
+_FINDINGS = [
+    ("event", "EMPLOYMENT_ENDED", "{left}", "0.95", "b_company", "b_company"), ("event", "EMPLOYMENT_STARTED", f"{_HAS.format('a_company')} and a_company is distinct from b_company", "0.9", "a_company", "a_company"),
+    ("event", "TITLE_CHANGED", f"{_STAYED} and {_HAS.format('a_title')} and a_title is distinct from b_title", "0.9", "a_title", "a_company"),
+    ("event", "PROMOTION", f"{_STAYED} and a_title is distinct from b_title and {_RANK.format('a_seniority')} > {_RANK.format('b_seniority')}", "0.9", "a_title", "a_company"),
+    ("event", "HEADLINE_CHANGED", "material", "0.98", "a_headline", "null"), ("event", "FOUNDER_TITLE_ADDED", _NEWLY.format(rules.FOUNDER), "0.95", "a_headline", "null"),
+    ("inference", "STEALTH_COMPANY_SIGNAL", _NEWLY.format(rules.STEALTH), "0.7", "a_headline", "null"), ("event", "HIRING_STARTED", _NEWLY.format(rules.HIRING), "0.7", "a_headline", "null"),
+    ("inference", "POSSIBLE_COMPANY_FORMATION", "({signals}) >= 1 and (" + " or ".join(f"coalesce(regexp_matches(a_headline, '{p}'), false)" for p in (rules.BUILDING, rules.STEALTH, rules.FOUNDER)) + ")", "round(least(0.85, 0.35 + 0.2 * ({signals})), 4)", "null", "null"),
+    ("fact", "LOCATION", f"{_HAS.format('a_location')} and a_location is distinct from b_location", "0.85", "a_location", "null"),
+]
+_LEFT = f"({_HAS.format('b_company')} and a_company is distinct from b_company)"
+_SIGNALS = f"{_LEFT}::int + material::int + {_NEWLY.format(rules.FOUNDER)}::int"
+
+
+def _findings_sql() -> str:
+    fill = lambda t: t.replace("{left}", _LEFT).replace("{signals}", _SIGNALS)
+    rows = " union all ".join(f"select observation_id, '{kind}' as kind, '{name}' as name, cast({fill(conf)} as double) as confidence, {value} as value, {org} as organization from m where {fill(test)}" for kind, name, test, conf, value, org in _FINDINGS)
+    return f"with {PROFILE_PAIRS_SQL} {rows}"
+
+
+@query(_findings_sql())
 def profile_findings(spark: SparkSession, d: str) -> DataFrame:
     """DIF-01, DIF-02, EXT-01: events, facts and inferences between a profile and the snapshot before it."""
     side = lambda c: F.struct(*(values.path(F.col(c), f).alias(n) for n, f in (("headline", "headline"), ("company", "current_company"), ("title", "current_title"), ("seniority", "current_seniority"), ("location", "location"))))
