@@ -205,7 +205,8 @@ class SharedSpans:
         spread = self.seeds.groupBy("seed").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).filter("a <> b")
         repeated = broadcast_if_small(cut(spread.select("seed")))
         places = cut(self.seeds.join(repeated, "seed").select("text_key", "at").groupBy("text_key").agg(F.collect_list("at").alias("ats")))
-        again = single.join(broadcast_if_small(places.withColumnRenamed("text_key", "key")), "key")
+        # A row of places holds an array, so fewer rows are proof of a small size.
+        again = single.join(broadcast_if_small(places.withColumnRenamed("text_key", "key"), 20_000), "key")
         self.windows = cut(again.select("key", "text", "ats").mapInArrow(_window_rows(length, seed), "window bigint, text_key bigint, at int, first boolean"))
         mark = F.xxhash64("text_key")
         # A text's windows come from one row, which marks the first of each, so texts are counted without a distinct.
