@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import asof, dedupe, nested, snapshots
-from quillon.session import table
+from quillon.session import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +76,7 @@ def roster(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return snapshots.changes(roster(spark, d), "snapshot_date", "person_id", ["title", "company", "headline"])
+    return snapshots.changes(cut(roster(spark, d)), "snapshot_date", "person_id", ["title", "company", "headline"])
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
