@@ -272,9 +272,9 @@ class Mapper:
 
 
 def read_list(df: DataFrame, key: str, name: str, extra: str | None = None) -> list[tuple[str, str, str | None]]:
-    """A reference list on the driver, its size proven first; rows with a null id or name are left out."""
+    """A reference list on the driver, its size proven first; repeated rows and rows with a null id or name are left out."""
     rows = df.select(F.col(key).cast("string"), F.col(name).cast("string"), (F.col(extra) if extra else F.lit(None)).cast("string"))
-    rows = rows.filter(rows[0].isNotNull() & rows[1].isNotNull()).limit(MOST_ENTRIES + 1).collect()
+    rows = rows.filter(rows[0].isNotNull() & rows[1].isNotNull()).distinct().limit(MOST_ENTRIES + 1).collect()
     if len(rows) > MOST_ENTRIES:
         raise ValueError(f"the reference list has more than {MOST_ENTRIES} entries")
     return [tuple(r) for r in rows]

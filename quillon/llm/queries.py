@@ -40,7 +40,7 @@ def p4_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "observation").select("observation_id", "subject_hint").filter("subject_hint is not null")
-    people = table(spark, d, "watchlist").groupBy("canonical_name").agg(F.min("person_id").alias("person_id"), F.count("*").alias("n")).filter("n = 1")
+    people = table(spark, d, "watchlist").groupBy("canonical_name").agg(F.min("person_id").alias("person_id"), F.count_distinct("person_id").alias("n")).filter("n = 1")
     linked = names.link(o.select(F.col("subject_hint").alias("name")), people.select(F.col("canonical_name").alias("name")))
     linked = linked.filter("name <> center").join(people, F.col("center") == F.col("canonical_name")).select(F.col("name").alias("subject_hint"), "person_id")
     return o.join(broadcast_if_small(cut(linked)), "subject_hint").select("observation_id", "person_id")
