@@ -43,5 +43,6 @@ def access(found: DataFrame, base: Column, bonus: float = 4.0, most_bonus: float
     """
     scored = found.withColumn("base", base)
     by = scored.groupBy("target").agg(F.max(F.struct("base", (-F.col("hops")).alias("near"))).alias("b"), F.count_distinct("first_hop").alias("routes"))
-    score = F.least(F.lit(100.0), F.col("b.base") + F.least(F.lit(most_bonus), bonus * (F.col("routes") - 1)))
+    adjusted = F.col("b.base") + F.least(F.lit(most_bonus), bonus * (F.col("routes") - 1))
+    score = F.when(F.col("b.base").isNotNull(), F.least(F.lit(100.0), adjusted))
     return by.select("target", (-F.col("b.near")).alias("hops"), F.col("b.base").alias("base"), "routes", F.round(score, 4).alias("score"))

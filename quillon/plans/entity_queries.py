@@ -309,3 +309,81 @@ def override_upsert(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "person")
     new = p.filter("merged_into_id is not null").select("person_id", F.lit("ARCHIVED").alias("monitoring_status")).union(spark.range(1).select(F.lit("pe-new"), F.lit("REVIEW")))
     return ingest.merged(p.select("person_id", "monitoring_status"), new, ["person_id"])
+
+
+@query(f"with {_EDGES} select c_custkey as person, count(*) as edges, max(strength) as strongest from customer join raw on c_custkey = a or c_custkey = b where c_custkey <= 500 group by 1")
+def or_edge_join(spark: SparkSession, d: str) -> DataFrame:
+    """JN-08: edges that touch a person on either end, as a union of two equi-joins."""
+    people = table(spark, d, "customer").filter("c_custkey <= 500").select(F.col("c_custkey").alias("person"))
+    e = table(spark, d, "events").filter("event_type = 'purchase' and value > 80")
+    strength = F.when(F.col("value") > 150, 3).when(F.col("value") > 100, 2).otherwise(1)
+    raw = e.groupBy(F.col("user_id").alias("a"), (F.get_json_object("props", "$.k").cast("bigint") + 1_000_000).alias("b")).agg(F.max(strength).alias("strength"))
+    ends = raw.select(F.col("a").alias("person"), "strength").union(raw.filter("a <> b").select("b", "strength"))
+    return people.join(ends, "person").groupBy("person").agg(F.count("*").alias("edges"), F.max("strength").alias("strongest"))
+
+
+@query(f"""with {_PATHS}, b as (select *, case when hops <= 2 and weakest = 1 then null when hops = 1 then 90.0 when hops = 2 then 45.0 else 15.0 end as base from paths)
+select count(*) as targets, count(base) as known from (select target, max(base) as base from b where hops <= 2 group by 1)""")
+def access_unknown(spark: SparkSession, d: str) -> DataFrame:
+    """GRF-06: targets reached only over edges of unknown strength have an unknown score, not zero."""
+    base = F.when((F.col("hops") <= 2) & (F.col("weakest") == 1), F.lit(None)).when(F.col("hops") == 1, 90.0).when(F.col("hops") == 2, 45.0).otherwise(15.0)
+    a = graph.access(_paths(spark, d).filter("hops <= 2"), base)
+    return a.agg(F.count("*").alias("targets"), F.count("score").alias("known"))
+
+
+@query("""with c as (select candidate_id, list_distinct(list_filter(list_transform(list_append(coalesce(prior_employers, []), current_employer), lambda x: lower(trim(x))), lambda x: x <> '')) as es from er_candidate),
+k as (select candidate_id, unnest(es) as e from c), o as (select organization_id, lower(canonical_name) as e from organization)
+select candidate_id, count(distinct organization_id) as employers from k join o using (e) group by 1""")
+def candidate_employers(spark: SparkSession, d: str) -> DataFrame:
+    """ER-12, ER-13, SET-02: the employers of a candidate that are exactly known organisations."""
+    c = table(spark, d, "er_candidate").select("candidate_id", F.explode(F.array_distinct(F.transform(F.array_append(F.coalesce("prior_employers", F.array().cast("array<string>")), F.col("current_employer")), lambda x: F.lower(F.trim(x))))).alias("e")).filter("e <> ''")
+    o = table(spark, d, "organization").select("organization_id", F.lower("canonical_name").alias("e"))
+    return c.join(o, "e").groupBy("candidate_id").agg(F.count_distinct("organization_id").alias("employers"))
+
+
+_RANKS = "case lower(seniority) " + " ".join(f"when '{k}' then {v}" for k, v in (("ic", 1), ("senior_ic", 2), ("manager", 3), ("director", 4), ("vp", 5), ("svp", 6), ("c_level", 7), ("partner", 7), ("founder", 7), ("board", 6), ("advisor", 3))) + " else 0 end"
+
+
+@query(f"select person_id, max({_RANKS}) as top_rank, list_sort(list(distinct function) filter (function is not null)) as functions from employment group by 1")
+def seniority_reached(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-13, AGG-16, MAP-01, MAP-03: the highest rank of a person and the functions held."""
+    from quillon.operators.rules import SENIORITY
+
+    e = table(spark, d, "employment")
+    functions = F.array_sort(F.collect_set("function"))
+    by = e.groupBy("person_id").agg(F.max(numbers.lookup(F.lower("seniority"), SENIORITY, 0)).alias("top_rank"), functions.alias("functions"))
+    return by.withColumn("functions", F.when(F.size("functions") > 0, F.col("functions")))
+
+
+@query("""with h as (select list(distinct s) filter (s is not null) as held from (select unnest(list_concat([attributes.sector], coalesce(attributes.sectors, []))) as s from organization where is_portfolio)),
+p as (select organization_id, list_distinct(list_filter(list_concat([attributes.sector], coalesce(attributes.sectors, [])), lambda x: x is not null)) as own from organization)
+select organization_id, round(least(1.0, len(list_intersect(own, held)) / greatest(1, least(len(own), 3))), 4) as adjacency from p, h""")
+def portfolio_adjacency(spark: SparkSession, d: str) -> DataFrame:
+    """THS-04: how far an organisation's sectors are those of the portfolio."""
+    o = table(spark, d, "organization")
+    own = F.array_compact(F.array_distinct(F.concat(F.array("attributes.sector"), F.coalesce("attributes.sectors", F.array().cast("array<string>")))))
+    held = o.filter("is_portfolio").select(F.explode(own).alias("s")).distinct().agg(F.collect_set("s").alias("held"))
+    share = F.size(F.array_intersect(own, F.col("held"))) / F.greatest(F.lit(1), F.least(F.size(own), F.lit(3)))
+    return o.join(F.broadcast(held)).select("organization_id", F.round(F.least(F.lit(1.0), share), 4).alias("adjacency"))
+
+
+@query("""select fact_type, subject_id, value.value as value from (select *, row_number() over (partition by subject_id, fact_type order by coalesce(verified_at, created_at) desc, fact_id) as rn from fact where value.status = 'known') where rn = 1""")
+def known_facts_first(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-16, WIN-05, WIN-07: the newest known fact of each type."""
+    f = table(spark, d, "fact").filter("value.status = 'known'")
+    first = timeline.latest(f, ["subject_id", "fact_type"], [F.coalesce("verified_at", "created_at").desc(), F.asc("fact_id")])
+    return first.select("fact_type", "subject_id", F.col("value.value").alias("value"))
+
+
+@query("""select organization_id, 'https://search.example/?q=' || replace(lower(canonical_name), ' ', '+') || '+' || coalesce(attributes.stage, 'any') as query from organization where canonical_name is not null""")
+def query_strings(spark: SparkSession, d: str) -> DataFrame:
+    """STR-08: search strings built from attributes."""
+    o = table(spark, d, "organization").filter("canonical_name is not null")
+    return o.select("organization_id", F.concat(F.lit("https://search.example/?q="), F.replace(F.lower("canonical_name"), F.lit(" "), F.lit("+")), F.lit("+"), F.coalesce("attributes.stage", F.lit("any"))).alias("query"))
+
+
+@query("""select organization_type, count(*) as n, count(aum_usd) as disclosed, round(cast(sum(aum_usd) as double), 2) as aum, round(cast(max(aum_usd) as double), 2) as largest from organization group by 1""")
+def allocator_capital(spark: SparkSession, d: str) -> DataFrame:
+    """FEA-05, FEA-06, DT-08: disclosed capital by type; undisclosed is unknown."""
+    total = lambda c: F.round(c.cast("double"), 2)
+    return table(spark, d, "organization").groupBy("organization_type").agg(F.count("*").alias("n"), F.count("aum_usd").alias("disclosed"), total(F.sum("aum_usd")).alias("aum"), total(F.max("aum_usd")).alias("largest"))

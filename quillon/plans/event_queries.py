@@ -357,3 +357,22 @@ def calendar_upcoming(spark: SparkSession, d: str) -> DataFrame:
     """FLT-06, RPT-10: documents by month in order."""
     x = table(spark, d, "documents").filter("published_at is not null")
     return x.groupBy(F.date_trunc("month", "published_at").cast("timestamp_ntz").alias("month")).agg(F.count("*").alias("docs"))
+
+
+@query("""select content_type, count(*) as n, count(*) filter (observed_at - coalesce(occurred_at, observed_at) > interval 7 day) as late,
+count(*) filter (occurred_at is null) as undated, count(*) filter (coalesce(occurred_at, observed_at) <= timestamp '2026-06-01' and observed_at <= timestamp '2026-06-01') as visible from observation group by 1""")
+def visible_observations(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-03, FLT-09, FLT-10, FLT-11, SRC-03: what occurred and was known by a moment, and what came late."""
+    at = F.lit("2026-06-01").cast("timestamp_ntz")
+    o = table(spark, d, "observation").withColumn("when", F.coalesce("occurred_at", "observed_at"))
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
+    late = F.timestamp_diff("MICROSECOND", F.col("when"), F.col("observed_at")) > 7 * 86_400_000_000
+    return o.groupBy("content_type").agg(F.count("*").alias("n"), count(late).alias("late"), count(F.col("occurred_at").isNull()).alias("undated"), count((F.col("when") <= at) & (F.col("observed_at") <= at)).alias("visible"))
+
+
+@query("""select story_cluster_key, list_sort(list(observation_id)) as evidence_ids, count(distinct source_id) as sources from observation where story_cluster_key is not null group by 1 having count(*) > 1""")
+def evidence_by_story(spark: SparkSession, d: str) -> DataFrame:
+    """EVT-04, GRF-07, SCO-10: the observations behind each story."""
+    o = table(spark, d, "observation").filter("story_cluster_key is not null")
+    by = o.groupBy("story_cluster_key").agg(F.array_sort(F.collect_list("observation_id")).alias("evidence_ids"), F.count_distinct("source_id").alias("sources"))
+    return by.filter(F.size("evidence_ids") > 1)

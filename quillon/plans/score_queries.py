@@ -268,3 +268,18 @@ def weekly_pipeline(spark: SparkSession, d: str) -> DataFrame:
     last, _ = pipeline.weekly(spark, d, "2026-09-06")
     before, _ = pipeline.weekly(spark, d, "2026-08-30")
     return pipeline.with_changes(last["scores"], before["scores"])
+
+
+@query("""with e as (select c.candidate_id, c.name = p.canonical_name as predicted, c.email is not null and lower(trim(c.email)) = lower(p.primary_email) as gold from er_candidate c join person p on lower(trim(c.name)) = lower(p.canonical_name) or lower(trim(c.email)) = lower(p.primary_email))
+select count(*) as pairs, round(avg(case when predicted and gold then 1.0::double else 0.0 end), 6) as correct, round(avg(case when predicted and not gold then 1.0::double else 0.0 end), 6) as false_merge, round(avg(case when gold and not predicted then 1.0::double else 0.0 end), 6) as missed,
+round(avg(case when predicted and gold then 1.0::double else 0.0 end) - 5 * avg(case when predicted and not gold then 1.0::double else 0.0 end), 6) as score from e""")
+def resolution_rates(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-23, SCO-11: shares of right, falsely merged and missed pairs, and their score."""
+    c = table(spark, d, "er_candidate").select("candidate_id", "name", F.lower(F.trim("name")).alias("ln"), F.lower(F.trim("email")).alias("mail"))
+    p = table(spark, d, "person").select("person_id", "canonical_name", F.lower("canonical_name").alias("ln"), F.lower("primary_email").alias("mail"), F.monotonically_increasing_id().alias("row"))
+    pairs = c.join(p.select("ln", "row"), "ln").select("candidate_id", "row").union(c.join(p.select("mail", "row"), "mail").select("candidate_id", "row")).distinct()
+    e = pairs.join(c, "candidate_id").join(p.withColumnsRenamed({"ln": "pln", "mail": "pmail"}), "row")
+    e = e.select((F.col("name") == F.col("canonical_name")).alias("predicted"), F.coalesce(F.col("mail") == F.col("pmail"), F.lit(False)).alias("gold"))
+    share = lambda x: F.avg(F.when(x, 1.0).otherwise(0.0))
+    right, wrong, missed = share(F.col("predicted") & F.col("gold")), share(F.col("predicted") & ~F.col("gold")), share(F.col("gold") & ~F.col("predicted"))
+    return e.agg(F.count("*").alias("pairs"), F.round(right, 6).alias("correct"), F.round(wrong, 6).alias("false_merge"), F.round(missed, 6).alias("missed"), F.round(right - 5 * wrong, 6).alias("score"))

@@ -133,6 +133,8 @@ def test_paths_and_access(spark):
     base = F.when(F.col("weakest") == 3, 45.0).when(F.col("weakest") == 2, 30.0).otherwise(F.lit(None))
     scores = {r.target: (r.base, r.routes, r.score) for r in graph.access(p, base).collect()}
     assert scores["b"] == (45.0, 2, 49.0)
+    none = graph.access(p, F.lit(None).cast("double")).collect()
+    assert none and all(r.score is None for r in none)
 
 
 def test_scores_add_up_and_unknown_stays_out(spark):
