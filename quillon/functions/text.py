@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that a headline comparison ignores: fixed values.
-HEADLINE_STOP = ("a", "an", "and", "at", "for", "in", "of", "on", "the", "to", "with", "is", "i", "my")
+HEADLINE_STOP = ("a", "an", "the", "at", "of", "in", "on", "for", "to", "and", "or", "with", "building", "builds", "is", "are", "i'm", "im", "my", "me", "new")
 #: Words that a story key ignores: fixed values.
 STORY_STOP = (
-    "the", "and", "for", "with", "from", "that", "this", "has", "have", "will", "was", "were", "are", "its", "into", "over",
-    "after", "before", "about", "new", "says", "said", "more", "than", "who", "what", "how", "why", "their", "his", "her",
+    "the", "a", "an", "of", "to", "in", "on", "for", "and", "or", "with", "is", "are", "as", "at", "by", "from", "into", "over", "after", "new", "round", "report", "says", "say", "said",
+    "announces", "announce", "announced", "reveals", "unveils", "update", "startup", "company", "firm", "inc", "llc", "ltd", "exclusive", "breaking", "today", "this", "week", "amid",
 )
 
 

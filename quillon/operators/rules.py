@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.numbers import lookup
-from quillon.functions.text import clean_org, hits, material_change
+from quillon.functions.text import clean_org, hits, material_change, snippet
 
 
 @dataclass(frozen=True)
@@ -40,53 +40,107 @@ def findings(df: DataFrame, rules: list[Finding], keep: list[str]) -> DataFrame:
 SENIORITY = {"ic": 1, "senior_ic": 2, "manager": 3, "director": 4, "vp": 5, "svp": 6, "c_level": 7, "partner": 7, "founder": 7, "board": 6, "advisor": 3}
 
 #: Phrases that mark a headline: fixed values.
-BUILDING, STEALTH, FOUNDER, HIRING = r"(?i)\bbuilding\b", r"(?i)\bstealth\b", r"(?i)\b(co-?)?founder\b", r"(?i)\b(we.?re hiring|hiring|join (us|my team))\b"
+BUILDING = r"(?i)\b(building|stealth|working on something new|founder|co[- ]?founder|something new|new (?:company|venture|thing)|0\s*to\s*1)\b"
+STEALTH = r"(?i)\b(stealth|quietly building|under wraps)\b"
+FOUNDER = r"(?i)\b(founder|co[- ]?founder|founding (?:team|engineer)|ceo & founder)\b"
+COFOUNDER_SEARCH = r"(?i)\b(looking for a (?:technical )?co[- ]?founder|cofounder wanted)\b"
+HIRING = r"(?i)\b(we'?re hiring|now hiring|join us|hiring across)\b"
 
 
 def profile_rules(before: str, after: str) -> list[Finding]:
-    """Rules on two profiles, struct columns with headline, company, title, seniority and location."""
+    """Rules on two profiles: struct columns with text headline, company, title, seniority and location and the
+    booleans building, founder and open. A formation is inferred from one signal or more and a sign of it now."""
     b, a = (lambda f: F.col(f"{before}.{f}")), (lambda f: F.col(f"{after}.{f}"))
-    has = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
-    left, joined = has(b("company")) & ~a("company").eqNullSafe(b("company")), has(a("company")) & ~a("company").eqNullSafe(b("company"))
-    stayed = has(a("company")) & (a("company") == b("company"))
-    newly = lambda pattern: F.coalesce(a("headline").rlike(pattern), F.lit(False)) & ~F.coalesce(b("headline").rlike(pattern), F.lit(False))
-    headline = material_change(b("headline"), a("headline"))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    has = lambda c: sure(F.trim(c) != "")
+    says = lambda side, pattern: sure(side("headline").rlike(pattern))
+    newly = lambda pattern: says(a, pattern) & ~says(b, pattern)
+    other_company = ~a("company").eqNullSafe(b("company"))
+    left, joined = has(b("company")) & other_company, has(a("company")) & other_company
+    stayed = has(a("company")) & sure(a("company") == b("company"))
+    retitled = stayed & has(a("title")) & ~a("title").eqNullSafe(b("title"))
     rose = lookup(F.lower(a("seniority")), SENIORITY, 0) > lookup(F.lower(b("seniority")), SENIORITY, 0)
-    signals = left.cast("int") + headline.cast("int") + newly(FOUNDER).cast("int")
-    now = reduce(lambda x, y: x | y, (F.coalesce(a("headline").rlike(p), F.lit(False)) for p in (BUILDING, STEALTH, FOUNDER)))
+    headline = material_change(b("headline"), a("headline"))
+    building_now, building_before = (sure(s("building")) | says(s, BUILDING) for s in (a, b))
+    founder_now, founder_before = (sure(s("founder")) | says(s, FOUNDER) for s in (a, b))
+    stealth = says(a, STEALTH)
+    signals = reduce(lambda x, y: x + y, (c.cast("int") for c in (left, building_now & ~building_before, stealth, founder_now & ~founder_before)))
+    formation = F.round(F.least(F.lit(0.85), F.lit(0.35) + 0.2 * signals), 4)
+    opened = sure(a("open")) & ~sure(b("open"))
+    moved = has(a("location")) & ~a("location").eqNullSafe(b("location"))
     return [
         Finding("event", "EMPLOYMENT_ENDED", left, 0.95, b("company"), b("company")),
+        Finding("fact", "EMPLOYMENT_ENDED_AT", left, 0.95, b("company"), b("company")),
         Finding("event", "EMPLOYMENT_STARTED", joined, 0.9, a("company"), a("company")),
-        Finding("event", "TITLE_CHANGED", stayed & has(a("title")) & ~a("title").eqNullSafe(b("title")), 0.9, a("title"), a("company")),
-        Finding("event", "PROMOTION", stayed & rose & ~a("title").eqNullSafe(b("title")), 0.9, a("title"), a("company")),
+        Finding("fact", "CURRENT_TITLE", joined, 0.9, F.coalesce(a("title"), F.lit("unknown")), a("company")),
+        Finding("event", "TITLE_CHANGED", retitled, 0.9, a("title"), a("company")),
+        Finding("event", "PROMOTION", retitled & rose, 0.9, a("title"), a("company")),
+        Finding("fact", "HEADLINE_CHANGED", headline, 0.98, a("headline")),
+        Finding("fact", "HEADLINE_TEXT", headline, 0.99, F.coalesce(a("headline"), F.lit(""))),
         Finding("event", "HEADLINE_CHANGED", headline, 0.98, a("headline")),
-        Finding("event", "FOUNDER_TITLE_ADDED", newly(FOUNDER), 0.95, a("headline")),
+        Finding("event", "FOUNDER_TITLE_ADDED", founder_now & ~founder_before, 0.95, a("headline")),
         Finding("inference", "STEALTH_COMPANY_SIGNAL", newly(STEALTH), 0.7, a("headline")),
+        Finding("event", "COFOUNDER_SEARCH", says(a, COFOUNDER_SEARCH), 0.85, a("headline")),
         Finding("event", "HIRING_STARTED", newly(HIRING), 0.7, a("headline")),
-        Finding("inference", "POSSIBLE_COMPANY_FORMATION", (signals >= 1) & now, F.round(F.least(F.lit(0.85), F.lit(0.35) + 0.2 * signals), 4)),
-        Finding("fact", "LOCATION", has(a("location")) & ~a("location").eqNullSafe(b("location")), 0.85, a("location")),
+        Finding("inference", "POSSIBLE_COMPANY_FORMATION", (signals >= 1) & (building_now | founder_now | stealth), formation),
+        Finding("event", "OPEN_TO_WORK_SIGNAL", opened, 0.9),
+        Finding("fact", "OPEN_TO_WORK_DECLARED", opened, 0.95),
+        Finding("fact", "LOCATION", moved, 0.85, a("location")),
     ]
 
 
-#: Organisation after a verb of movement in prose: fixed pattern.
-ORG_AFTER = r"(?:left|leaving|joins|joined|departed)\s+([A-Z][\w&.-]*(?:\s+[A-Z][\w&.-]*)?)"
-
-
-def text_rules(text: str, subject: str, content_type: str) -> list[Finding]:
-    """Rules on free text."""
+#: Patterns of free text: fixed values.
+ORG_AFTER = r"\b(?:at|from|joined|joins|joining|left|leaving|departs?|departing)\s+([A-Z][A-Za-z0-9&.\- ]{1,40}?)(?=[\s,.;:]|$)"
+RAISED = r"(?i)\brais(?:e|ed|ing)\s+\$?\s?(\d[\d.,]*)\s*(k|m|bn|b|million|billion)?"
+RAISED_A = r"(?i)\brais(?:e|ed|ing)\s+(?:an?\s+)?\$?\s?(\d[\d.,]*)\s*(k|m|bn|b|million|billion)?"
+SERIES = r"(?i)\b(pre-?seed|seed|series\s+[a-e])\b"
+LAUNCH = r"(?i)\b(launch(?:ed|ing)?|introducing|unveil(?:ed|ing)?|now available)\b"
+TEXT_STEALTH = r"(?i)\bstealth\b"
+TEXT_BUILDING = r"(?i)\b(building (?:a|his|her|their|out) \w+|working on something new|starting (?:a|his|her|their) (?:company|startup|venture)|(?:new|early-stage) startup|(?:in|now in) stealth)\b"
+TEXT_COFOUNDER = r"looking for a (?:technical )?co-?founder"
+OPEN_TO_WORK = r"(?i)\bopen to (?:work|new (?:roles|opportunities))\b"
+PARTNER = r"(?i)\b(joined|promoted to|named)\s+(?:as\s+)?partner\b"
+CIO = r"\b(chief investment officer|\bCIO\b)\b"
+MANDATE = r"(?i)\b(venture (?:allocation|mandate)|allocate to venture|alternatives mandate)\b"
+PATENT = r"(?i)\bpatent\b"
+PAPER = r"(?i)\b(arxiv|published a paper|paper accepted|preprint)\b"
+ACQUIRED = r"(?i)\b(acquired by|acquisition of|has acquired)\b"
+#: Words that go with a pattern or a departure: fixed values.
+LEAVING, LEAVING_TOO = ("left ", "leaving ", "departed", "stepping down", "after "), ("years at", "left ", "departing")
+PRODUCT_WORDS = ("product", "platform", "app", "tool", "model", "project", "infrastructure")
+APPOINTED = ("appointed", "named", "joins", "joined", "new")
+
+
+def text_rules(text: str, subject: str, content_type: str, raised: str = RAISED) -> list[Finding]:
+    """Rules on free text. ``raised`` may be RAISED_A, which also reads 'raised a $28M'."""
     t, low = F.col(text), F.lower(F.col(text))
-    any_of = lambda *words: reduce(lambda x, y: x | y, (low.contains(w) for w in words))
+    any_of = lambda words: reduce(lambda x, y: x | y, (low.contains(w) for w in words))
     org = F.nullif(clean_org(F.regexp_extract(t, ORG_AFTER, 1)), F.lit(""))
+    ended = any_of(LEAVING) & any_of(LEAVING_TOO)
+    funded = t.rlike(raised) & t.rlike(SERIES)
+    launched, infra = t.rlike(LAUNCH) & any_of(PRODUCT_WORDS), any_of(("infrastructure", "infra"))
+    opened, mandate = t.rlike(OPEN_TO_WORK), t.rlike(MANDATE)
     return [
         Finding("event", "NEWS_MENTION", (F.col(content_type) == "news_article") & F.col(subject).isNotNull(), 0.75, F.col(subject)),
-        Finding("event", "EMPLOYMENT_ENDED", any_of("left ", "leaving ", "departed", "stepping down", "resigned") & any_of("years", "left ", "departing"), 0.8, None, org),
-        Finding("event", "FUNDRAISE_ANNOUNCED", t.rlike(r"(?i)\b(raised|raises|put)\b") & t.rlike(r"(?i)\b(million|series [a-e])\b"), 0.85),
-        Finding("event", "PRODUCT_LAUNCH", t.rlike(r"(?i)\b(launch(ed|es)?|ships?|shipped|released?|unveil(ed|s)?)\b"), 0.75),
-        Finding("inference", "STEALTH_COMPANY_SIGNAL", t.rlike(STEALTH), 0.65),
-        Finding("inference", "POSSIBLE_COMPANY_FORMATION", t.rlike(BUILDING) & (F.col(content_type) != "profile_snapshot"), 0.5),
-        Finding("event", "COMPANY_ACQUIRED", t.rlike(r"(?i)\b(acquired|acquires|acquisition)\b"), 0.8),
-        Finding("event", "PATENT_FILED", t.rlike(r"(?i)\bpatent(s|ed)?\b") | (F.col(content_type) == "patent"), 0.7),
-        Finding("event", "PAPER_PUBLISHED", t.rlike(r"(?i)\b(arxiv|published a paper)\b") | (F.col(content_type) == "paper"), 0.7),
+        Finding("event", "EMPLOYMENT_ENDED", ended, 0.8, None, org),
+        Finding("fact", "EMPLOYMENT_ENDED_AT", ended, 0.8, snippet(t, ["left", "after", "depart"]), org),
+        Finding("event", "FUNDRAISE_ANNOUNCED", funded, 0.85),
+        Finding("fact", "INSTITUTIONAL_FUNDRAISE", funded, 0.85, snippet(t, ["rais", "seed", "series"])),
+        Finding("event", "TECHNICAL_PROJECT_LAUNCHED", launched & infra, 0.75),
+        Finding("event", "PRODUCT_LAUNCH", launched & ~infra, 0.75),
+        Finding("fact", "PRODUCT_SHIPPED", launched, 0.7, snippet(t, ["launch", "introduc", "unveil"])),
+        Finding("inference", "STEALTH_COMPANY_SIGNAL", t.rlike(TEXT_STEALTH), 0.65),
+        Finding("inference", "POSSIBLE_COMPANY_FORMATION", t.rlike(TEXT_BUILDING) & (F.col(content_type) != "profile_snapshot"), 0.5),
+        Finding("event", "COFOUNDER_SEARCH", low.rlike(TEXT_COFOUNDER), 0.8),
+        Finding("event", "OPEN_TO_WORK_SIGNAL", opened, 0.85),
+        Finding("fact", "OPEN_TO_WORK_DECLARED", opened, 0.85),
+        Finding("event", "PARTNER_ROLE_STARTED", t.rlike(PARTNER), 0.8, None, org),
+        Finding("event", "CIO_ROLE_STARTED", t.rlike(CIO) & any_of(APPOINTED), 0.8, None, org),
+        Finding("event", "INVESTMENT_MANDATE_CHANGED", mandate, 0.8),
+        Finding("fact", "INVESTMENT_MANDATE", mandate, 0.8, F.lit("venture allocation")),
+        Finding("event", "PATENT_FILED", t.rlike(PATENT), 0.7),
+        Finding("event", "PAPER_PUBLISHED", t.rlike(PAPER), 0.7),
+        Finding("event", "COMPANY_ACQUIRED", t.rlike(ACQUIRED), 0.8, None, org),
     ]
 
 

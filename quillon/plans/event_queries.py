@@ -251,24 +251,38 @@ def discovery_rule_match(spark: SparkSession, d: str) -> DataFrame:
     return rules.discovered(table(spark, d, "documents"), "text", "doc_id", RULES).withColumn("signals", F.col("signals").cast("bigint"))
 
 
-@query("""select name, count(*) as n, round(avg(confidence), 4) as confidence from (
-select 'NEWS_MENTION' as name, 0.75 as confidence from observation where content_type = 'news_article' and subject_hint is not null and raw_text is not null
-union all select 'FUNDRAISE_ANNOUNCED', 0.85 from observation where regexp_matches(raw_text, '(?i)\\b(raised|raises|put)\\b') and regexp_matches(raw_text, '(?i)\\b(million|series [a-e])\\b')
-union all select 'COMPANY_ACQUIRED', 0.8 from observation where regexp_matches(raw_text, '(?i)\\b(acquired|acquires|acquisition)\\b')) group by 1""")
+_SAID = lambda words: "(" + " or ".join(f"contains(lower(raw_text), '{w}')" for w in words) + ")"
+_TEXT_FINDINGS = {
+    "NEWS_MENTION": ("content_type = 'news_article' and subject_hint is not null", 0.75),
+    "EMPLOYMENT_ENDED": (f"{_SAID(rules.LEAVING)} and {_SAID(rules.LEAVING_TOO)}", 0.8),
+    "FUNDRAISE_ANNOUNCED": (f"regexp_matches(raw_text, '{rules.RAISED}') and regexp_matches(raw_text, '{rules.SERIES}')", 0.85),
+    "PRODUCT_LAUNCH": (f"regexp_matches(raw_text, '{rules.LAUNCH}') and {_SAID(rules.PRODUCT_WORDS)} and not contains(lower(raw_text), 'infra')", 0.75),
+    "COMPANY_ACQUIRED": (f"regexp_matches(raw_text, '{rules.ACQUIRED}')", 0.8),
+    "PATENT_FILED": (f"regexp_matches(raw_text, '{rules.PATENT}')", 0.7),
+    "POSSIBLE_COMPANY_FORMATION": (f"regexp_matches(raw_text, '{rules.TEXT_BUILDING}') and content_type <> 'profile_snapshot'", 0.5),
+}
+
+
+@query("select name, count(*) as n, round(avg(confidence), 4) as confidence from (" + " union all ".join(f"select '{n}' as name, cast({c} as double) as confidence from observation where raw_text is not null and {w}" for n, (w, c) in _TEXT_FINDINGS.items()) + ") group by 1")
 def text_findings(spark: SparkSession, d: str) -> DataFrame:
-    """EXT-01, EXT-03, STR-06: findings in free text, three of the rules counted."""
+    """EXT-01, EXT-03, STR-06: findings in free text, counted by rule."""
     o = table(spark, d, "observation").filter("raw_text is not null")
     found = rules.findings(o, rules.text_rules("raw_text", "subject_hint", "content_type"), ["observation_id"])
-    return found.filter(F.col("name").isin("NEWS_MENTION", "FUNDRAISE_ANNOUNCED", "COMPANY_ACQUIRED")).groupBy("name").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("confidence"))
+    return found.filter(F.col("name").isin(*_TEXT_FINDINGS) & (F.col("kind") != "fact")).groupBy("name").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("confidence"))
 
 
-_STOPS = ", ".join(f"'{w}'" for w in text.HEADLINE_STOP)
+_QUOTED = lambda t: t.replace("'", "''")
+_STOPS = ", ".join(f"'{_QUOTED(w)}'" for w in text.HEADLINE_STOP)
 _RANK = "case lower({0}) " + " ".join(f"when '{k}' then {v}" for k, v in rules.SENIORITY.items()) + " else 0 end"
 _FIELD = "coalesce(json_extract_string({0}, '$.profile.{1}'), json_extract_string({0}, '$.{1}')) as {2}"
-_FIELDS = ", ".join(_FIELD.format(doc, f, f"{side}_{n}") for doc, side in (("j", "a"), ("p", "b")) for n, f in (("headline", "headline"), ("company", "current_company"), ("title", "current_title"), ("seniority", "current_seniority"), ("location", "location")))
+_FIELDS = ", ".join(_FIELD.format(doc, f, f"{side}_{n}") for doc, side in (("j", "a"), ("p", "b")) for n, f in (("headline", "headline"), ("company", "current_company"), ("title", "current_title"), ("seniority", "current_seniority"), ("location", "location"), ("building", "building"), ("founder", "founder_status"), ("open", "open_to_work")))
 _WORDS = "coalesce(list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+')), lambda x: length(x) > 1 and x not in (" + _STOPS + ")), [])"
 _HAS = "coalesce(trim({0}) <> '', false)"
-_NEWLY = "(coalesce(regexp_matches(a_headline, '{0}'), false) and not coalesce(regexp_matches(b_headline, '{0}'), false))"
+_SAYS = lambda side, p: f"coalesce(regexp_matches({side}_headline, '{_QUOTED(p)}'), false)"
+_NEWLY = lambda p: f"({_SAYS('a', p)} and not {_SAYS('b', p)})"
+_FLAG = lambda side, name: f"(coalesce({side}_{name}, 'false') not in ('false', '', 'null', '0'))"
+_NOW = {n: [f"({_FLAG(side, n)} or {_SAYS(side, p)})" for side in ("a", "b")] for n, p in (("building", rules.BUILDING), ("founder", rules.FOUNDER))}
+_TURNED = {n: f"({now} and not {before})" for n, (now, before) in _NOW.items()}
 PROFILE_PAIRS_SQL = f"""
 docs as (select observation_id, try_cast(raw_json as json) as j, try_cast(previous_snapshot as json) as p from observation where content_type = 'profile_snapshot' and previous_snapshot is not null and raw_json is not null),
 f as (select observation_id, {_FIELDS} from docs where j is not null and p is not null),
@@ -276,29 +290,35 @@ w as (select *, {_WORDS.format('a_headline')} as aw, {_WORDS.format('b_headline'
 c as (select *, len(list_filter(aw, lambda x: not list_contains(bw, x))) + len(list_filter(bw, lambda x: not list_contains(aw, x))) as changed, len(list_distinct(list_concat(aw, bw))) as total from w),
 m as (select *, trim(coalesce(a_headline, '')) <> trim(coalesce(b_headline, '')) and changed > 0 and (changed >= 2 or changed > 0.35 * total) as material from c)"""
 _STAYED = f"({_HAS.format('a_company')} and a_company = b_company)"
+_LEFT = f"({_HAS.format('b_company')} and a_company is distinct from b_company)"
+_JOINED = f"({_HAS.format('a_company')} and a_company is distinct from b_company)"
+_RETITLED = f"({_STAYED} and {_HAS.format('a_title')} and a_title is distinct from b_title)"
+_OPENED = f"({_FLAG('a', 'open')} and not {_FLAG('b', 'open')})"
+_SIGNALS = f"({_LEFT}::int + {_TURNED['building']}::int + {_SAYS('a', rules.STEALTH)}::int + {_TURNED['founder']}::int)"
 _FINDINGS = [
-    ("event", "EMPLOYMENT_ENDED", "{left}", "0.95", "b_company", "b_company"), ("event", "EMPLOYMENT_STARTED", f"{_HAS.format('a_company')} and a_company is distinct from b_company", "0.9", "a_company", "a_company"),
-    ("event", "TITLE_CHANGED", f"{_STAYED} and {_HAS.format('a_title')} and a_title is distinct from b_title", "0.9", "a_title", "a_company"),
-    ("event", "PROMOTION", f"{_STAYED} and a_title is distinct from b_title and {_RANK.format('a_seniority')} > {_RANK.format('b_seniority')}", "0.9", "a_title", "a_company"),
-    ("event", "HEADLINE_CHANGED", "material", "0.98", "a_headline", "null"), ("event", "FOUNDER_TITLE_ADDED", _NEWLY.format(rules.FOUNDER), "0.95", "a_headline", "null"),
-    ("inference", "STEALTH_COMPANY_SIGNAL", _NEWLY.format(rules.STEALTH), "0.7", "a_headline", "null"), ("event", "HIRING_STARTED", _NEWLY.format(rules.HIRING), "0.7", "a_headline", "null"),
-    ("inference", "POSSIBLE_COMPANY_FORMATION", "({signals}) >= 1 and (" + " or ".join(f"coalesce(regexp_matches(a_headline, '{p}'), false)" for p in (rules.BUILDING, rules.STEALTH, rules.FOUNDER)) + ")", "round(least(0.85, 0.35 + 0.2 * ({signals})), 4)", "null", "null"),
+    ("event", "EMPLOYMENT_ENDED", _LEFT, "0.95", "b_company", "b_company"), ("fact", "EMPLOYMENT_ENDED_AT", _LEFT, "0.95", "b_company", "b_company"),
+    ("event", "EMPLOYMENT_STARTED", _JOINED, "0.9", "a_company", "a_company"), ("fact", "CURRENT_TITLE", _JOINED, "0.9", "coalesce(a_title, 'unknown')", "a_company"),
+    ("event", "TITLE_CHANGED", _RETITLED, "0.9", "a_title", "a_company"), ("event", "PROMOTION", f"{_RETITLED} and {_RANK.format('a_seniority')} > {_RANK.format('b_seniority')}", "0.9", "a_title", "a_company"),
+    ("fact", "HEADLINE_CHANGED", "material", "0.98", "a_headline", "null"), ("fact", "HEADLINE_TEXT", "material", "0.99", "coalesce(a_headline, '')", "null"), ("event", "HEADLINE_CHANGED", "material", "0.98", "a_headline", "null"),
+    ("event", "FOUNDER_TITLE_ADDED", _TURNED["founder"], "0.95", "a_headline", "null"), ("inference", "STEALTH_COMPANY_SIGNAL", _NEWLY(rules.STEALTH), "0.7", "a_headline", "null"),
+    ("event", "COFOUNDER_SEARCH", _SAYS("a", rules.COFOUNDER_SEARCH), "0.85", "a_headline", "null"), ("event", "HIRING_STARTED", _NEWLY(rules.HIRING), "0.7", "a_headline", "null"),
+    ("inference", "POSSIBLE_COMPANY_FORMATION", f"{_SIGNALS} >= 1 and ({_NOW['building'][0]} or {_NOW['founder'][0]} or {_SAYS('a', rules.STEALTH)})", f"round(least(0.85, 0.35 + 0.2 * {_SIGNALS}), 4)", "null", "null"),
+    ("event", "OPEN_TO_WORK_SIGNAL", _OPENED, "0.9", "null", "null"), ("fact", "OPEN_TO_WORK_DECLARED", _OPENED, "0.95", "null", "null"),
     ("fact", "LOCATION", f"{_HAS.format('a_location')} and a_location is distinct from b_location", "0.85", "a_location", "null"),
 ]
-_LEFT = f"({_HAS.format('b_company')} and a_company is distinct from b_company)"
-_SIGNALS = f"{_LEFT}::int + material::int + {_NEWLY.format(rules.FOUNDER)}::int"
 
 
 def _findings_sql() -> str:
-    fill = lambda t: t.replace("{left}", _LEFT).replace("{signals}", _SIGNALS)
-    rows = " union all ".join(f"select observation_id, '{kind}' as kind, '{name}' as name, cast({fill(conf)} as double) as confidence, {value} as value, {org} as organization from m where {fill(test)}" for kind, name, test, conf, value, org in _FINDINGS)
+    rows = " union all ".join(f"select observation_id, '{kind}' as kind, '{name}' as name, cast({conf} as double) as confidence, {value} as value, {org} as organization from m where {test}" for kind, name, test, conf, value, org in _FINDINGS)
     return f"with {PROFILE_PAIRS_SQL} {rows}"
 
 
 @query(_findings_sql())
 def profile_findings(spark: SparkSession, d: str) -> DataFrame:
     """DIF-01, DIF-02, EXT-01: events, facts and inferences between a profile and the snapshot before it."""
-    side = lambda c: F.struct(*(values.path(F.col(c), f).alias(n) for n, f in (("headline", "headline"), ("company", "current_company"), ("title", "current_title"), ("seniority", "current_seniority"), ("location", "location"))))
+    texts = (("headline", "headline"), ("company", "current_company"), ("title", "current_title"), ("seniority", "current_seniority"), ("location", "location"))
+    flags = (("building", "building"), ("founder", "founder_status"), ("open", "open_to_work"))
+    side = lambda c: F.struct(*(values.path(F.col(c), f).alias(n) for n, f in texts), *(values.truthy(values.path(F.col(c), f)).alias(n) for n, f in flags))
     valid = lambda c: F.try_parse_json(c).isNotNull()
     o = table(spark, d, "observation").filter("content_type = 'profile_snapshot' and previous_snapshot is not null").filter(valid("raw_json") & valid("previous_snapshot"))
     o = o.select("observation_id", side("previous_snapshot").alias("before"), side("raw_json").alias("after"))

@@ -71,18 +71,44 @@ def test_values(spark):
 
 
 def test_profile_findings(spark):
-    schema = "b struct<headline string, company string, title string, seniority string, location string>, a struct<headline string, company string, title string, seniority string, location string>, id int"
+    fields = "headline string, company string, title string, seniority string, location string, building boolean, founder boolean, open boolean"
+    flags = (None, None, None)
     df = spark.createDataFrame([
-        (("Staff Engineer at Acme", "Acme", "Staff Engineer", "senior_ic", "X"), ("Building", None, None, None, "X"), 1),
-        (("Same", "Acme", "Engineer", "ic", "X"), ("Same", "Acme", "Engineer", "ic", "X"), 2),
-        (("Lead", "Acme", "Engineer", "senior_ic", "X"), ("Lead", "Acme", "Director", "director", "Y"), 3),
-        ((None, None, None, None, None), (None, None, None, None, None), 4),
-    ], schema)
+        (("Staff ML Engineer at Acme - inference", "Acme", "Staff ML Engineer", "senior_ic", "X", *flags), ("Building", None, None, None, "X", *flags), 1),
+        (("Principal Engineer at Acme", "Acme", "Principal Engineer", "ic", "X", *flags), ("Principal Engineer at Acme", "Acme", "Principal Engineer", "ic", "X", *flags), 2),
+        (("Senior Engineer at Acme", "Acme", "Senior Engineer", "senior_ic", "X", *flags), ("Director of Engineering at Acme", "Acme", "Director of Engineering", "director", "Y", None, None, True), 3),
+        ((None, None, None, None, None, *flags), (None, None, None, None, None, *flags), 4),
+        (("VP Engineering at Acme", "Acme", "VP", "vp", "X", *flags), ("VP Engineering - payments, distributed systems. Considering what's next.", None, None, None, None, *flags), 5),
+    ], f"b struct<{fields}>, a struct<{fields}>, id int")
     got = {}
     for r in rules.findings(df, rules.profile_rules("b", "a"), ["id"]).collect():
-        got.setdefault(r.id, {})[r.name] = r.confidence
-    assert got[1]["POSSIBLE_COMPANY_FORMATION"] == 0.75 and {"EMPLOYMENT_ENDED", "HEADLINE_CHANGED"} <= set(got[1])
-    assert 2 not in got and 4 not in got and set(got[3]) == {"TITLE_CHANGED", "PROMOTION", "LOCATION"}
+        got.setdefault(r.id, {}).setdefault(r.kind, {})[r.name] = r.confidence
+    assert got[1]["inference"] == {"POSSIBLE_COMPANY_FORMATION": 0.75} and {"EMPLOYMENT_ENDED", "HEADLINE_CHANGED"} == set(got[1]["event"])
+    assert set(got[1]["fact"]) == {"EMPLOYMENT_ENDED_AT", "HEADLINE_CHANGED", "HEADLINE_TEXT"}
+    assert 2 not in got and 4 not in got
+    assert set(got[3]["event"]) == {"TITLE_CHANGED", "PROMOTION", "HEADLINE_CHANGED", "OPEN_TO_WORK_SIGNAL"} and "LOCATION" in got[3]["fact"]
+    assert set(got[5]["event"]) == {"EMPLOYMENT_ENDED", "HEADLINE_CHANGED"} and "inference" not in got[5]
+
+
+NEWS = [
+    ("Former Labs engineer Ann Lee has left the company and is building a new inference infrastructure project. The project is currently in stealth.", {"NEWS_MENTION", "EMPLOYMENT_ENDED", "STEALTH_COMPANY_SIGNAL", "POSSIBLE_COMPANY_FORMATION"}),
+    ("The office named Partner Ann Lee with a new venture allocation mandate.", {"NEWS_MENTION", "PARTNER_ROLE_STARTED", "INVESTMENT_MANDATE_CHANGED"}),
+    ("Foundry has raised $28M in a Series A.", {"NEWS_MENTION", "FUNDRAISE_ANNOUNCED"}),
+    ("Cobalt, where Ann Lee was head of product, has been acquired by a larger data platform.", {"NEWS_MENTION", "COMPANY_ACQUIRED"}),
+    ("Quiet weather today.", {"NEWS_MENTION"}),
+]
+
+
+def test_text_findings(spark):
+    df = spark.createDataFrame([(i, t, "Ann Lee", "news_article") for i, (t, _) in enumerate(NEWS)] + [(9, None, "x", "news_article")], "id int, t string, s string, c string")
+    got = {}
+    for r in rules.findings(df.filter("t is not null"), rules.text_rules("t", "s", "c"), ["id"]).collect():
+        got.setdefault(r.id, {}).setdefault(r.kind != "fact", {})[r.name] = r
+    for i, (_, want) in enumerate(NEWS):
+        assert set(got[i][True]) == want
+    assert got[0][False]["EMPLOYMENT_ENDED_AT"].value.startswith("Former Labs")
+    a = spark.createDataFrame([(1, "It raised a $28M Series A", None, "news_article")], "id int, t string, s string, c string")
+    assert rules.findings(a, rules.text_rules("t", "s", "c"), ["id"]).count() == 0 and rules.findings(a, rules.text_rules("t", "s", "c", rules.RAISED_A), ["id"]).count() == 2
 
 
 def test_first_match_and_unknown_operands(spark):
