@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.numbers import clip, days_between
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Each edge in both directions, without loops: src, dst and the other columns."""
@@ -14,35 +16,52 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def paths(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
-    """(seed, target, hops, first_hop, weakest): simple paths of up to ``hops`` edges that end at first reach.
+    """(seed, target, hops, first_hop, weakest, verified, confidence, path) of simple paths that end at first reach.
 
-    edges: src, dst, strength (int), undirected() already. seeds: node. A path of n+1 edges goes on from a path of n
-    whose end is no neighbour of the seed at a lesser depth. Of the paths alike in (seed, target, hops, first hop) only
-    the strongest is kept, in a combined maximum before the shuffle, so parallel routes don't multiply.
+    edges: src, dst, strength (int), undirected() already, and if known verified (timestamp) and confidence; of
+    parallel edges the strongest counts. seeds: node. A path of n+1 edges goes on from a path of n whose end is no
+    neighbour of the seed at a lesser depth. Of the paths alike in (seed, target, hops, first hop) only the strongest is
+    kept, in a combined maximum before the shuffle, so parallel routes don't multiply. verified is the oldest known
+    verification on the path, confidence the mean of the known ones, path its nodes.
     """
-    best = F.max("weakest").alias("weakest")
-    e = edges.groupBy("src", "dst").agg(F.max("strength").alias("strength"))
+    given = lambda c, kind: F.col(c).cast(kind) if c in edges.columns else F.lit(None).cast(kind)
+    told = given("confidence", "double")
+    edge = F.struct("strength", given("verified", "timestamp").alias("verified"), F.coalesce(told, F.lit(0.0)).alias("sum"), told.isNotNull().cast("int").alias("known"))
+    e = edges.groupBy("src", "dst").agg(F.max(edge).alias("e")).select("src", "dst", "e.*")
     s = seeds.select(F.col("node").alias("seed")).distinct()
-    step = s.join(e, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("target"), F.lit(1).alias("hops"), F.col("dst").alias("first_hop"), F.col("strength").alias("weakest"))
+    carried = ("verified", "sum", "known")
+    step = s.join(e, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("target"), F.lit(1).alias("hops"), F.col("dst").alias("first_hop"), F.col("strength").alias("weakest"), *carried, F.array("seed", "dst").alias("path"))
+    best = F.max(F.struct("weakest", *carried, "path")).alias("b")
     out, frontier, seen = step, step, step.select("seed", "target")
     for n in range(2, hops + 1):
-        onward = frontier.join(e, F.col("target") == F.col("src")).filter("dst <> seed and dst <> first_hop")
-        onward = onward.select("seed", F.col("dst").alias("target"), F.lit(n).alias("hops"), "first_hop", F.least("weakest", "strength").alias("weakest"))
-        step = onward.groupBy("seed", "target", "hops", "first_hop").agg(best)
+        ahead = e.withColumnsRenamed({c: f"next_{c}" for c in carried})
+        onward = frontier.join(ahead, F.col("target") == F.col("src")).filter("dst <> seed and dst <> first_hop")
+        onward = onward.select(
+            "seed", F.col("dst").alias("target"), F.lit(n).alias("hops"), "first_hop", F.least("weakest", "strength").alias("weakest"),
+            F.least("verified", "next_verified").alias("verified"), (F.col("sum") + F.col("next_sum")).alias("sum"), (F.col("known") + F.col("next_known")).alias("known"), F.array_append("path", F.col("dst")).alias("path"),
+        )
+        step = onward.groupBy("seed", "target", "hops", "first_hop").agg(best).select("seed", "target", "hops", "first_hop", "b.*")
         out = out.unionByName(step)
         frontier = step.join(seen.distinct(), ["seed", "target"], "left_anti")
         seen = seen.unionByName(step.select("seed", "target"))
-    return out
+    mean = F.round(F.col("sum") / F.nullif(F.col("known"), F.lit(0)), 3)
+    return out.select("seed", "target", "hops", "first_hop", "weakest", "verified", mean.alias("confidence"), "path")
 
 
-def access(found: DataFrame, base: Column, bonus: float = 4.0, most_bonus: float = 8.0) -> DataFrame:
-    """(target, hops, base, routes, score) of the best path to each target.
+def access(found: DataFrame, base: Column, bonus: float = 4.0, most_bonus: float = 8.0, as_of: Column | None = None, stale_after: float = 365.0, per_month: float = 4.0, most_penalty: float = 15.0, floor: float = 0.5) -> DataFrame:
+    """(target, hops, base, routes, score, path) of the best path to each target.
 
     ``base`` is a column over hops and weakest, null for a path of unknown strength; a target with only such paths has
-    a null score. Routes are distinct first hops; each beyond the first adds ``bonus``. Ties go to fewer hops.
+    a null score. Routes are distinct first hops; each beyond the first adds ``bonus``. With ``as_of`` a path whose
+    oldest verification is older than ``stale_after`` days loses ``per_month`` for every 30 days more; a known mean
+    confidence multiplies, by ``floor`` at least. Ties in base go to fewer hops, then to the least path.
     """
     scored = found.withColumn("base", base)
-    by = scored.groupBy("target").agg(F.max(F.struct("base", (-F.col("hops")).alias("near"))).alias("b"), F.count_distinct("first_hop").alias("routes"))
-    adjusted = F.col("b.base") + F.least(F.lit(most_bonus), bonus * (F.col("routes") - 1))
-    score = F.when(F.col("b.base").isNotNull(), F.least(F.lit(100.0), adjusted))
-    return by.select("target", (-F.col("b.near")).alias("hops"), F.col("b.base").alias("base"), "routes", F.round(score, 4).alias("score"))
+    order = F.struct(F.col("base").isNull(), -F.coalesce("base", F.lit(0.0)), "hops", "path")
+    by = scored.groupBy("target").agg(F.min_by(F.struct("base", "hops", "verified", "confidence", "path"), order).alias("b"), F.count_distinct("first_hop").alias("routes"))
+    score = F.col("b.base") + F.least(F.lit(most_bonus), bonus * (F.col("routes") - 1))
+    if as_of is not None:
+        over = days_between(F.col("b.verified"), as_of) - stale_after
+        score = score - F.when(over > 0, F.least(F.lit(most_penalty), per_month * over / 30.0)).otherwise(0.0)
+    score = score * F.when(F.col("b.confidence").isNotNull(), F.greatest(F.lit(floor), F.col("b.confidence"))).otherwise(1.0)
+    return by.select("target", "b.hops", "b.base", "routes", F.round(clip(score, 0.0, 100.0), 4).alias("score"), "b.path")

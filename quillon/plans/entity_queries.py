@@ -247,7 +247,7 @@ def access_paths(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {_PATHS}, b as (select *, case when hops = 1 then case weakest when 3 then 90.0 when 2 then 75.0 else 55.0 end when hops = 2 then case weakest when 3 then 45.0 when 2 then 30.0 else 18.0 end else 15.0 end as base from paths)
 select target, max(base) as base, count(distinct first_hop) as routes, round(least(100, max(base) + least(8, 4 * (count(distinct first_hop) - 1))), 4) as score from b group by 1""")
 def access_score(spark: SparkSession, d: str) -> DataFrame:
-    """GRF-03, GRF-04, GRF-05, GRF-06, SCO-03: the best path's score with its bonus for independent routes."""
+    """GRF-03, GRF-04, GRF-05, GRF-06, GRF-07, SCO-03: the best path's score with its bonus for independent routes."""
     one = F.when(F.col("weakest") == 3, 90.0).when(F.col("weakest") == 2, 75.0).otherwise(55.0)
     two = F.when(F.col("weakest") == 3, 45.0).when(F.col("weakest") == 2, 30.0).otherwise(18.0)
     base = F.when(F.col("hops") == 1, one).when(F.col("hops") == 2, two).otherwise(15.0)

@@ -159,10 +159,21 @@ def test_paths_and_access(spark):
     base = F.when(F.col("weakest") == 3, 45.0).when(F.col("weakest") == 2, 30.0).otherwise(F.lit(None))
     scores = {r.target: (r.base, r.routes, r.score) for r in graph.access(p, base).collect()}
     assert scores["b"] == (45.0, 2, 49.0)
+    assert {r.target: r.path for r in graph.access(p, base).collect()}["b"] == ["s", "d", "b"]
     none = graph.access(p, F.lit(None).cast("double")).collect()
     assert none and all(r.score is None for r in none)
 
 
+def test_access_adjustments(spark):
+    old = datetime(2025, 3, 1)
+    e = spark.createDataFrame([("s", "t", 2, D0, 0.85), ("s", "a", 2, D0, 0.85), ("a", "t", 2, D0, 0.85), ("s", "b", 2, D0, 0.85), ("b", "t", 2, D0, 0.85), ("s", "w", 3, old, 0.2)], "src string, dst string, strength int, verified timestamp, confidence double")
+    p = graph.paths(graph.undirected(e), spark.createDataFrame([("s",)], "node string"), 2)
+    base = F.when(F.col("hops") == 1, 75.0).otherwise(30.0)
+    got = {r.target: r.score for r in graph.access(p, base, as_of=F.lit("2026-09-06").cast("timestamp")).collect()}
+    assert got["t"] == 70.55
+    assert got["w"] == pytest.approx((75 - 15) * 0.5)
+
+
 def test_scores_add_up_and_unknown_stays_out(spark):
     model = {"dimensions": {"q": {"weight": 0.7, "features": {"x": {"weight": 0.6, "normalization": "linear_cap", "params": {"divisor": 10}}, "y": {"weight": 0.4, "normalization": "binary"}}}, "t": {"weight": 0.3, "features": {"z": {"weight": 1.0, "normalization": "passthrough_unit"}}}}}
     scoring.check_model(model)
