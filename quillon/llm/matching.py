@@ -151,15 +151,17 @@ def spread_out(vectors, walk_rows: DataFrame):
     """
     import numpy as np
 
-    counts = np.full(BUCKETS, 1e-3)
+    counts = np.full(BUCKETS, 1e-3, np.float32)
     met = walk_rows.select(F.explode("walk").alias("b")).groupBy("b").count().toPandas()
     counts[met["b"].to_numpy()] = met["count"].to_numpy()
-    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-    v = unit(vectors.astype(np.float64))
-    v -= (v * counts[:, None]).sum(0) / counts.sum()
-    _, axes = np.linalg.eigh((v * counts[:, None]).T @ v)
-    top = axes[:, -COMMON:]
-    return unit(v - (v @ top) @ top.T).astype(np.float32)
+    v = vectors.astype(np.float32)
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    v -= counts @ v / counts.sum()
+    _, axes = np.linalg.eigh((v * counts[:, None]).T.astype(np.float64) @ v)
+    top = axes[:, -COMMON:].astype(np.float32)
+    v -= (v @ top) @ top.T
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    return v
 
 
 def _seeded(bits: int, tables: int, seed: int):
