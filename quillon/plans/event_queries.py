@@ -271,6 +271,21 @@ def text_findings(spark: SparkSession, d: str) -> DataFrame:
     return found.filter(F.col("name").isin(*_TEXT_FINDINGS) & (F.col("kind") != "fact")).groupBy("name").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("confidence"))
 
 
+def free_text_findings(o: DataFrame) -> DataFrame:
+    """EXT-01, EXT-03: findings of each observation in its free text: raw_text with title, body and summary of raw_json.
+
+    Profiles, and structured records that name their fact or event, are read by their own rules.
+    """
+    v = F.try_parse_json("raw_json")
+    get = lambda f: F.nullif(F.try_variant_get("v", f"$.{f}", "string"), F.lit(""))
+    structured = F.col("content_type").isin("csv_row", "json_record") & (get("fact_type").isNotNull() | get("event_type").isNotNull())
+    o = o.filter("content_type is distinct from 'profile_snapshot'").select("observation_id", "subject_hint", "content_type", "raw_text", v.alias("v"))
+    o = o.filter(~F.coalesce(structured, F.lit(False)))
+    said = F.trim(F.concat_ws(" ", F.nullif("raw_text", F.lit("")), get("title"), get("body"), get("summary")))
+    o = o.select("observation_id", "subject_hint", "content_type", said.alias("said")).filter("said <> ''")
+    return rules.findings(o, rules.text_rules("said", "subject_hint", "content_type"), ["observation_id"])
+
+
 _QUOTED = lambda t: t.replace("'", "''")
 _STOPS = ", ".join(f"'{_QUOTED(w)}'" for w in text.HEADLINE_STOP)
 _RANK = "case lower({0}) " + " ".join(f"when '{k}' then {v}" for k, v in rules.SENIORITY.items()) + " else 0 end"

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import numbers, values
 from quillon.operators import dedupe, events, ranking, rules, scoring, timeline
-from quillon.plans.event_queries import profile_findings
+from quillon.plans.event_queries import free_text_findings, profile_findings
 from quillon.session import cut, table
 
 #: Strength and half-life in days of findings as timing signals: parameters.
@@ -83,7 +83,7 @@ def weekly(spark: SparkSession, d: str, week: str) -> tuple[dict[str, DataFrame]
     kept = run.stage("normalize_and_dedupe", lambda: dedupe.keep_first(seen, [F.col("source_id"), dedupe.identifier("provider_record_id")], ["observed_at", "ingested_at", "observation_id"]))
 
     def detect() -> DataFrame:
-        found = profile_findings(spark, d).filter("kind <> 'fact'")
+        found = profile_findings(spark, d).unionByName(free_text_findings(kept)).filter("kind <> 'fact'")
         o = kept.select("observation_id", "person_id", F.coalesce("occurred_at", "observed_at").alias("occurred_at")).filter("person_id is not null")
         e = found.join(o, "observation_id").select("observation_id", "person_id", F.col("name").alias("event_type"), "occurred_at", "confidence", (F.col("kind") == "inference").alias("is_inference"))
         first = events.new_events(e, spark.createDataFrame([], "dedupe_key string"), ["observation_id"])

@@ -29,6 +29,29 @@ def test_nothing_later_is_used(spark):
     assert early["observations"].filter("observed_at > timestamp_ntz'2026-03-01 23:59:59'").count() == 0
 
 
+def test_texts_give_events(spark, tmp_path):
+    """News, posts and papers count like profiles, whether their text stands in raw_text or in raw_json."""
+    for name in ("observation", "person"):
+        t = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        if name == "observation":
+            at = F.lit("2026-09-02 10:00:00").cast("timestamp_ntz")
+            rows = [
+                ("o1", "a", "activity_post", "Ann has left Acme after ten years at the firm.", None),
+                ("o2", "b", "news_article", None, '{"title": "Bo Li", "summary": "Bo has left Acme after ten years at the firm.", "subjects": ["Bo Li"]}'),
+                ("o3", "c", "patent", None, '{"title": "A patent", "summary": "quiet"}'),
+                ("o4", "d", "json_record", "a patent", '{"fact_type": "PATENT_COUNT", "value": "1"}'),
+                ("o5", "e", "news_article", None, "{broken"),
+                ("o6", None, "paper", "published a paper", None),
+            ]
+            made = spark.createDataFrame(rows, "observation_id string, person_id string, content_type string, raw_text string, raw_json string")
+            made = made.select("*", *(at.alias(c) for c in ("occurred_at", "observed_at", "ingested_at")), F.lit("s").alias("source_id"), F.col("observation_id").alias("provider_record_id"), F.lit("2026-08-31").alias("batch_id"))
+            t = made.select(*(F.col(c) if c in made.columns else F.lit(None).cast(t.schema[c].dataType).alias(c) for c in t.columns))
+        t.write.parquet(f"{tmp_path}/{name}.parquet")
+    got, _ = pipeline.weekly(spark, str(tmp_path), "2026-09-06")
+    assert {(r.observation_id, r.event_type) for r in got["events"].collect()} == {("o1", "EMPLOYMENT_ENDED"), ("o2", "EMPLOYMENT_ENDED"), ("o3", "PATENT_FILED")}
+    assert {r.person_id for r in got["scores"].filter("score > 0").collect()} == {"a", "b"} and got["digest"].filter("section = 'departures'").count() == 2
+
+
 def test_guards():
     with pytest.raises(ValueError):
         pipeline.guard_features(["gender_score"])
