@@ -25,6 +25,21 @@ def path(json_text: Column, field: str, within: str = "profile") -> Column:
     return F.coalesce(F.get_json_object(json_text, f"$.{within}.{field}"), F.get_json_object(json_text, f"$.{field}"))
 
 
+def opened(json_text: Column) -> Column:
+    """The object a JSON text holds, or the object in the JSON string that it holds, as a variant; null for all else."""
+    outer = F.try_parse_json(json_text)
+    inner = F.try_parse_json(F.try_variant_get(outer, "$", "string"))
+    is_text = F.schema_of_variant(outer) == "STRING"
+    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return F.when(is_text & is_object(inner), inner).when(~is_text & is_object(outer), outer)
+
+
+def profile(document: Column) -> Column:
+    """The object ``profile`` of an opened() document, else the document."""
+    within = F.try_variant_get(document, "$.profile", "variant")
+    return F.when(F.coalesce(F.schema_of_variant(within).startswith("OBJECT"), F.lit(False)), within).otherwise(document)
+
+
 def as_number(text: Column) -> Column:
     """A number, null where the text is none."""
     return F.try_cast(F.trim(text), "double") if hasattr(F, "try_cast") else F.trim(text).try_cast("double")

@@ -276,10 +276,9 @@ def free_text_findings(o: DataFrame) -> DataFrame:
 
     Profiles, and structured records that name their fact or event, are read by their own rules.
     """
-    v = F.try_parse_json("raw_json")
     get = lambda f: F.nullif(F.try_variant_get("v", f"$.{f}", "string"), F.lit(""))
     structured = F.col("content_type").isin("csv_row", "json_record") & (get("fact_type").isNotNull() | get("event_type").isNotNull())
-    o = o.filter("content_type is distinct from 'profile_snapshot'").select("observation_id", "subject_hint", "content_type", "raw_text", v.alias("v"))
+    o = o.filter("content_type is distinct from 'profile_snapshot'").select("observation_id", "subject_hint", "content_type", "raw_text", values.opened(F.col("raw_json")).alias("v"))
     o = o.filter(~F.coalesce(structured, F.lit(False)))
     said = F.trim(F.concat_ws(" ", F.nullif("raw_text", F.lit("")), get("title"), get("body"), get("summary")))
     o = o.select("observation_id", "subject_hint", "content_type", said.alias("said")).filter("said <> ''")
@@ -328,15 +327,21 @@ def _findings_sql() -> str:
     return f"with {PROFILE_PAIRS_SQL} {rows}"
 
 
+def profile_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(observation_id, before, after): the profile of each snapshot and of the one before it, where both hold an object."""
+    o = table(spark, d, "observation").filter("content_type = 'profile_snapshot' and raw_json is not null and previous_snapshot is not null")
+    o = o.select("observation_id", values.opened(F.col("previous_snapshot")).alias("b"), values.opened(F.col("raw_json")).alias("a")).filter("a is not null and b is not null")
+    return o.select("observation_id", values.profile(F.col("b")).alias("before"), values.profile(F.col("a")).alias("after"))
+
+
 @query(_findings_sql())
 def profile_findings(spark: SparkSession, d: str) -> DataFrame:
     """DIF-01, DIF-02, EXT-01: events, facts and inferences between a profile and the snapshot before it."""
     texts = (("headline", "headline"), ("company", "current_company"), ("title", "current_title"), ("seniority", "current_seniority"), ("location", "location"))
     flags = (("building", "building"), ("founder", "founder_status"), ("open", "open_to_work"))
-    side = lambda c: F.struct(*(values.path(F.col(c), f).alias(n) for n, f in texts), *(values.truthy(values.path(F.col(c), f)).alias(n) for n, f in flags))
-    valid = lambda c: F.try_parse_json(c).isNotNull()
-    o = table(spark, d, "observation").filter("content_type = 'profile_snapshot' and previous_snapshot is not null").filter(valid("raw_json") & valid("previous_snapshot"))
-    o = o.select("observation_id", side("previous_snapshot").alias("before"), side("raw_json").alias("after"))
+    get = lambda c, f: F.try_variant_get(c, f"$.{f}", "string")
+    side = lambda c: F.struct(*(get(c, f).alias(n) for n, f in texts), *(values.truthy(get(c, f)).alias(n) for n, f in flags))
+    o = profile_pairs(spark, d).select("observation_id", side("before").alias("before"), side("after").alias("after"))
     return rules.findings(o, rules.profile_rules("before", "after"), ["observation_id"])
 
 
@@ -347,9 +352,10 @@ select count(*) as pairs, count(*) filter (trim(headline) is distinct from trim(
 def headline_pairs(spark: SparkSession, d: str) -> DataFrame:
     """JN-09, SET-03: consecutive headlines of a person."""
     w = Window.partitionBy("person_id").orderBy("observed_at", "observation_id")
-    headline = F.try_variant_get(F.try_parse_json("raw_json"), "$.profile.headline", "string")
+    headline = F.try_variant_get(values.profile(F.col("v")), "$.headline", "string")
     o = table(spark, d, "observation").filter("content_type = 'profile_snapshot' and person_id is not null")
-    t = o.select(headline.alias("headline"), F.lag(headline).over(w).alias("prev")).filter("headline is not null and prev is not null")
+    o = o.select("person_id", "observed_at", "observation_id", values.opened(F.col("raw_json")).alias("v")).select("person_id", "observed_at", "observation_id", headline.alias("headline"))
+    t = o.select("headline", F.lag("headline").over(w).alias("prev")).filter("headline is not null and prev is not null")
     return t.agg(F.count("*").alias("pairs"), F.sum((~F.trim("headline").eqNullSafe(F.trim("prev"))).cast("bigint")).alias("differing"))
 
 

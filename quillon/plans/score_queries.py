@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import numbers, text
 from quillon.operators import features, metrics, ranking, rules, scoring
-from quillon.plans.event_queries import PROFILE_PAIRS_SQL
+from quillon.plans.event_queries import PROFILE_PAIRS_SQL, profile_pairs
 from quillon.plans.registry import Book
 from quillon.session import table
 
@@ -227,12 +227,9 @@ def text_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {PROFILE_PAIRS_SQL} select observation_id, material from m")
 def headline_materiality(spark: SparkSession, d: str) -> DataFrame:
     """DIF-02, STR-03: whether a headline changed in substance between two snapshots."""
-    from quillon.functions import values
-
-    o = table(spark, d, "observation").filter("content_type = 'profile_snapshot' and raw_json is not null and previous_snapshot is not null")
-    o = o.filter(F.try_parse_json("raw_json").isNotNull() & F.try_parse_json("previous_snapshot").isNotNull())
-    before, after = values.path(F.col("previous_snapshot"), "headline"), values.path(F.col("raw_json"), "headline")
-    return o.select("observation_id", text.material_change(before, after).alias("material"))
+    headline = lambda c: F.try_variant_get(c, "$.headline", "string").alias(c)
+    o = profile_pairs(spark, d).select("observation_id", headline("before"), headline("after"))
+    return o.select("observation_id", text.material_change(F.col("before"), F.col("after")).alias("material"))
 
 
 @query("select key as name, a::double as a, b::double as b from (values ('quality', 0.6, 0.5), ('timing', 0.4, 0.5)) t(key, a, b)")

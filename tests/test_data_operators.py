@@ -210,3 +210,20 @@ def test_any_json_is_labelled(value):
 def test_queries_run_on_all_tables(spark):
     for name, q in data_queries.QUERIES.items():
         assert q(spark, "/root/testdata/sf0.001").count() >= 0, name
+
+
+def test_profiles_in_json_strings(spark, tmp_path):
+    """raw_json and previous_snapshot may be JSON strings that hold the object, and profiles may be flat."""
+    from quillon.plans import reference_queries
+
+    acme, flat, other = {"profile": {"headline": "Engineer at Acme", "current_company": "Acme"}}, {"headline": "Engineer at Acme", "current_company": "Acme"}, {"headline": "Chief of staff", "current_company": "Other"}
+    text = lambda x: json.dumps(json.dumps(x))
+    pairs = {"same": (text(acme), json.dumps(flat)), "moved": (text(other), json.dumps(acme)), "both": (text(acme), text(other)), "flat": (json.dumps(flat), text(acme)), "list": ("[1]", json.dumps(acme)), "first": (json.dumps(acme), "null"), "word": ('"x"', json.dumps(acme))}
+    rows = [(k, "p", datetime(2026, 1, 1 + i), "profile_snapshot", now, before) for i, (k, (now, before)) in enumerate(pairs.items())]
+    spark.createDataFrame(rows, "observation_id string, person_id string, observed_at timestamp_ntz, content_type string, raw_json string, previous_snapshot string").write.parquet(f"{tmp_path}/observation.parquet")
+    run = lambda q: reference_queries.QUERIES[q](spark, str(tmp_path)).collect()
+    ended = {r.observation_id: r.value for r in run("profile_findings") if r.name == "EMPLOYMENT_ENDED"}
+    assert ended == {"moved": "Acme", "both": "Other"}
+    assert {r.observation_id for r in run("profile_findings")} == {"moved", "both"}
+    assert {r.observation_id: r.material for r in run("headline_materiality")} == {"same": False, "moved": True, "both": True, "flat": False}
+    assert [tuple(r) for r in run("headline_pairs")] == [(3, 2)]
