@@ -292,3 +292,30 @@ def test_visibility(spark):
     assert [r.id for r in e.filter(timeline.event_visible(at)).collect()] == [1, 2] and [r.id for r in e.filter(timeline.event_visible(at, at)).collect()] == [1]
     i = df.withColumnRenamed("valid_from", "expires_at")
     assert [r.id for r in i.filter(timeline.inference_visible(at)).collect()] == [1, 3]
+
+
+def test_every_node_is_a_seed(spark, tmp_path):
+    """Access paths start from all users and edges of all people count, whatever their ids; against brute force."""
+    from quillon.plans import reference_queries
+
+    edges = [(700, 1), (700, 2), (800, 2), (900, 3), (2, 1)]
+    rows = [(u, "purchase", 120.0, D0, f'{{"k": {k}}}') for u, k in edges] + [(700, "purchase", 10.0, D0, '{"k": 9}')]
+    spark.createDataFrame(rows, "user_id bigint, event_type string, value double, ts timestamp_ntz, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(2,), (700,), (900,), (1000,)], "c_custkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
+    run = lambda q: {tuple(r) for r in reference_queries.QUERIES[q](spark, str(tmp_path)).collect()}
+    near: dict = {}
+    for u, k in edges:
+        near.setdefault(u, set()).add(10**6 + k)
+        near.setdefault(10**6 + k, set()).add(u)
+    found, seeds = set(), {u for u, _ in edges}
+    for s in seeds:
+        reached, walks = set(), [[s, t] for t in near[s]]
+        for hops in (1, 2, 3):
+            found |= {(s, w[-1], hops, w[1]) for w in walks}
+            onward = [w for w in walks if hops == 1 or w[-1] not in reached]
+            reached |= {w[-1] for w in walks}
+            walks = [[*w, t] for w in onward for t in near[w[-1]] if t not in (s, w[1])]
+    assert run("access_paths") == {(h, sum(f[2] == h for f in found), len({f[1] for f in found if f[2] == h})) for h in (1, 2, 3)}
+    assert {r[0] for r in run("access_score")} == {f[1] for f in found}
+    assert run("access_unknown") == {(len({f[1] for f in found if f[2] <= 2}),) * 2}
+    assert run("or_edge_join") == {(2, 1, 2), (700, 2, 2), (900, 1, 2)}
