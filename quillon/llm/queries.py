@@ -50,7 +50,7 @@ def p7_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The spelling of each er_candidate linked to a live person's name."""
     c = table(spark, d, "er_candidate").select("candidate_id", "name")
     people = table(spark, d, "person").filter("merged_into_id is null").select(F.col("canonical_name").alias("name"))
-    linked = names.link(c, people, least=0.45, rows=3)
+    linked = names.link(c, people)
     return c.join(linked, "name").select("candidate_id", F.col("center").alias("canonical_name"), F.round("similarity", 4).alias("similarity"))
 
 

@@ -187,3 +187,14 @@ def test_matching_against_brute_force(spark, monkeypatch):
 def test_value_queries_run(spark):
     for name in ("p3_found", "p3_unmatched", "p7_candidates"):
         assert queries.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_distant_spellings_of_candidates(spark, tmp_path):
+    """Pairs of little q-gram similarity that the final rule accepts are met."""
+    from quillon.llm import queries
+
+    pairs = {"Abby Bleozer": "Abigail Belozer", "Mateo Kelefax": "Teo Elufax", "Greta Kalonner": "Margaret Kalonley", "Dalovnik, Izzy": "Isabella Dalovnik"}
+    spark.createDataFrame(list(enumerate(pairs)), "candidate_id int, name string").write.parquet(f"{tmp_path}/er_candidate.parquet")
+    spark.createDataFrame([(n, None) for n in pairs.values()], "canonical_name string, merged_into_id string").write.parquet(f"{tmp_path}/person.parquet")
+    got = queries.p7_candidates(spark, str(tmp_path)).join(spark.createDataFrame(list(enumerate(pairs)), "candidate_id int, name string"), "candidate_id")
+    assert {r["name"]: r.canonical_name for r in got.collect()} == pairs
