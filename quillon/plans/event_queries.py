@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import numbers, text, values
 from quillon.operators import events, ingest, ranking, rules, timeline
 from quillon.operators.dedupe import keep_first
+from quillon.plans import sqltext
 from quillon.plans.registry import Book
 from quillon.session import table
 
@@ -285,10 +286,10 @@ def free_text_findings(o: DataFrame) -> DataFrame:
     return rules.findings(o, rules.text_rules("said", "subject_hint", "content_type"), ["observation_id"])
 
 
-_QUOTED = lambda t: t.replace("'", "''")
+_QUOTED = sqltext.quoted
 _STOPS = ", ".join(f"'{_QUOTED(w)}'" for w in text.HEADLINE_STOP)
 _RANK = "case lower({0}) " + " ".join(f"when '{k}' then {v}" for k, v in rules.SENIORITY.items()) + " else 0 end"
-_FIELD = "coalesce(json_extract_string({0}, '$.profile.{1}'), json_extract_string({0}, '$.{1}')) as {2}"
+_FIELD = "json_extract_string({0}, '$.{1}') as {2}"
 _FIELDS = ", ".join(_FIELD.format(doc, f, f"{side}_{n}") for doc, side in (("j", "a"), ("p", "b")) for n, f in (("headline", "headline"), ("company", "current_company"), ("title", "current_title"), ("seniority", "current_seniority"), ("location", "location"), ("building", "building"), ("founder", "founder_status"), ("open", "open_to_work")))
 _WORDS = "coalesce(list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+')), lambda x: length(x) > 1 and x not in (" + _STOPS + ")), [])"
 _HAS = "coalesce(trim({0}) <> '', false)"
@@ -298,8 +299,9 @@ _FLAG = lambda side, name: f"(coalesce({side}_{name}, 'false') not in ('false',
 _NOW = {n: [f"({_FLAG(side, n)} or {_SAYS(side, p)})" for side in ("a", "b")] for n, p in (("building", rules.BUILDING), ("founder", rules.FOUNDER))}
 _TURNED = {n: f"({now} and not {before})" for n, (now, before) in _NOW.items()}
 PROFILE_PAIRS_SQL = f"""
-docs as (select observation_id, try_cast(raw_json as json) as j, try_cast(previous_snapshot as json) as p from observation where content_type = 'profile_snapshot' and previous_snapshot is not null and raw_json is not null),
-f as (select observation_id, {_FIELDS} from docs where j is not null and p is not null),
+docs as (select observation_id, {sqltext.opened('raw_json')} as j, {sqltext.opened('previous_snapshot')} as p from observation where content_type = 'profile_snapshot'),
+pairs as (select observation_id, {sqltext.profile('j')} as j, {sqltext.profile('p')} as p from docs where j is not null and p is not null),
+f as (select observation_id, {_FIELDS} from pairs),
 w as (select *, {_WORDS.format('a_headline')} as aw, {_WORDS.format('b_headline')} as bw from f),
 c as (select *, len(list_filter(aw, lambda x: not list_contains(bw, x))) + len(list_filter(bw, lambda x: not list_contains(aw, x))) as changed, len(list_distinct(list_concat(aw, bw))) as total from w),
 m as (select *, trim(coalesce(a_headline, '')) <> trim(coalesce(b_headline, '')) and changed > 0 and (changed >= 2 or changed > 0.35 * total) as material from c)"""
@@ -345,10 +347,10 @@ def profile_findings(spark: SparkSession, d: str) -> DataFrame:
     return rules.findings(o, rules.profile_rules("before", "after"), ["observation_id"])
 
 
-@query("""with t as (select observation_id, headline, prev from (select observation_id, person_id, json_extract_string(try_cast(raw_json as json), '$.profile.headline') as headline,
-lag(json_extract_string(try_cast(raw_json as json), '$.profile.headline')) over (partition by person_id order by observed_at, observation_id) as prev, row_number() over (partition by person_id order by observed_at, observation_id) as rn
-from observation where content_type = 'profile_snapshot' and person_id is not null) where rn > 1 and headline is not null and prev is not null)
-select count(*) as pairs, count(*) filter (trim(headline) is distinct from trim(prev)) as differing from t""")
+@query(f"""with o as (select person_id, observed_at, observation_id, {sqltext.opened('raw_json')} as j from observation where content_type = 'profile_snapshot' and person_id is not null),
+h as (select person_id, observed_at, observation_id, json_extract_string({sqltext.profile('j')}, '$.headline') as headline from o),
+t as (select headline, lag(headline) over (partition by person_id order by observed_at, observation_id) as prev from h)
+select count(*) as pairs, count(*) filter (trim(headline) is distinct from trim(prev)) as differing from t where headline is not null and prev is not null""")
 def headline_pairs(spark: SparkSession, d: str) -> DataFrame:
     """JN-09, SET-03: consecutive headlines of a person."""
     w = Window.partitionBy("person_id").orderBy("observed_at", "observation_id")
