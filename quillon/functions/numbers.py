@@ -18,17 +18,26 @@ def _capped_count(v: Column, p: dict) -> Column:
     return v / F.lit(float(p.get("max") or 1))
 
 
+def _linear_cap(v: Column, p: dict) -> Column:
+    return v / F.lit(float(p.get("divisor") or 1))
+
+
 def _min_ratio(v: Column, p: dict) -> Column:
-    r = v / F.lit(float(p["target"]))
+    r = v / F.lit(float(p.get("target") or 1))
     return F.lit(1.0) - r if p.get("invert") else r
 
 
 def _exp_decay(v: Column, p: dict) -> Column:
-    rate = math.log(2) / p["half_life"] if "half_life" in p else p["lambda"]
+    half_life = p.get("half_life_days") or p.get("half_life")
+    if not half_life and p.get("lambda") is None:
+        raise ValueError("exp_decay needs half_life_days or lambda")
+    rate = math.log(2) / half_life if half_life else p["lambda"]
     return F.when(v.isNotNull(), F.exp(F.lit(-float(rate)) * F.greatest(F.lit(0.0), v)))
 
 
 def _bucket(v: Column, p: dict) -> Column:
+    if len(p["values"]) != len(p["thresholds"]) + 1:
+        raise ValueError("bucket needs one value more than thresholds")
     out = F.lit(float(p["values"][-1]))
     for limit, value in reversed(list(zip(p["thresholds"], p["values"]))):
         out = F.when(v <= limit, float(value)).otherwise(out)
@@ -48,7 +57,7 @@ def _tiered(v: Column, p: dict) -> Column:
 NORMALIZERS: dict[str, Callable[[Column, dict], Column]] = {
     "binary": lambda v, p: F.when(v.isNotNull(), F.when(v != 0, 1.0).otherwise(0.0)),
     "capped_count": _capped_count,
-    "linear_cap": lambda v, p: v / F.lit(float(p["divisor"])),
+    "linear_cap": _linear_cap,
     "min_ratio": _min_ratio,
     "exp_decay": _exp_decay,
     "tiered": _tiered,
@@ -64,6 +73,24 @@ def normalized(name: str, value: Column, params: dict | None = None) -> Column:
     return clip(NORMALIZERS[name](value, params or {}))
 
 
+#: What each normaliser computes, for audits.
+FORMULAS = {
+    "binary": "1 if value else 0",
+    "capped_count": "min(value, max) / max",
+    "linear_cap": "clip(value / divisor, 0, 1)",
+    "min_ratio": "clip(value / target, 0, 1), inverted: 1 - value / target",
+    "exp_decay": "exp(-ln(2) / half_life_days * days)",
+    "tiered": "value's place in tiers",
+    "passthrough_unit": "clip(value, 0, 1)",
+    "bucket": "step of thresholds and values",
+}
+
+
+def described(name: str, params: dict | None = None) -> dict:
+    """A normalisation as shown in an audit: its name, formula, parameters and bounds."""
+    return {"normalization": name, "formula": FORMULAS.get(name, "n/a"), "params": params or {}, "cap": 1.0, "floor": 0.0}
+
+
 def days_between(earlier: Column, later: Column) -> Column:
     """Fractional days."""
     return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(86_400_000_000.0)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import hits, tokens
 from quillon.operators.timeline import latest
 
+#: Words of a thesis text: fixed value.
+THESIS_WORD = "[a-z0-9][a-z0-9+.#-]*"
+
 
 def pivoted(facts: DataFrame, subject: str, kind: str, value: str, order: list[Column], kinds: list[str]) -> DataFrame:
     """(subject, one column per kind): the latest value of each; a kind without a fact is null, i.e. unknown."""
@@ -34,13 +39,18 @@ def tenure_years(jobs: DataFrame, person: str, start: str, end: str, as_of: Colu
     return jobs.groupBy(person).agg(F.round(F.sum(F.when(counted & F.col(start).isNotNull(), days / 365.25)), 4).alias("years"))
 
 
-def phrase_match(text: Column, phrases: list[str]) -> Column:
-    """Score in [0, 1] of a topic list: phrases found, else those that share a word; four finds are enough."""
-    words = tokens(text, "[a-z0-9][a-z0-9+.#-]*")
+def phrase_hits(text: Column, phrases: list[str]) -> Column:
+    """Phrases found in the text, else those that share a word with it; each once, in alphabetical order."""
+    words = tokens(text, THESIS_WORD)
     whole = hits(text, phrases)
-    shared = F.array_compact(F.array(*(F.when(F.arrays_overlap(words, F.array(*(F.lit(w) for w in p.lower().split()))), F.lit(p)) for p in phrases)))
-    found = F.when(F.size(whole) > 0, F.size(whole)).otherwise(F.size(shared))
-    return F.round(F.least(F.lit(1.0), found / float(max(1, min(len(phrases), 4)))), 4)
+    within = lambda p: F.array(*(F.lit(w) for w in re.findall(THESIS_WORD, p.lower()) or [""]))
+    shared = F.array_compact(F.array(*(F.when(F.arrays_overlap(words, within(p)), F.lit(p)) for p in phrases))) if phrases else whole
+    return F.array_sort(F.array_distinct(F.when(F.size(whole) > 0, whole).otherwise(shared)))
+
+
+def phrase_match(text: Column, phrases: list[str]) -> Column:
+    """Score in [0, 1] of a topic list by phrase_hits(); four finds are enough, no topics score 0."""
+    return F.round(F.least(F.lit(1.0), F.size(phrase_hits(text, phrases)) / float(max(1, min(len(phrases), 4)))), 4)
 
 
 def overlap(have: Column, wanted: Column) -> Column:

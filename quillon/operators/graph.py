@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.numbers import clip, days_between
+from quillon.functions.numbers import lookup as numbers_lookup
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -65,3 +66,40 @@ def access(found: DataFrame, base: Column, bonus: float = 4.0, most_bonus: float
         score = score - F.when(over > 0, F.least(F.lit(most_penalty), per_month * over / 30.0)).otherwise(0.0)
     score = score * F.when(F.col("b.confidence").isNotNull(), F.greatest(F.lit(floor), F.col("b.confidence"))).otherwise(1.0)
     return by.select("target", "b.hops", "b.base", "routes", F.round(clip(score, 0.0, 100.0), 4).alias("score"), "b.path")
+
+
+#: Ranks of relation strengths; others rank 0, which is unknown: fixed values.
+STRENGTH = {"WEAK": 1, "MODERATE": 2, "STRONG": 3, "DIRECT": 4}
+
+
+def path_base(config: dict) -> Column:
+    """Base of a path over columns hops and weakest, from a table HOP1_STRONG .. HOP3_ANY; null for an unknown strength
+    within two hops. A direct relation has no entry of its own in the table and counts as unknown strength."""
+    table = config["path_base"]
+    by = lambda hops: numbers_lookup(F.col("weakest"), {rank: float(table.get(f"HOP{hops}_{word}", 0)) for word, rank in STRENGTH.items() if rank <= 3})
+    return F.when(F.col("hops") == 1, by(1)).when(F.col("hops") == 2, by(2)).otherwise(float(table.get("HOP3_ANY", 0)))
+
+
+def access_scores(people: DataFrame, edges: DataFrame, seeds: DataFrame, config: dict, as_of: Column) -> DataFrame:
+    """(node, access, hops, weakest, routes, path) of every person: column ``node`` of people and of seeds.
+
+    A seed scores as a direct contact; whoever no path reaches scores zero, which is known; whoever only paths of unknown
+    strength reach has a null score. Rounded to 2.
+    """
+    adjust = config.get("adjustments", {})
+    many, stale, clamp = adjust.get("independent_paths", {}), adjust.get("staleness", {}), adjust.get("confidence_clamp", {})
+    found = paths(undirected(edges), seeds, int(config.get("max_hops", 3)))
+    if not clamp.get("enabled"):
+        found = found.withColumn("confidence", F.lit(None).cast("double"))
+    best = access(
+        found, path_base(config), bonus=float(many.get("per_extra_path", 4)), most_bonus=float(many.get("max_bonus", 8)), as_of=as_of, stale_after=float(stale.get("threshold_days", 365)),
+        per_month=float(stale.get("per_month_penalty", 4)), most_penalty=float(stale.get("max_penalty", 15)), floor=float(clamp.get("floor", 0.5)),
+    )
+    reached = best.select(F.col("target").alias("node"), "score", "hops", "routes", "path", F.lit(True).alias("__reached"))
+    marked = people.join(seeds.select("node").distinct().withColumn("__seed", F.lit(True)), "node", "left").join(reached, "node", "left")
+    score = F.when(F.col("__seed"), float(config["path_base"]["DIRECT"])).when(F.col("__reached"), F.round("score", 2)).otherwise(0.0)
+    seed = F.coalesce("__seed", F.lit(False))
+    return marked.select(
+        "node", score.alias("access"), F.when(seed, 0).otherwise(F.col("hops")).alias("hops"), F.when(seed, F.lit(1)).otherwise(F.coalesce("routes", F.lit(0))).cast("bigint").alias("routes"),
+        F.when(seed, F.array("node")).otherwise(F.col("path")).alias("path"),
+    )

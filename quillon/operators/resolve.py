@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.session import cut
+
 MATCH, POSSIBLE, SURE, MARGIN = 0.90, 0.15, 0.60, 0.25
 
 
@@ -76,3 +78,21 @@ def check_merge(merges: DataFrame, loser: str, winner: str) -> None:
         raise ValueError("a person can't be merged into itself")
     if not merges.filter(F.col("active") & (F.col("loser") == loser)).isEmpty():
         raise ValueError(f"{loser} is merged already")
+
+
+def live_ids(person: DataFrame, key: str = "person_id", into: str = "merged_into_id") -> DataFrame:
+    """(person_id, live_id): the live person each row stands for, through merges of any length.
+
+    Chains are halved in every round, so the rounds are the logarithm of the longest one. People merged in a circle, or
+    into themselves, stand for themselves; people with a null key are left out.
+    """
+    people = person.select(F.col(key).alias("person_id"), F.col(into).alias("live_id")).filter("person_id is not null")
+    step = cut(people.filter("live_id is not null and live_id <> person_id").groupBy("person_id").agg(F.min("live_id").alias("live_id")))
+    onward = lambda: step.select(F.col("person_id").alias("live_id"), F.col("live_id").alias("__next"))
+    for _ in range(step.count().bit_length()):
+        if step.join(onward(), "live_id", "left_semi").isEmpty():
+            break
+        step = cut(step.join(onward(), "live_id", "left").select("person_id", F.coalesce("__next", "live_id").alias("live_id")))
+    circle = step.join(onward(), "live_id", "left_semi").select("person_id", F.lit(True).alias("__circle"))
+    ends = step.join(circle, "person_id", "left").select("person_id", F.when(F.col("__circle"), F.col("person_id")).otherwise(F.col("live_id")).alias("__live"))
+    return people.select("person_id").distinct().join(ends, "person_id", "left").select("person_id", F.coalesce("__live", "person_id").alias("live_id"))

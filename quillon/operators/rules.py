@@ -17,20 +17,22 @@ class Finding:
     """One rule: what it yields when its condition holds."""
 
     kind: str  # 'event', 'fact' or 'inference'
-    name: str
+    name: str | Column
     condition: Column
     confidence: Column | float
     value: Column | None = None
     organization: Column | None = None
+    unit: str | Column | None = None
 
 
 def findings(df: DataFrame, rules: list[Finding], keep: list[str]) -> DataFrame:
-    """One row per rule that holds: ``keep``, kind, name, confidence, value, organization. One narrow pass."""
+    """One row per rule that holds: ``keep``, kind, name, confidence, value, organization, unit. One narrow pass."""
 
     def row(r: Finding) -> Column:
         text = lambda c: (F.lit(None) if c is None else c).cast("string")
         confidence = r.confidence if isinstance(r.confidence, Column) else F.lit(float(r.confidence))
-        made = F.struct(F.lit(r.kind).alias("kind"), F.lit(r.name).alias("name"), confidence.cast("double").alias("confidence"), text(r.value).alias("value"), text(r.organization).alias("organization"))
+        said = lambda c: text(F.lit(c) if isinstance(c, str) else c)
+        made = F.struct(F.lit(r.kind).alias("kind"), said(r.name).alias("name"), confidence.cast("double").alias("confidence"), text(r.value).alias("value"), text(r.organization).alias("organization"), said(r.unit).alias("unit"))
         return F.when(F.coalesce(r.condition, F.lit(False)), made)
 
     return df.select(*keep, F.explode(F.array_compact(F.array(*(row(r) for r in rules)))).alias("f")).select(*keep, "f.*")
@@ -84,7 +86,7 @@ def profile_rules(before: str, after: str) -> list[Finding]:
         Finding("event", "HIRING_STARTED", newly(HIRING), 0.7, a("headline")),
         Finding("inference", "POSSIBLE_COMPANY_FORMATION", (signals >= 1) & (building_now | founder_now | stealth), formation),
         Finding("event", "OPEN_TO_WORK_SIGNAL", opened, 0.9),
-        Finding("fact", "OPEN_TO_WORK_DECLARED", opened, 0.95),
+        Finding("fact", "OPEN_TO_WORK_DECLARED", opened, 0.95, F.lit("true")),
         Finding("fact", "LOCATION", moved, 0.85, a("location")),
     ]
 
@@ -133,7 +135,7 @@ def text_rules(text: str, subject: str, content_type: str, raised: str = RAISED)
         Finding("inference", "POSSIBLE_COMPANY_FORMATION", t.rlike(TEXT_BUILDING) & (F.col(content_type) != "profile_snapshot"), 0.5),
         Finding("event", "COFOUNDER_SEARCH", low.rlike(TEXT_COFOUNDER), 0.8),
         Finding("event", "OPEN_TO_WORK_SIGNAL", opened, 0.85),
-        Finding("fact", "OPEN_TO_WORK_DECLARED", opened, 0.85),
+        Finding("fact", "OPEN_TO_WORK_DECLARED", opened, 0.85, F.lit("true")),
         Finding("event", "PARTNER_ROLE_STARTED", t.rlike(PARTNER), 0.8, None, org),
         Finding("event", "CIO_ROLE_STARTED", t.rlike(CIO) & any_of(APPOINTED), 0.8, None, org),
         Finding("event", "INVESTMENT_MANDATE_CHANGED", mandate, 0.8),
@@ -144,30 +146,38 @@ def text_rules(text: str, subject: str, content_type: str, raised: str = RAISED)
     ]
 
 
-_OPERATORS = {
-    "gte": lambda c, v: c >= v, "gt": lambda c, v: c > v, "lte": lambda c, v: c <= v, "lt": lambda c, v: c < v,
-    "ne": lambda c, v: c != v, "in": lambda c, v: c.isin(*v), "eq": lambda c, v: c == v,
-}
+_COMPARE = {"gte": lambda c, v: c >= v, "gt": lambda c, v: c > v, "lte": lambda c, v: c <= v, "lt": lambda c, v: c < v}
 
 
-def condition(when: dict) -> Column:
-    """All of a rule's conditions: {'score_gte': 60, 'flag': True, 'always': True}; a null operand is no match."""
+def condition(when: dict, columns: list[str]) -> Column:
+    """All of a rule's conditions: {'score_gte': 60, 'flag': True, 'always': True}.
+
+    An unknown number counts as zero and an unknown flag as false, so an unknown access is below every threshold.
+    'always' holds if its value does; a condition on a column that isn't there never holds.
+    """
     out = F.lit(True)
     for name, value in when.items():
-        if name == "always":
-            continue
         field, _, op = name.rpartition("_")
-        test = _OPERATORS[op](F.col(field), value) if op in _OPERATORS and field else F.col(name) == value
-        out = out & F.coalesce(test, F.lit(False))
+        if name == "always":
+            test = F.lit(bool(value))
+        elif op in _COMPARE and field in columns:
+            test = _COMPARE[op](F.coalesce(F.col(field).cast("double"), F.lit(0.0)), float(value))
+        elif name in columns and isinstance(value, bool):
+            test = F.coalesce(F.col(name), F.lit(False)) == value
+        elif name in columns:
+            test = F.coalesce(F.col(name) == value, F.lit(False))
+        else:
+            test = F.lit(False)
+        out = out & test
     return out
 
 
-def first_match(rules: list[dict], default: str = "UNKNOWN") -> tuple[Column, Column]:
-    """(decision, reason codes) of the first rule that holds, from rules {'when', 'then', 'reason_codes'}."""
+def first_match(rules: list[dict], columns: list[str], default: str = "UNKNOWN") -> tuple[Column, Column]:
+    """(decision, reason codes) of the first rule that holds, from rules {'when', 'then', 'reason_codes'} over ``columns``."""
     decision, reasons = F.lit(default), F.array().cast("array<string>")
     for rule in reversed(rules):
-        holds = condition(rule["when"])
-        decision = F.when(holds, rule["then"]).otherwise(decision)
+        holds = condition(rule.get("when", {}), columns)
+        decision = F.when(holds, rule.get("then", default)).otherwise(decision)
         reasons = F.when(holds, F.array(*(F.lit(c) for c in rule.get("reason_codes", ()))).cast("array<string>")).otherwise(reasons)
     return decision, reasons
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.numbers import days_between
+from quillon.functions.numbers import days_between, lookup
 
 
 def _always(c: Column | None) -> Column:
@@ -31,6 +31,11 @@ def inference_visible(as_of: Column, cutoff: Column | None = None, expires: str
     return (F.col(expires).isNull() | (F.col(expires) >= as_of)) & _always(None if cutoff is None else F.col(recorded) <= cutoff)
 
 
+def edge_visible(as_of: Column, cutoff: Column | None = None, seen: str = "first_seen_at", recorded: str = "created_at") -> Column:
+    """A relation seen by ``as_of``; one without a first sight counts from its record."""
+    return (F.coalesce(F.col(seen), F.col(recorded)) <= as_of) & _always(None if cutoff is None else F.col(recorded) <= cutoff)
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by ``order``; the rank filter becomes a group limit before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -48,9 +53,23 @@ def weekly_steps(spark, start: str, end: str, days: int = 7) -> DataFrame:
     return spark.range(1).select(F.explode(F.expr(f"sequence(timestamp_ntz'{start}', timestamp_ntz'{end}', interval {days} days)")).alias("step"))
 
 
-#: Days after which a value of a kind is stale: fixed values.
-FRESH_DAYS = {"employment": 60, "network": 365, "company_stage": 120, "headline": 45, "education": 10_000}
-FRESH_DEFAULT = 180
+#: Days after which a value of a bucket is stale: fixed values.
+STALE_DAYS = {"current_employment": 60, "network_relationship": 365, "company_stage": 120, "headline": 45, "education": 10_000, "default": 180}
+#: Bucket of each fact type, others fall under default: fixed values.
+FRESHNESS_BUCKET = {
+    "CURRENT_TITLE": "current_employment",
+    "EMPLOYMENT_ENDED_AT": "current_employment",
+    "HEADLINE_TEXT": "headline",
+    "HEADLINE_CHANGED": "headline",
+    "EDUCATION_INSTITUTION": "education",
+    "INVESTMENT_MANDATE": "company_stage",
+    "VENTURE_ALLOCATION_EVIDENCE": "company_stage",
+}
+
+
+def stale_days(fact_type: Column) -> Column:
+    """Days after which a fact of this type is stale."""
+    return lookup(fact_type, {k: float(STALE_DAYS[b]) for k, b in FRESHNESS_BUCKET.items()}, float(STALE_DAYS["default"]))
 
 
 def staleness(verified: Column, as_of: Column, limit: Column) -> tuple[Column, Column]:

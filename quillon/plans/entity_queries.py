@@ -127,7 +127,7 @@ def supersede_chain(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""select fact_type, count(*) as n, count(*) filter (date_diff('microsecond', verified_at, {_AS_OF}) / 86400000000.0 > case fact_type when 'CURRENT_TITLE' then 60 else 180 end) as stale from fact group by 1""")
 def freshness_stale(spark: SparkSession, d: str) -> DataFrame:
     """DT-06, FEA-17."""
-    _, stale = timeline.staleness(F.col("verified_at"), as_of(), numbers.lookup(F.col("fact_type"), {"CURRENT_TITLE": float(timeline.FRESH_DAYS["employment"])}, float(timeline.FRESH_DEFAULT)))
+    _, stale = timeline.staleness(F.col("verified_at"), as_of(), timeline.stale_days(F.col("fact_type")))
     return table(spark, d, "fact").groupBy("fact_type").agg(F.count("*").alias("n"), F.sum(stale.cast("bigint")).alias("stale"))
 
 

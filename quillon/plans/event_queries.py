@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import numbers, text, values
-from quillon.operators import events, ingest, ranking, rules, timeline
+from quillon.operators import events, extraction, ingest, ranking, rules, timeline
 from quillon.operators.dedupe import keep_first
 from quillon.plans import sqltext
 from quillon.plans.registry import Book
@@ -47,7 +47,7 @@ select user_id, score, rank, percentile, case when percentile >= 90 then 'CONTAC
 from r order by rank, user_id limit 20""")
 def flagship_timing_rank(spark: SparkSession, d: str) -> DataFrame:
     """FLT-09, SCO-02, WIN-02, WIN-03, ACT-01, SRT-04: people ranked by decayed timing signals."""
-    decision, _ = rules.first_match([{"when": {"percentile_gte": 90}, "then": "CONTACT"}, {"when": {"percentile_gte": 50}, "then": "MONITOR"}, {"when": {"always": True}, "then": "PASS"}])
+    decision, _ = rules.first_match([{"when": {"percentile_gte": 90}, "then": "CONTACT"}, {"when": {"percentile_gte": 50}, "then": "MONITOR"}, {"when": {"always": True}, "then": "PASS"}], ["percentile"])
     return timing(spark, d).withColumn("action", decision).orderBy("rank", "user_id").limit(20)
 
 
@@ -252,38 +252,12 @@ def discovery_rule_match(spark: SparkSession, d: str) -> DataFrame:
     return rules.discovered(table(spark, d, "documents"), "text", "doc_id", RULES).withColumn("signals", F.col("signals").cast("bigint"))
 
 
-_SAID = lambda words: "(" + " or ".join(f"contains(lower(raw_text), '{w}')" for w in words) + ")"
-_TEXT_FINDINGS = {
-    "NEWS_MENTION": ("content_type = 'news_article' and subject_hint is not null", 0.75),
-    "EMPLOYMENT_ENDED": (f"{_SAID(rules.LEAVING)} and {_SAID(rules.LEAVING_TOO)}", 0.8),
-    "FUNDRAISE_ANNOUNCED": (f"regexp_matches(raw_text, '{rules.RAISED}') and regexp_matches(raw_text, '{rules.SERIES}')", 0.85),
-    "PRODUCT_LAUNCH": (f"regexp_matches(raw_text, '{rules.LAUNCH}') and {_SAID(rules.PRODUCT_WORDS)} and not contains(lower(raw_text), 'infra')", 0.75),
-    "COMPANY_ACQUIRED": (f"regexp_matches(raw_text, '{rules.ACQUIRED}')", 0.8),
-    "PATENT_FILED": (f"regexp_matches(raw_text, '{rules.PATENT}')", 0.7),
-    "POSSIBLE_COMPANY_FORMATION": (f"regexp_matches(raw_text, '{rules.TEXT_BUILDING}') and content_type <> 'profile_snapshot'", 0.5),
-}
-
-
-@query("select name, count(*) as n, round(avg(confidence), 4) as confidence from (" + " union all ".join(f"select '{n}' as name, cast({c} as double) as confidence from observation where raw_text is not null and {w}" for n, (w, c) in _TEXT_FINDINGS.items()) + ") group by 1")
+@query(f"with tx as (select observation_id, content_type, subject_hint, raw_text as said from observation where raw_text is not null) {sqltext.text_rules('tx')}")
 def text_findings(spark: SparkSession, d: str) -> DataFrame:
-    """EXT-01, EXT-03, STR-06: findings in free text, counted by rule."""
+    """EXT-03, STR-06, STR-09, STR-10: all twenty rules on free text, one row per finding."""
     o = table(spark, d, "observation").filter("raw_text is not null")
     found = rules.findings(o, rules.text_rules("raw_text", "subject_hint", "content_type"), ["observation_id"])
-    return found.filter(F.col("name").isin(*_TEXT_FINDINGS) & (F.col("kind") != "fact")).groupBy("name").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("confidence"))
-
-
-def free_text_findings(o: DataFrame) -> DataFrame:
-    """EXT-01, EXT-03: findings of each observation in its free text: raw_text with title, body and summary of raw_json.
-
-    Profiles, and structured records that name their fact or event, are read by their own rules.
-    """
-    get = lambda f: F.nullif(F.try_variant_get("v", f"$.{f}", "string"), F.lit(""))
-    structured = F.col("content_type").isin("csv_row", "json_record") & (get("fact_type").isNotNull() | get("event_type").isNotNull())
-    o = o.filter("content_type is distinct from 'profile_snapshot'").select("observation_id", "subject_hint", "content_type", "raw_text", values.opened(F.col("raw_json")).alias("v"))
-    o = o.filter(~F.coalesce(structured, F.lit(False)))
-    said = F.trim(F.concat_ws(" ", F.nullif("raw_text", F.lit("")), get("title"), get("body"), get("summary")))
-    o = o.select("observation_id", "subject_hint", "content_type", said.alias("said")).filter("said <> ''")
-    return rules.findings(o, rules.text_rules("said", "subject_hint", "content_type"), ["observation_id"])
+    return found.drop("unit")
 
 
 _QUOTED = sqltext.quoted
@@ -319,14 +293,14 @@ _FINDINGS = [
     ("event", "FOUNDER_TITLE_ADDED", _TURNED["founder"], "0.95", "a_headline", "null"), ("inference", "STEALTH_COMPANY_SIGNAL", _NEWLY(rules.STEALTH), "0.7", "a_headline", "null"),
     ("event", "COFOUNDER_SEARCH", _SAYS("a", rules.COFOUNDER_SEARCH), "0.85", "a_headline", "null"), ("event", "HIRING_STARTED", _NEWLY(rules.HIRING), "0.7", "a_headline", "null"),
     ("inference", "POSSIBLE_COMPANY_FORMATION", f"{_SIGNALS} >= 1 and ({_NOW['building'][0]} or {_NOW['founder'][0]} or {_SAYS('a', rules.STEALTH)})", f"round(least(0.85, 0.35 + 0.2 * {_SIGNALS}), 4)", "null", "null"),
-    ("event", "OPEN_TO_WORK_SIGNAL", _OPENED, "0.9", "null", "null"), ("fact", "OPEN_TO_WORK_DECLARED", _OPENED, "0.95", "null", "null"),
+    ("event", "OPEN_TO_WORK_SIGNAL", _OPENED, "0.9", "null", "null"), ("fact", "OPEN_TO_WORK_DECLARED", _OPENED, "0.95", "'true'", "null"),
     ("fact", "LOCATION", f"{_HAS.format('a_location')} and a_location is distinct from b_location", "0.85", "a_location", "null"),
 ]
 
 
-def _findings_sql() -> str:
-    rows = " union all ".join(f"select observation_id, '{kind}' as kind, '{name}' as name, cast({conf} as double) as confidence, {value} as value, {org} as organization from m where {test}" for kind, name, test, conf, value, org in _FINDINGS)
-    return f"with {PROFILE_PAIRS_SQL} {rows}"
+def findings_rows() -> str:
+    """Rows of the profile rules over the pairs of PROFILE_PAIRS_SQL."""
+    return " union all ".join(f"select observation_id, '{kind}' as kind, '{name}' as name, cast({conf} as double) as confidence, {value} as value, {org} as organization from m where {test}" for kind, name, test, conf, value, org in _FINDINGS)
 
 
 def profile_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -336,15 +310,11 @@ def profile_pairs(spark: SparkSession, d: str) -> DataFrame:
     return o.select("observation_id", values.profile(F.col("b")).alias("before"), values.profile(F.col("a")).alias("after"))
 
 
-@query(_findings_sql())
+@query(f"with {PROFILE_PAIRS_SQL} {findings_rows()}")
 def profile_findings(spark: SparkSession, d: str) -> DataFrame:
     """DIF-01, DIF-02, EXT-01: events, facts and inferences between a profile and the snapshot before it."""
-    texts = (("headline", "headline"), ("company", "current_company"), ("title", "current_title"), ("seniority", "current_seniority"), ("location", "location"))
-    flags = (("building", "building"), ("founder", "founder_status"), ("open", "open_to_work"))
-    get = lambda c, f: F.try_variant_get(c, f"$.{f}", "string")
-    side = lambda c: F.struct(*(get(c, f).alias(n) for n, f in texts), *(values.truthy(get(c, f)).alias(n) for n, f in flags))
-    o = profile_pairs(spark, d).select("observation_id", side("before").alias("before"), side("after").alias("after"))
-    return rules.findings(o, rules.profile_rules("before", "after"), ["observation_id"])
+    o = profile_pairs(spark, d).select("observation_id", extraction.side("before").alias("before"), extraction.side("after").alias("after"))
+    return rules.findings(o, rules.profile_rules("before", "after"), ["observation_id"]).drop("unit")
 
 
 @query(f"""with o as (select person_id, observed_at, observation_id, {sqltext.opened('raw_json')} as j from observation where content_type = 'profile_snapshot' and person_id is not null),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillon.plans import entity_queries, event_queries, score_queries
+from quillon.plans import entity_queries, event_queries, model_queries, score_queries
 
-_BOOKS = (event_queries.BOOK, entity_queries.BOOK, score_queries.BOOK)
+_BOOKS = (event_queries.BOOK, entity_queries.BOOK, score_queries.BOOK, model_queries.BOOK)
 QUERIES = {name: f for b in _BOOKS for name, f in b.queries.items()}
 SQL = {name: s for b in _BOOKS for name, s in b.sql.items()}

@@ -87,11 +87,11 @@ RULES = [
 
 
 @query(f"""with {_DIM}, p as (select c_custkey, timing, round((0.6 * quality + coalesce(0.4 * timing, 0)) / (0.6 + case when timing is null then 0 else 0.4 end), 4) as priority from dims),
-a as (select *, case when timing < 20 and priority >= 45 then 'VERIFY' when priority >= 50 then 'CONTACT' when priority >= 30 then 'MONITOR' else 'PASS' end as action from p)
+a as (select *, case when coalesce(timing, 0) < 20 and priority >= 45 then 'VERIFY' when priority >= 50 then 'CONTACT' when priority >= 30 then 'MONITOR' else 'PASS' end as action from p)
 select c_custkey, action, case action when 'VERIFY' then ['STALE'] when 'CONTACT' then ['HIGH', 'FRESH'] when 'MONITOR' then ['MIDDLE'] else ['LOW'] end as reasons from a""")
 def action_first_match(spark: SparkSession, d: str) -> DataFrame:
     """ACT-01, ACT-02: the first rule that holds, with its reasons."""
-    decision, reasons = rules.first_match(RULES)
+    decision, reasons = rules.first_match(RULES, ["timing", "priority"])
     return priority_renorm(spark, d).select("c_custkey", decision.alias("action"), reasons.alias("reasons"))
 
 
