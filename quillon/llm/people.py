@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillon.llm import canonical
 from quillon.llm.matching import TABLES, Space, View, bits_for, blocked, both_sides, calibrated, cosine, side
 from quillon.llm.names import grams, parts, verified
+from quillon.operators.resolve import live_ids
 from quillon.session import cut, spread, table
 
 SIDE = "record string, attribute string, value string, tokens array<string>"
@@ -99,17 +100,6 @@ def tokens(sides: DataFrame) -> DataFrame:
     return spread(sides, "record").mapInPandas(run, SIDE)
 
 
-def live_ids(person: DataFrame, hops: int = 4) -> DataFrame:
-    """(person_id, live_id): the live person a row stands for, through at most ``hops`` merges."""
-    step = person.select("person_id", "merged_into_id").dropDuplicates(["person_id"])
-    out = step.select("person_id", F.coalesce("merged_into_id", "person_id").alias("live_id"))
-    merged = cut(step.filter("merged_into_id is not null"))
-    for _ in range(hops - 1):
-        onward = merged.select(F.col("person_id").alias("live_id"), F.col("merged_into_id").alias("__next"))
-        out = out.join(onward, "live_id", "left").select("person_id", F.coalesce("__next", "live_id").alias("live_id"))
-    return out
-
-
 def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Payloads of the candidates and of the live people."""
     companies = canonical.read_list(table(spark, d, "organization"), "organization_id", "canonical_name")
