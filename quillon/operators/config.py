@@ -112,11 +112,11 @@ def models(folder: str | Path) -> dict[str, Model]:
 
 
 def discovery_rules(raws: list[dict]) -> list[dict]:
-    """Active rules in order, as rules.discovered() takes them."""
+    """Active rules in order, as rules.first_rule() takes them."""
     out = []
     for raw in raws:
+        least = raw.get("minimum_evidence") or {}
+        phrases = {k: raw.get(k) or [] for k in ("keywords", "technical_topics", "titles", "excluded_keywords")}
         if raw.get("active", True):
-            least = raw.get("minimum_evidence") or {}
-            phrases = [*(raw.get("keywords") or []), *(raw.get("technical_topics") or []), *(raw.get("titles") or [])]
-            out.append({"name": raw["name"], "keywords": phrases, "excluded": raw.get("excluded_keywords") or [], "min_signals": int(least.get("min_signals", 1)), "events": least.get("require_any_event_types") or []})
+            out.append({"name": raw["name"], "target_class": raw.get("target_class"), **phrases, "required_events": least.get("require_any_event_types") or [], "min_signals": int(least.get("min_signals", 1))})
     return out

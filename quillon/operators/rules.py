@@ -200,3 +200,34 @@ def one_per_rule(candidates: DataFrame, rule: str, person: str, order: list[str]
     """The first candidate of each (rule, person)."""
     w = Window.partitionBy(rule, person).orderBy(*order)
     return candidates.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+
+
+def rule_match(text: Column, events: Column, rule: dict) -> tuple[Column, Column, Column]:
+    """(holds, reasons, signals) of a discovery rule on a text and the event types found with it.
+
+    An excluded phrase rules it out; required events must be met by one of them and count as a signal, as does asking for
+    none. A rule without any phrase or event that holds gives no reason and doesn't match.
+    """
+    low = F.coalesce(text, F.lit(""))
+    found = {k: hits(low, rule.get(k) or []) for k in ("keywords", "technical_topics", "titles")}
+    wanted = sorted(rule.get("required_events") or [])
+    none = F.array().cast("array<string>")
+    met = F.array_sort(F.array_intersect(F.coalesce(events, none), F.array(*(F.lit(e) for e in wanted)))) if wanted else none
+    gate = F.size(met) > 0 if wanted else F.lit(True)
+    said = lambda label, a, most: F.when(F.size(a) > 0, F.concat(F.lit(f"{label}:"), F.array_join(F.slice(a, 1, most), ",")))
+    reasons = F.array_compact(F.array(said("keywords", found["keywords"], 4), said("topics", found["technical_topics"], 4), said("titles", found["titles"], 3), said("events", met, 1_000)))
+    signals = reduce(lambda a, b: a + b, (F.size(a) for a in found.values())) + gate.cast("int")
+    banned = F.size(hits(low, rule.get("excluded_keywords") or [])) > 0
+    return ~banned & gate & (signals >= int(rule.get("min_signals", 1))) & (F.size(reasons) > 0), reasons, signals
+
+
+def first_rule(df: DataFrame, text: str, events: str, rules: list[dict]) -> DataFrame:
+    """``df`` with rule, target_class, reasons and signals of the first active rule that matches; other rows are left out."""
+    tried = []
+    for r in rules:
+        if r.get("active", True):
+            holds, reasons, signals = rule_match(F.col(text), F.col(events), r)
+            tried.append(F.when(holds, F.struct(F.lit(r["name"]).alias("rule"), F.lit(r.get("target_class")).cast("string").alias("target_class"), reasons.alias("reasons"), signals.alias("signals"))))
+    if not tried:
+        return df.limit(0).selectExpr("*", "'' as rule", "'' as target_class", "array('') as reasons", "0 as signals")
+    return df.withColumn("__m", F.coalesce(*tried)).filter("__m is not null").select("*", "__m.*").drop("__m")

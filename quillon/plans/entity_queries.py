@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import numbers, text, values
 from quillon.operators import events, features, graph, ingest, ranking, resolve, timeline
+from quillon.plans import sqltext
 from quillon.plans.registry import Book
-from quillon.session import table
+from quillon.session import cut, table
 
 BOOK = Book()
 query = BOOK.query
@@ -159,51 +160,115 @@ def name_normalize_dups(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "person").groupBy(text.normal_name(F.col("canonical_name")).alias("n")).agg(F.count("*").alias("people")).filter("people > 1")
 
 
-_ER = """c as (select candidate_id, name, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(linkedin_url)), '\\?.*$', ''), '/+$', ''), '^https?://', ''), '^www\\.', '') as url, lower(trim(email)) as mail, geography,
-    trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')) as nn from er_candidate),
-p as (select person_id, canonical_name, lower(primary_linkedin_url) as url, lower(primary_email) as mail, primary_location,
-    trim(regexp_replace(regexp_replace(lower(canonical_name), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')) as nn from person where merged_into_id is null),
-b as (select distinct candidate_id, person_id from (select candidate_id, person_id from c join p on c.url = p.url and c.url <> '' union all select candidate_id, person_id from c join p on c.mail = p.mail and c.mail <> '' union all select candidate_id, person_id from c join p on c.nn = p.nn and c.nn <> '')),
-s as (select candidate_id, person_id, round(least(1.0, (case when c.url = p.url and c.url <> '' then 0.55 else 0 end) + (case when c.mail = p.mail then 0.42 else 0 end) + (case when c.nn = p.nn then 0.20 else 0 end) + (case when lower(trim(c.geography)) = lower(p.primary_location) then 0.06 else 0 end))::double, 4) as score
-    from b join c using (candidate_id) join p using (person_id))"""
-
-
-def _er_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    c = table(spark, d, "er_candidate").select("candidate_id", text.normal_address(F.col("linkedin_url")).alias("c_url"), F.lower(F.trim("email")).alias("c_mail"), text.normal_name(F.col("name")).alias("c_name"), "geography")
-    p = table(spark, d, "person").filter("merged_into_id is null").select("person_id", F.lower("primary_linkedin_url").alias("p_url"), F.lower("primary_email").alias("p_mail"), text.normal_name(F.col("canonical_name")).alias("p_name"), "primary_location")
-    return c, p
+_ADDRESS = lambda c: f"nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({c})), '\\?.*$', ''), '/+$', ''), '^https?://', ''), '^www\\.', ''), '')"
+_NAME = lambda c: f"trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+_LOWERED = lambda c: f"list_filter(list_transform(coalesce({c}, []), lambda y: lower(trim(y))), lambda y: y is not null and y <> '')"
+_POSSIBLE = {k: getattr(resolve, k) for k in ("LINKEDIN", "EMAIL", "PROVIDER_ID", "NAME", "NAME_SUBSET", "EMPLOYER_EACH", "EMPLOYER_CAP", "GEOGRAPHY", "OTHER_EMPLOYER")}
+
+
+def _er_sql(candidates: str) -> str:
+    """CTEs s (scored pairs) and q (decisions) of candidates (candidate_id, name, url, mail, ids, employer, prior, place)."""
+    w = _POSSIBLE
+    terms = f"""case when url_same then {w['LINKEDIN']} else 0 end + case when id_same then {w['PROVIDER_ID']} else 0 end + case when mail_same then {w['EMAIL']} else 0 end + case when name_same then {w['NAME']} when name_part then {w['NAME_SUBSET']} else 0 end
+    + case when shared > 0 then least({w['EMPLOYER_CAP']}, {w['EMPLOYER_EACH']} * shared) when employer is not null and len(employers) > 0 and not (url_same or id_same or mail_same or name_same) then {w['OTHER_EMPLOYER']} else 0 end
+    + case when coalesce(contains(p_place, place), false) then {w['GEOGRAPHY']} else 0 end"""
+    return f"""c as ({candidates}),
+al as (select distinct person_id, kind, v from (select coalesce(merged_into_id, person_id) as person_id, 'EMAIL' as kind, lower(primary_email) as v from person
+    union all select merged_into_id, 'LINKEDIN_URL', {_ADDRESS('primary_linkedin_url')} from person where merged_into_id is not null) where v <> ''),
+am as (select person_id, list(v) filter (kind = 'EMAIL') as mails, list(v) filter (kind = 'LINKEDIN_URL') as urls from al group by 1),
+em as (select coalesce(m.merged_into_id, e.person_id) as person_id, list(distinct lower(trim(o.canonical_name))) as employers from employment e join person m using (person_id) join organization o using (organization_id) where trim(o.canonical_name) <> '' group by 1),
+p as (select p.person_id, {_ADDRESS('primary_linkedin_url')} as p_url, lower(primary_email) as p_mail, {_NAME('canonical_name')} as p_name, lower(primary_location) as p_place, coalesce(mails, []) as mails, coalesce(urls, []) as urls, coalesce(employers, []) as employers
+    from person p left join am using (person_id) left join em using (person_id) where merged_into_id is null),
+said as (select candidate_id, unnest(list_concat(list_filter([url, mail, git], lambda y: y <> ''), ids)) as key from c),
+b as (select candidate_id, person_id from c join p on url = p_url union select candidate_id, person_id from c join p on c.name = p_name and c.name <> '' union select candidate_id, al.person_id from said join al on key = v where al.person_id in (select person_id from p)),
+f as (select candidate_id, person_id, employer, employers, p_place, place, coalesce(url = p_url, false) or coalesce(list_contains(urls, url), false) as url_same, false as id_same, coalesce(mail = p_mail and mail <> '', false) or coalesce(list_contains(mails, mail), false) as mail_same,
+    name = p_name and name <> '' as name_same, name <> '' and p_name <> '' and name <> p_name and (list_has_all(string_split(p_name, ' '), string_split(name, ' ')) or list_has_all(string_split(name, ' '), string_split(p_name, ' '))) as name_part,
+    len(list_intersect(list_distinct(list_filter(list_append(prior, employer), lambda y: y is not null)), employers)) as shared from b join c using (candidate_id) join p using (person_id)),
+s as (select candidate_id, person_id, round(least(1.0, greatest(0.0, cast({terms} as double))) + 1e-9, 4) as score from f),
+r as (select *, row_number() over (partition by candidate_id order by score desc, person_id) as rn, lead(score) over (partition by candidate_id order by score desc, person_id) as nxt, max(score) over (partition by candidate_id) as top from s),
+t as (select candidate_id, max(case when rn = 1 then person_id end) as pid, max(score) as best, coalesce(max(case when rn = 1 then nxt end), 0) as second, sum(case when score = top then 1 else 0 end) as ties, coalesce(list_sort(list(person_id) filter (score >= 0.15)), []) as rivals from r group by 1),
+q0 as (select *, case when best >= 0.9 and best - second >= 0.25 and ties = 1 then 'MATCH' when (ties >= 2 and best >= 0.15) or (best >= 0.6 and best - second < 0.25 and second >= 0.6) then 'AMBIGUOUS' when best >= 0.15 then 'POSSIBLE_MATCH' else 'NO_MATCH' end as decision from t),
+q as (select candidate_id, decision, case when decision in ('MATCH', 'POSSIBLE_MATCH') then pid end as person_id, best, case when decision in ('MATCH', 'POSSIBLE_MATCH') then list_filter(rivals, lambda y: y <> pid) else rivals end as competing from q0)"""
+
+
+_ER = _er_sql(f"select candidate_id, {_NAME('name')} as name, {_ADDRESS('linkedin_url')} as url, lower(email) as mail, lower(github_username) as git, []::varchar[] as ids, nullif(lower(trim(current_employer)), '') as employer, {_LOWERED('prior_employers')} as prior, lower(trim(split_part(geography, ',', 1))) as place from er_candidate")
+
+
+def er_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Live people, their aliases (every e-mail, and the addresses of people merged into them) and their employers."""
+    person = table(spark, d, "person")
+    ids = cut(resolve.live_ids(person))
+    every = person.join(ids, "person_id")
+    alias = lambda df, kind, v: df.select(F.col("live_id").alias("person_id"), F.lit(kind).alias("alias_type"), v.alias("alias_value"))
+    aliases = alias(every, "EMAIL", F.col("primary_email")).union(alias(every.filter("merged_into_id is not null"), "LINKEDIN_URL", text.normal_address(F.col("primary_linkedin_url"))))
+    jobs = table(spark, d, "employment").join(ids, "person_id").select(F.col("live_id").alias("person_id"), "organization_id")
+    return person.filter("merged_into_id is null"), aliases, resolve.employers(jobs, table(spark, d, "organization"))
 
 
 def _er_scored(spark: SparkSession, d: str) -> DataFrame:
-    c, p = _er_sides(spark, d)
-    pairs = resolve.block(c, p, [(F.col("c_url"), F.col("p_url")), (F.col("c_mail"), F.col("p_mail")), (F.col("c_name"), F.col("p_name"))], "candidate_id", "person_id")
-    joined = pairs.withColumnsRenamed({"left_id": "candidate_id", "right_id": "person_id"}).join(c, "candidate_id").join(p, "person_id")
-    score, reasons = resolve.scorecard([
-        ("linkedin", F.col("c_url") == F.col("p_url"), 0.55), ("email", F.col("c_mail") == F.col("p_mail"), 0.42), ("name", F.col("c_name") == F.col("p_name"), 0.20),
-        ("geography", F.lower(F.trim("geography")) == F.lower("primary_location"), 0.06),
-    ])
-    return joined.select("candidate_id", "person_id", score.alias("score"), reasons.alias("reasons"))
+    none = F.array().cast("array<string>")
+    c = table(spark, d, "er_candidate").withColumn("provider_ids", none).withColumn("education", none)
+    return resolve.scored_pairs(c, *er_tables(spark, d))
 
 
-@query(f"with {_ER} select * from b")
+@query(f"with {_ER} select candidate_id, person_id from s")
 def er_blocking_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """ER-01, JN-15, SET-01."""
+    """ER-01, JN-15, SET-01: pairs by address, alias, exact and normalised name."""
     return _er_scored(spark, d).select("candidate_id", "person_id")
 
 
 @query(f"with {_ER} select * from s")
 def er_scorecard(spark: SparkSession, d: str) -> DataFrame:
-    """ER-02."""
+    """ER-02, ER-12, ER-13, SET-02, SET-05: all terms of the scorecard."""
     return _er_scored(spark, d).drop("reasons")
 
 
-@query(f"""with {_ER}, r as (select *, row_number() over (partition by candidate_id order by score desc, person_id) as rn, lead(score) over (partition by candidate_id order by score desc, person_id) as nxt, max(score) over (partition by candidate_id) as top from s),
-t as (select candidate_id, max(case when rn = 1 then person_id end) as pid, max(score) as best, coalesce(max(case when rn = 1 then nxt end), 0) as second, sum(case when score = top then 1 else 0 end) as ties from r group by 1),
-q as (select *, case when best >= 0.9 and best - second >= 0.25 and ties = 1 then 'MATCH' when (ties >= 2 and best >= 0.15) or (best >= 0.6 and best - second < 0.25 and second >= 0.6) then 'AMBIGUOUS' when best >= 0.15 then 'POSSIBLE_MATCH' else 'NO_MATCH' end as decision from t)
-select candidate_id, decision, case when decision in ('MATCH', 'POSSIBLE_MATCH') then pid end as person_id, best from q""")
+@query(f"with {_ER} select candidate_id, decision, person_id, best, array_to_string(competing, ',') as competing from q")
 def er_decision(spark: SparkSession, d: str) -> DataFrame:
-    """ER-03, ER-04, WIN-12, SNK-14."""
-    return resolve.decide(_er_scored(spark, d), "candidate_id", "person_id", "score").drop("competing")
+    """ER-03, ER-04, WIN-12: the decision and the ids that compete with it."""
+    return resolve.decide(_er_scored(spark, d), "candidate_id", "person_id", "score").withColumn("competing", F.array_join("competing", ","))
+
+
+@query(f"with {_ER} select candidate_id, decision, person_id, best from q where decision <> 'NO_MATCH'")
+def er_audit(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-14: decisions kept for review."""
+    return resolve.audit(resolve.decide(_er_scored(spark, d), "candidate_id", "person_id", "score")).drop("competing")
+
+
+def subjects(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of unresolved monitored subjects, one per subject: its first observation speaks for it."""
+    o = table(spark, d, "observation").filter("mode = 'update' and person_id is null and trim(subject_hint) <> ''")
+    v = values.opened(F.col("raw_json"))
+    o = o.select(F.lower(F.trim("subject_hint")).alias("candidate_id"), "subject_hint", "ingested_at", "observation_id", F.when(F.col("content_type") == "profile_snapshot", values.profile(v)).alias("p"))
+    get = lambda f: F.try_variant_get("p", f"$.{f}", "string").alias(f)
+    row = F.struct(F.col("subject_hint").alias("name"), get("linkedin_url"), get("current_company"))
+    first = o.groupBy("candidate_id").agg(F.min_by(row, F.struct("ingested_at", "observation_id")).alias("r"))
+    none, no = F.array().cast("array<string>"), F.lit(None).cast("string")
+    return first.select(
+        "candidate_id", "r.name", "r.linkedin_url", no.alias("email"), no.alias("github_username"), none.alias("provider_ids"), F.col("r.current_company").alias("current_employer"), none.alias("prior_employers"),
+        no.alias("geography"), none.alias("education"),
+    )
+
+
+_SUBJECTS = f"""select lower(trim(subject_hint)) as candidate_id, {_NAME('subject_hint')} as name, {_ADDRESS("json_extract_string(pr, '$.linkedin_url')")} as url, null::varchar as mail, null::varchar as git, []::varchar[] as ids, nullif(lower(trim(json_extract_string(pr, '$.current_company'))), '') as employer, []::varchar[] as prior, null::varchar as place
+    from (select *, case when content_type = 'profile_snapshot' then {sqltext.profile('v')} end as pr from (select *, {sqltext.opened('raw_json')} as v from observation where mode = 'update' and person_id is null and trim(subject_hint) <> ''))
+    qualify row_number() over (partition by lower(trim(subject_hint)) order by ingested_at, observation_id) = 1"""
+
+
+def attachments(spark: SparkSession, d: str) -> DataFrame:
+    """(subject, decision, person_id, best, attach): each unresolved monitored subject once, also those that meet nobody."""
+    c = cut(subjects(spark, d))
+    decisions = resolve.decide(resolve.scored_pairs(c, *er_tables(spark, d)), "candidate_id", "person_id", "score")
+    all_ = c.select("candidate_id").join(decisions, "candidate_id", "left").withColumns({"decision": F.coalesce("decision", F.lit("NO_MATCH")), "competing": F.coalesce("competing", F.array().cast("array<string>"))})
+    return resolve.attached(all_, "person_id").select(F.col("candidate_id").alias("subject"), "decision", "person_id", "best", "attach")
+
+
+@query(f"""with {_er_sql(_SUBJECTS)} select candidate_id as subject, coalesce(decision, 'NO_MATCH') as decision, person_id, best,
+case when decision = 'AMBIGUOUS' then 'review' when person_id is not null and (decision = 'MATCH' or best >= 0.5 or len(competing) = 0) then 'person' else 'new' end as attach from c left join q using (candidate_id)""")
+def subject_attachment(spark: SparkSession, d: str) -> DataFrame:
+    """ER-05, ER-06, ER-07, ER-11: what becomes of each unresolved subject of the monitored stream; a name alone attaches
+    only without competitors, and the discovery stream, which has nothing but a name, attaches nobody."""
+    return attachments(spark, d)
 
 
 @query("""select coalesce(m.merged_into_id, e.person_id) as person_id, count(*) as jobs from employment e left join person m on m.person_id = e.person_id and m.merged_into_id is not null group by 1""")
