@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: An entity with more rows than this, or than this share of all rows, is split along time.
 HOT_ROWS, HOT_SHARE = 200_000, 1_000
-#: Time slices of a split entity.
-SLICES = 32
+#: Time slices of a split entity, at least and at most; between, one for each HOT_ROWS rows that there are.
+SLICES, MOST_SLICES = 32, 1_024
 
 VERSIONS, EVENTS = 0, 1
 _OPEN = (1 << 63) - 1
@@ -60,12 +60,15 @@ def as_known(events: DataFrame, versions: DataFrame, hot_rows: int = HOT_ROWS, s
     v = v.filter("entity is not null and attribute is not null and row_id is not null and start is not null and known is not null")
     v = v.withColumn("at", F.greatest("start", "known")).filter("until > at")
 
-    counts = e.groupBy("entity").count()
-    total = e.count()
+    # Entities hot in events, in versions or in both: all their rows count.
+    both = e.select("entity", "at").unionByName(v.select("entity", "at"))
+    counts = both.groupBy("entity").count()
+    total = both.count()
+    slices = max(slices, min(MOST_SLICES, total // max(1, hot_rows)))
     # At most HOT_SHARE entities can each hold more than 1/HOT_SHARE of the rows: that bounds the broadcast.
     hot = counts.filter(F.col("count") > max(hot_rows, total // HOT_SHARE)).select("entity")
     points = F.percentile_approx("at", F.array(*(F.lit(i / slices) for i in range(1, slices))), F.lit(1000))
-    cuts = e.join(F.broadcast(hot), "entity").groupBy("entity").agg(points.alias("cuts"))
+    cuts = both.join(F.broadcast(hot), "entity").groupBy("entity").agg(points.alias("cuts"))
     cuts = F.broadcast(cuts)
 
     slice_of = lambda c: F.coalesce(F.expr(f"size(filter(cuts, x -> x <= {c}))"), F.lit(0))

@@ -1,8 +1,9 @@
 """Deeply nested records as flat node tables with interval labels.
 
-Every object of a record's documents becomes a row. A depth-first traversal numbers it on entry (pre) and on exit
-(post); node A contains node B exactly if A.pre < B.pre and B.post < A.post within the same record and document, so
-each row leads to its parent and to all its ancestors without a path column.
+Every object of the types in CHILDREN becomes a row, as does each document's root. A depth-first traversal numbers it on
+entry (pre) and on exit (post); node A contains node B exactly if A.pre < B.pre and B.post < A.post within the same record
+and document, so each row leads to its parent and to all its ancestors without a path. linked() reads parents and the
+positions of ancestors from these intervals alone.
 """
 
 from __future__ import annotations
@@ -63,28 +64,43 @@ def _children(node: str, value: dict) -> tuple[str | None, list[tuple[int, dict]
     return name, [], fields
 
 
-def label(record_id: str, document: str, root: str, value: dict) -> list[tuple]:
-    """Rows of one document in pre-order; the traversal keeps its own stack, so depth is no limit."""
+def label(root: str, value: dict) -> list[list]:
+    """[node, pre, post, position, attributes] of one document in pre-order; the traversal keeps its own stack, so depth is
+    no limit. position is the place in the array that holds the object, -1 for the root."""
     rows: list[list] = []
     counter = 0
-    stack: list[tuple] = [(root, value, -1, 0, -1, (-1, -1, -1), None)]
+    stack: list[tuple] = [(root, value, -1, None)]
     while stack:
-        node, obj, parent, depth, position, at, leaving = stack.pop()
+        node, obj, position, leaving = stack.pop()
         if leaving is not None:
-            rows[leaving][4] = counter
+            rows[leaving][2] = counter
             counter += 1
             continue
         name, below, used = _children(node, obj)
-        own = {k: v for k, v in obj.items() if k not in used}
-        me = counter
-        rows.append([record_id, document, node, me, -1, parent, depth, position, *at, json.dumps(own, ensure_ascii=False)])
+        rows.append([node, counter, -1, position, json.dumps({k: v for k, v in obj.items() if k not in used}, ensure_ascii=False)])
         counter += 1
-        stack.append((node, obj, parent, depth, position, at, len(rows) - 1))
-        for i, child in reversed(below):
-            path = list(at)
-            path[_LEVEL[name]] = i
-            stack.append((name, child, me, depth + 1, i, tuple(path), None))
-    return [tuple(r) for r in rows]
+        stack.append((node, obj, position, len(rows) - 1))
+        stack += [(name, child, i, None) for i, child in reversed(below)]
+    return rows
+
+
+def linked(record_id: str, document: str, rows: list[list]) -> list[tuple]:
+    """NODE_SCHEMA rows of a document's labelled nodes in pre-order, linked by interval containment.
+
+    The nodes that contain a node are those whose intervals are still open where its own begins; the innermost is its parent,
+    and the jobs, roles and projects among them, and itself, give the positions.
+    """
+    out, around = [], []
+    for node, pre, post, position, attributes in rows:
+        while around and not (around[-1][1] < pre and post < around[-1][2]):
+            around.pop()
+        at = [-1, -1, -1]
+        for kind, _, _, place, _ in [*around, (node, pre, post, position, attributes)]:
+            if kind in _LEVEL:
+                at[_LEVEL[kind]] = place
+        out.append((record_id, document, node, pre, post, around[-1][1] if around else -1, len(around), position, *at, attributes))
+        around.append((node, pre, post, position, attributes))
+    return out
 
 
 def _label_rows(attributes: bool) -> Callable[[Iterator], Iterator]:
@@ -97,9 +113,9 @@ def _label_rows(attributes: bool) -> Callable[[Iterator], Iterator]:
             out: list[tuple] = []
             for rid, raw, before in zip(batch["record_id"], batch["raw"], batch["before"]):
                 if (record := read_object(raw)) is not None:
-                    out += label(rid, "raw", "profile", profile_of(record))
+                    out += linked(rid, "raw", label("profile", profile_of(record)))
                 if (record := read_object(before)) is not None:
-                    out += label(rid, "previous", "previous", record)
+                    out += linked(rid, "previous", label("previous", record))
             frame = pd.DataFrame(out, columns=names)
             yield frame if attributes else frame.assign(attributes=None)
 

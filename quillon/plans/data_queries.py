@@ -49,10 +49,20 @@ def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_profiles(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of profiles and earlier profiles."""
-    n = profile_nodes(spark, d, True).filter("node in ('profile', 'previous')")
+    n = profile_nodes(spark, d, True)
     fields = ["headline", "current_company", "current_title", "location"]
-    picked = [F.get_json_object("attributes", f"$.{f}").alias(f) for f in fields]
-    return n.select(F.col("record_id").alias("observation_id"), "node", "pre", "post", *picked)
+    both = nested.typed(n, "profile", fields).withColumn("node", F.lit("profile")).unionByName(nested.typed(n, "previous", fields).withColumn("node", F.lit("previous")))
+    return both.select(F.col("record_id").alias("observation_id"), "node", *fields)
+
+
+def p2_roles(spark: SparkSession, d: str) -> DataFrame:
+    """Roles with the job that contains each, the two tables joined by their intervals."""
+    n = cut(profile_nodes(spark, d, True))
+    roles, jobs = nested.typed(n, "role", ["title"]), nested.typed(n, "job", ["company"])
+    keys = ["record_id", "document"]
+    within = nested.contained(jobs, roles)
+    linked = within.join(roles.withColumnsRenamed({"pre": "descendant_pre", "position": "role_pos"}), [*keys, "descendant_pre"]).join(jobs.withColumnsRenamed({"pre": "ancestor_pre", "position": "job_pos"}).select(*keys, "ancestor_pre", "job_pos", "company"), [*keys, "ancestor_pre"])
+    return linked.select(F.col("record_id").alias("observation_id"), "job_pos", "role_pos", "company", "title")
 
 
 def roster(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +98,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return asof.as_known(events, versions).select(F.col("event_id").alias("observation_id"), F.col("version_id").alias("fact_id"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_kept, p1_admitted, p2_found, p2_nodes, p2_profiles, p5_found, p6_found)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_kept, p1_admitted, p2_found, p2_nodes, p2_profiles, p2_roles, p5_found, p6_found)}
 
 _P1_KEYED = """
 keyed as (select observation_id, source_id, batch_id, observed_at, ingested_at,
@@ -133,6 +143,13 @@ union all select observation_id, 'previous', -1, -1, -1 from prev
 union all select observation_id, 'job', cast(job_pos as int), -1, -1 from j
 union all select observation_id, 'role', cast(job_pos as int), cast(role_pos as int), -1 from r
 union all select observation_id, 'project', cast(job_pos as int), cast(role_pos as int), cast(project_pos as int) from q""",
+    "p2_profiles": f"""with {_DOCS}, every as (select observation_id, 'profile' as node, p from prof union all select observation_id, 'previous', b from opened where json_type(b) = 'OBJECT')
+select observation_id, node, {', '.join(f"json_extract_string(p, '$.{f}') as {f}" for f in ('headline', 'current_company', 'current_title', 'location'))} from every""",
+    "p2_roles": f"""with {_DOCS},
+arr as (select observation_id, case when json_type(p, '$.experience') in ('ARRAY', 'OBJECT') then json_extract(p, '$.experience') else json_extract(p, '$.positions') end as v from prof),
+j as (select observation_id, i as job_pos, e from (select observation_id, {_EACH.format('v')} from arr) where json_type(e) = 'OBJECT'),
+r as (select observation_id, job_pos, json_extract_string(j, '$.company') as company, i as role_pos, e from (select observation_id, job_pos, e as j, {_EACH.format("json_extract(e, '$.roles')")} from (select observation_id, job_pos, e from j)) where json_type(e) = 'OBJECT')
+select observation_id, cast(job_pos as int) as job_pos, cast(role_pos as int) as role_pos, company, json_extract_string(e, '$.title') as title from r""",
     "p5_found": f"""with {_DOCS},
 r as (select o.person_id, o.observed_at, o.ingested_at, o.observation_id, json_extract_string(root.d, '$.observed_on') as day,
     {_CANON.format('current_title')} as title, {_CANON.format('current_company')} as company, {_CANON.format('headline')} as headline

@@ -203,7 +203,7 @@ def test_any_json_is_labelled(value):
     if record is None:
         assert not isinstance(value, dict) and not (isinstance(value, str) and value.startswith("{"))
     else:
-        labelled = nested.label("r", "raw", "profile", nested.profile_of(record))
+        labelled = nested.linked("r", "raw", nested.label("profile", nested.profile_of(record)))
         assert sorted(x for r in labelled for x in (r[3], r[4])) == list(range(2 * len(labelled)))
 
 

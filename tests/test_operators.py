@@ -112,9 +112,12 @@ def test_text_findings(spark):
 
 
 def test_first_match_and_unknown_operands(spark):
-    decision, reasons = rules.first_match([{"when": {"p_gte": 60, "stale": True}, "then": "A", "reason_codes": ["X"]}, {"when": {"p_gte": 50}, "then": "B"}])
+    decision, reasons = rules.first_match([{"when": {"p_gte": 60, "stale": True}, "then": "A", "reason_codes": ["X"]}, {"when": {"p_gte": 50}, "then": "B"}], ["p", "stale"])
     df = spark.createDataFrame([(70.0, True), (70.0, None), (None, True)], "p double, stale boolean")
     assert [tuple(r) for r in df.select(decision, reasons).collect()] == [("A", ["X"]), ("B", []), ("UNKNOWN", [])]
+    # An unknown number is below every threshold, a rule that never holds and one on a missing column don't match.
+    for when, want in (({"p_lt": 70}, [False, False, True]), ({"always": False}, [False] * 3), ({"other_gte": 1}, [False] * 3), ({"stale": False}, [False, True, False])):
+        assert [r[0] for r in df.select(rules.condition(when, df.columns)).collect()] == want
 
 
 def test_collapse_keeps_by_the_last_kept(spark):

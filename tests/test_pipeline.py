@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.operators import guards
 from quillon.plans import pipeline
 
 DATA = "/root/testdata/sf0.01"
@@ -53,9 +54,14 @@ def test_texts_give_events(spark, tmp_path):
 
 
 def test_guards():
+    for name in ("gender_score", "ideology", "union_member", "genetic_risk"):
+        with pytest.raises(ValueError):
+            guards.guard_features([name])
+    guards.guard_features(["average_deal_size", "team_size"])
+    assert guards.redacted({"api_key": "x", "Email": "a@b.example", "n": 1, "linkedin_url": ""}) == {"api_key": "***redacted***", "Email": "***redacted***", "n": 1, "linkedin_url": ""}
+    assert guards.guard_prose("Ada: 12.0") == "Ada: 12.0"
     with pytest.raises(ValueError):
-        pipeline.guard_features(["gender_score"])
-    assert pipeline.redacted({"api_key": "x", "n": 1}) == {"api_key": "[redacted]", "n": 1}
+        guards.guard_prose("An Exciting week")
     stored = pipeline.register_model({}, {"name": "m", "version": 1, "w": 1})
     assert pipeline.register_model(stored, {"version": 1, "w": 1, "name": "m"}) == stored
     with pytest.raises(ValueError):
@@ -71,7 +77,7 @@ def test_failing_stage_is_logged(spark):
 
 def test_banned_prose(spark):
     with pytest.raises(ValueError):
-        pipeline.render(spark.createDataFrame([("top", "p", "guaranteed")], "section string, person_id string, detail string"))
+        pipeline.render(spark.createDataFrame([("top", "p", "a compelling move")], "section string, person_id string, detail string"))
 
 
 def test_sampled_edges(spark):
