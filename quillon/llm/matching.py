@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,13 +19,17 @@ from quillon.session import cut, spread
 
 #: The hashed table of token vectors.
 BUCKETS, DIMENSIONS = 1 << 15, 64
-#: Walk length in tokens, walks from each record, negatives per pair, passes and shards of the training.
-WALK, WALKS, NEGATIVES, PASSES, SHARDS = 5, 4, 4, 2, 24
+#: Walk length in tokens, walks from each record, negatives per pair and passes of the training.
+WALK, WALKS, NEGATIVES, PASSES = 5, 4, 4, 2
+#: Shards of the training: one for each SHARD_WALKS walks, SHARDS at least; their tables are averaged MEANS at a time.
+SHARD_WALKS, SHARDS, MEANS = 100_000, 24, 64
 WINDOW, RATE = 3, 0.05
 #: Incident records of a token that are mixed in one task; hotter tokens are split at random.
 MIX = 2_000
-#: Hyperplane tables of a view that tolerates differences.
-TABLES = 64
+#: Hyperplane tables of a view that tolerates differences, and hyperplanes of a table at most.
+TABLES, MOST_BITS = 24, 32
+#: Right records that share a value and need no hyperplanes to be told apart.
+FEW = 8
 #: Pairs on which the confidence is fitted, at most.
 CALIBRATION_ROWS = 50_000
 
@@ -96,17 +101,20 @@ def _train(shard_rows: Iterator, start, rate: float, seed: int):
     return vectors, contexts, seen
 
 
-def fit(walk_rows: DataFrame, shards: int = SHARDS, passes: int = PASSES, seed: int = 11):
+def fit(walk_rows: DataFrame, passes: int = PASSES, seed: int = 11):
     """The token table trained on all walks: shards train side by side and their tables are averaged after each pass.
 
-    The table, BUCKETS x DIMENSIONS floats, is all that the driver ever holds.
+    The table, BUCKETS x DIMENSIONS floats, is all that the driver ever holds; shards grow in number with the walks and are
+    averaged on executors, MEANS parts in a task.
     """
     import numpy as np
 
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 1 / DIMENSIONS**0.5, (BUCKETS, DIMENSIONS)).astype(np.float32)
     contexts = np.zeros((BUCKETS, DIMENSIONS), np.float32)
-    data = cut(walk_rows.repartition(shards))
+    data = cut(walk_rows)
+    shards = max(SHARDS, -(-data.count() // SHARD_WALKS))
+    data = cut(data.repartition(shards, F.xxhash64("walk")))
     chunk = BUCKETS // 64
     for p in range(passes):
         # Half precision is enough to start from and to average, and halves what passes through the driver.
@@ -120,17 +128,26 @@ def fit(walk_rows: DataFrame, shards: int = SHARDS, passes: int = PASSES, seed:
             v, c, seen = _train(rows, start.value, rate, seed + p)
             if seen:
                 both = np.concatenate([v, c], axis=1).astype(np.float16)
+                group = int(TaskContext.get().partitionId()) // MEANS
                 for i in range(64):
-                    yield pd.DataFrame({"chunk": [i], "seen": [float(seen)], "table": [both[i * chunk : (i + 1) * chunk].tobytes()]})
+                    yield pd.DataFrame({"chunk": [i], "part": [group], "seen": [float(seen)], "table": [both[i * chunk : (i + 1) * chunk].tobytes()]})
 
         def mean(key, frame):
             import pandas as pd
 
             tables = np.stack([np.frombuffer(t, np.float16) for t in frame["table"]])
-            return pd.DataFrame({"chunk": [key[0]], "table": [np.average(tables.astype(np.float32), axis=0, weights=frame["seen"]).astype(np.float16).tobytes()]})
-
-        moved = data.mapInPandas(run, "chunk int, seen double, table binary")
-        parts = moved.groupBy("chunk").applyInPandas(mean, "chunk int, table binary").collect()
+            whole = np.average(tables.astype(np.float32), axis=0, weights=frame["seen"]).astype(np.float16).tobytes()
+            return pd.DataFrame({"chunk": [key[0]], "part": [key[1] // MEANS], "seen": [frame["seen"].sum()], "table": [whole]})
+
+        kind = "chunk int, part int, seen double, table binary"
+        moved = data.mapInPandas(run, kind)
+        groups = -(-shards // MEANS)
+        while True:
+            moved = moved.groupBy("chunk", "part").applyInPandas(mean, kind)
+            if groups == 1:
+                break
+            groups = -(-groups // MEANS)
+        parts = moved.select("chunk", "table").collect()
         for r in parts:
             both = np.frombuffer(r["table"], np.float16).reshape(chunk, 2 * DIMENSIONS)
             vectors[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = both[:, :DIMENSIONS]
@@ -202,38 +219,66 @@ def hashed(views: DataFrame, table, bits: dict[str, int], tables: dict[str, int]
     return spread(views, "record").mapInPandas(run, "record string, view string, vector array<float>, keys array<bigint>")
 
 
-def blocked(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct (left_record, right_record) that share a key of a table of a view.
+def blocked(left: DataFrame, right: DataFrame, met_in: DataFrame, bears: DataFrame) -> DataFrame:
+    """Pairs (left_record, right_record) that share a value and there a key of a table of a view; pairs may repeat.
 
-    Keys of one record and view are distinct rows (view, table, key); a bucket that is hot on the right is split by the
-    optimizer's skew join, and pairs met several times are folded before they shuffle.
+    left and right: record, view, keys, of MOST_BITS sides each. met_in: left_record, value; bears: right_record, value. Of
+    a key only so many sides count as tell the right records of the value apart, none for up to FEW of them: a rare value
+    brings all its records together, and one that a third of all records have is cut as finely as the whole table would be.
+    A bucket that is hot all the same is split by the optimizer's skew join.
     """
-    rows = lambda df, name: df.select(F.col("record").alias(name), "view", F.posexplode("keys").alias("number", "key"))
-    pairs = rows(left, "left_record").join(rows(right, "right_record"), ["view", "number", "key"])
-    return pairs.select("left_record", "right_record").distinct()
+    sizes = bears.groupBy("value").agg(F.count("*").alias("n"))
+    sides_ = F.when(F.col("n") <= FEW, 0).otherwise(F.least(F.lit(MOST_BITS), F.ceil(F.log2("n")).cast("int"))).cast("int")
+    bits = cut(sizes.select("value", sides_.alias("bits")))
+    many = bits.filter("bits > 0")
 
+    def keyed(values: DataFrame, side_: DataFrame, name: str) -> DataFrame:
+        rows = values.join(many, "value").join(side_.select(F.col("record").alias(name), "view", "keys"), name)
+        mask = F.expr("shiftleft(1L, bits) - 1")
+        return rows.select(name, "value", "bits", "view", F.posexplode("keys").alias("number", "key")).withColumn("key", F.xxhash64("value", "view", "number", F.col("key").bitwiseAND(mask))).select(name, "key")
+
+    near = keyed(met_in, left, "left_record").join(keyed(bears, right, "right_record"), "key").select("left_record", "right_record")
+    few = bits.filter("bits = 0").select("value")
+    all_ = met_in.join(few, "value").join(bears, "value").select("left_record", "right_record")
+    return near.union(all_)
 
-def calibrated(pairs: DataFrame, score: str, label: str) -> DataFrame:
-    """``pairs`` with a confidence: the share of true labels at such a score, by a logistic curve.
 
-    Fitted on at most CALIBRATION_ROWS labelled pairs (those of least hash of all their columns), by Newton steps on
-    the driver. Without both kinds of label the confidence is the label itself.
+def curve(pairs: DataFrame, score: str, label: str) -> tuple[float, float, int, float]:
+    """(intercept, slope, rows, error) of a logistic curve of truth over a score.
+
+    Fitted by Newton steps on the driver on at most CALIBRATION_ROWS labelled pairs, those of least hash of all their
+    columns; every second one is held out, and error is the mean distance, over tenths of the held-out scores, of their
+    mean confidence and their share of true labels. With one kind of label only, the curve is its share.
     """
     import numpy as np
 
     sample = pairs.filter(f"{score} is not null and {label} is not null").select(F.col(score).cast("double"), F.col(label).cast("double"), F.xxhash64(*pairs.columns).alias("h"))
     rows = np.array([(r[0], r[1]) for r in sample.orderBy("h").limit(CALIBRATION_ROWS).collect()] or [(0.0, 0.0)])
-    x, y = np.stack([np.ones(len(rows)), rows[:, 0]], 1), rows[:, 1]
+    own, held = rows[::2], rows[1::2] if len(rows) > 1 else rows
+    x, y = np.stack([np.ones(len(own)), own[:, 0]], 1), own[:, 1]
+    beta = np.zeros(2)
     if 0 < y.mean() < 1:
-        beta = np.zeros(2)
         for _ in range(50):
             p = 1 / (1 + np.exp(-x @ beta))
             h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
             beta += np.linalg.solve(h, x.T @ (y - p) - 1e-3 * beta)
-        curve = 1 / (1 + F.exp(-(F.lit(float(beta[0])) + F.lit(float(beta[1])) * F.col(score))))
     else:
-        curve = F.col(label).cast("double")
-    return pairs.withColumn("confidence", F.round(curve, 4))
+        share = (y.sum() + 1) / (len(y) + 2)
+        beta[0] = np.log(share / (1 - share))
+    said = 1 / (1 + np.exp(-(beta[0] + beta[1] * held[:, 0])))
+    parts = [np.abs(said[i].mean() - held[i, 1].mean()) * len(i) for i in np.array_split(np.argsort(held[:, 0], kind="stable"), 10) if len(i)]
+    return float(beta[0]), float(beta[1]), len(rows), float(sum(parts) / len(held))
+
+
+def confident(pairs: DataFrame, score: str, intercept: float, slope: float) -> DataFrame:
+    """``pairs`` with the confidence that a logistic curve reads from the score, null where the score is null."""
+    return pairs.withColumn("confidence", F.round(1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * F.col(score)))), 4))
+
+
+def calibrated(pairs: DataFrame, score: str, label: str) -> DataFrame:
+    """``pairs`` with a confidence: the share of true labels at such a score, by curve(). Null labels teach nothing."""
+    intercept, slope, _, _ = curve(pairs, score, label)
+    return confident(pairs, score, intercept, slope)
 
 
 class Space:
@@ -264,11 +309,6 @@ class Space:
         return hashed(out, self.table, dict.fromkeys(views, bits), dict.fromkeys(views, tables))
 
 
-def bits_for(records: int) -> int:
-    """Hyperplanes of a table so that a bucket holds about two of ``records`` unrelated records."""
-    return max(8, records.bit_length() - 1)
-
-
 def both_sides(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of two sides in one table, their records marked L and R."""
     mark = lambda df, m: df.withColumn("record", F.concat(F.lit(m), "record"))

@@ -2,7 +2,7 @@
 
 Names become sets of padded q-grams of their words; MinHash bands find candidates, the band layout chosen from the
 collision curve for a wanted recall; Monge-Elkan similarity with word-level rules for initials, nicknames and typing
-errors verifies them; star clustering gives every spelling to the most similar center.
+errors verifies them; star clustering makes the given names centers and gives every spelling to the most similar one.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.spelling import looks, plain, spaced, word_distance
@@ -176,71 +176,79 @@ def banded(df: DataFrame, name: str, bands: int, rows: int = BAND_ROWS) -> DataF
 
 
 def candidates(left: DataFrame, right: DataFrame, least: float = LEAST_SIMILARITY, rows: int = BAND_ROWS) -> DataFrame:
-    """(name, centers): every name of ``left`` with the names of ``right`` that share a band.
+    """(name, center): every name of ``left`` with each name of ``right`` that shares a band; pairs may repeat.
 
-    Both have distinct values in ``name``. Bands join by key; the names met are gathered per left name, partly before
-    the shuffle.
+    Both have distinct values in ``name``. Bands join by key.
     """
     n = bands_for(least, rows=rows)
     keyed = lambda df: banded(df, "name", n, rows).select("name", F.posexplode("band_keys").alias("band", "key"))
     centers = broadcast_if_small(cut(keyed(right).withColumnRenamed("name", "center")))
-    return keyed(left).join(centers, ["band", "key"]).groupBy("name").agg(F.collect_set("center").alias("centers"))
+    return keyed(left).join(centers, ["band", "key"]).select("name", "center")
 
 
 def verified(pairs: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """(name, center, similarity) of candidates at or above ``accept``."""
+    """(name, center, similarity) of candidate pairs at or above ``accept``, each once.
+
+    One exchange spreads the pairs themselves evenly over all tasks, whatever name most of them have in common, and folds
+    those that repeat.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            out = [(n, c, s) for n, cs in zip(batch["name"], batch["centers"]) for c in cs if (s := similarity(n, c)) >= accept]
+            out = [(n, c, s) for n, c in zip(batch["name"], batch["center"]) if (s := similarity(n, c)) >= accept]
             yield pd.DataFrame(out, columns=["name", "center", "similarity"])
 
-    return spread(pairs, "name").mapInPandas(run, "name string, center string, similarity double")
-
-
-def stars(links: DataFrame) -> DataFrame:
-    """(name, center, similarity): each name goes to its most similar center; to none if two are equally similar."""
-    w = Window.partitionBy("name")
-    best = links.withColumn("top", F.max("similarity").over(w)).filter("similarity >= top - 1e-9")
-    return best.groupBy("name").agg(F.count("*").alias("n"), F.first("center").alias("center"), F.first("similarity").alias("similarity")).filter("n = 1").drop("n")
+    even = spread(pairs.withColumn("__h", F.xxhash64("name", "center")), "__h")
+    return even.dropDuplicates(["__h", "name", "center"]).select("name", "center").mapInPandas(run, "name string, center string, similarity double")
 
 
 def link(spellings: DataFrame, centers: DataFrame, accept: float = ACCEPT, least: float = LEAST_SIMILARITY, rows: int = BAND_ROWS) -> DataFrame:
     """(name, center, similarity) of distinct spellings that stand for a center; exact centers are their own.
 
     spellings and centers have a column ``name``; nulls, blanks and names without letters or digits link to nothing;
-    repeated names count once. A spelling as similar to two centers stays unlinked. For many centers more ``rows`` to a
-    band and a higher ``least`` similarity keep chance meetings rare.
+    repeated names count once. Star clustering with the given centers decides; a spelling as similar to two centers stays
+    unlinked. More ``rows`` to a band keep chance meetings rare where there are many centers.
     """
     left = spellings.select("name").filter("name is not null").distinct()
     right = centers.select("name").filter("name is not null").distinct()
-    return stars(verified(candidates(left, right, least, rows), accept))
-
-
-def star_clusters(edges: DataFrame, vertices: DataFrame, rounds: int = 20) -> DataFrame:
-    """(name, center) of all vertices by star clustering of a similarity graph without given centers.
-
-    edges (a, b, similarity) once per pair; vertices (name, weight). In each round a free vertex that outranks all its
-    free neighbours, by degree, weight, then least name, becomes a center and takes its free neighbours, each going to
-    its most similar new center. Rounds end when none is free; isolated vertices are their own centers.
+    near = cut(verified(candidates(left, right, least, rows), accept))
+    edges = near.filter("name <> center").select(F.col("name").alias("a"), F.col("center").alias("b"), "similarity")
+    known = right.withColumn("given", F.lit(True))
+    met = near.select("name").union(near.select("center")).distinct().join(known, "name", "left").select("name", F.coalesce("given", F.lit(False)).alias("given"), F.lit(0).alias("weight"))
+    clusters = star_clusters(edges, met, given=True)
+    ends = clusters.join(known.select(F.col("name").alias("center")), "center", "left_semi").join(left, "name", "left_semi")
+    scored = near.select("name", "center", "similarity")
+    return ends.join(scored, ["name", "center"]).select("name", "center", "similarity")
+
+
+def star_clusters(edges: DataFrame, vertices: DataFrame, given: bool = False) -> DataFrame:
+    """(name, center) of all vertices by star clustering of a similarity graph.
+
+    edges (a, b, similarity) once per pair; vertices (name, weight), and with ``given`` a boolean ``given``: those are
+    centers whatever their neighbours, and no other vertex becomes one while a given one is near it. In each round a free
+    vertex that outranks all its free neighbours, by degree, weight, hash, then name, becomes a center and takes its free
+    neighbours, each going to its most similar new center. One as similar to two is its own center, as are isolated
+    vertices. In every round the highest free vertex becomes a center, so rounds end when none is free.
     """
     both = edges.select("a", "b", "similarity").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).filter("a <> b")
-    both = cut(both.distinct())
+    both = cut(both.groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
     degree = both.groupBy("a").agg(F.count("*").alias("degree"))
-    free = cut(vertices.join(degree, F.col("name") == F.col("a"), "left").select("name", F.struct(F.coalesce("degree", F.lit(0)).alias("d"), F.col("weight").alias("w"), F.xxhash64("name").alias("h"), F.col("name").alias("n")).alias("rank")))
+    first = F.coalesce("given", F.lit(False)) if given else F.lit(False)
+    rank = F.struct(first.alias("g"), F.coalesce("degree", F.lit(0)).alias("d"), F.col("weight").alias("w"), F.xxhash64("name").alias("h"), F.col("name").alias("n")).alias("rank")
+    free = cut(vertices.join(degree, F.col("name") == F.col("a"), "left").select("name", rank))
     done = None
-    for _ in range(rounds):
+    while not free.isEmpty():
         ranked = both.join(free.select(F.col("name").alias("a"), F.col("rank").alias("mine")), "a").join(free.select(F.col("name").alias("b"), F.col("rank").alias("theirs")), "b")
-        beaten = ranked.filter("theirs > mine").select(F.col("a").alias("name")).distinct()
+        beaten = ranked.filter("theirs > mine and not mine.g").select(F.col("a").alias("name")).distinct()
         centers = cut(free.join(beaten, "name", "left_anti").select("name"))
         satellites = both.join(centers.withColumnRenamed("name", "a"), "a").join(free.select(F.col("name").alias("b")), "b")
         satellites = satellites.join(centers.withColumnRenamed("name", "b"), "b", "left_anti")
-        taken = satellites.groupBy("b").agg(F.max(F.struct("similarity", "a")).alias("best")).select(F.col("b").alias("name"), F.col("best.a").alias("center"))
+        top = satellites.groupBy("b").agg(F.max("similarity").alias("top"))
+        best = satellites.join(top, "b").filter("similarity >= top - 1e-9").groupBy("b").agg(F.count("*").alias("n"), F.min("a").alias("center"))
+        taken = best.select(F.col("b").alias("name"), F.when(F.col("n") == 1, F.col("center")).otherwise(F.col("b")).alias("center"))
         now = cut(taken.union(centers.select("name", F.col("name").alias("center"))))
         done = now if done is None else done.union(now)
         free = cut(free.join(now, "name", "left_anti"))
-        if free.isEmpty():
-            return done
-    return done.union(free.select("name", F.col("name").alias("center")))
+    return done if done is not None else vertices.select("name", F.col("name").alias("center"))

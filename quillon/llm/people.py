@@ -10,15 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import canonical
-from quillon.llm.matching import TABLES, Space, View, bits_for, blocked, both_sides, calibrated, cosine, side
+from quillon.llm.matching import MOST_BITS, TABLES, Space, View, blocked, both_sides, confident, cosine, curve, side
 from quillon.llm.names import grams, parts, verified
 from quillon.operators.resolve import live_ids
 from quillon.session import cut, spread, table
 
 SIDE = "record string, attribute string, value string, tokens array<string>"
 NAME_VIEWS = {"family": View(("family",), each=True), "name": View(("name",))}
-RECORD_VIEW = {"record": View(("name", "employer", "place", "url", "email"))}
+#: What a pair's vectors are made of: all but the addresses, which are kept apart as the truth that confidence is fitted on.
+RECORD_VIEW = {"record": View(("name", "employer", "place"))}
 ADDRESSES = ("url", "email")
+#: Candidates' names whose pairs the confidence is fitted on, at most.
+LABELLED_NAMES = 1_000
 #: Agreeing employers that, with the place, stand for an address.
 ENOUGH = 2
 
@@ -122,46 +125,83 @@ def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return cut(attributes(left, companies, places)), cut(attributes(right, companies, places))
 
 
-def name_pairs(space: Space, left: DataFrame, right: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """(left_name, right_name, name_similarity) of distinct names that agree.
+def evidence(sides_: DataFrame, tok: DataFrame) -> DataFrame:
+    """(record, name, attribute, value, key): what may speak for a person beside the name, key being a hash of it."""
+    own = tok.filter(F.col("attribute").isin(*ADDRESSES, "employer")).select("record", "attribute", "value").distinct()
+    return own.join(sides_.select("record", "name").filter("name <> ''"), "record").withColumn("key", F.xxhash64("attribute", "value"))
 
-    Candidates meet in a bucket of a name's vectors, or belong to records with an address in common. Names and not
-    records are blocked, so a name that a third of all records bear is one row here.
+
+def named(space: Space, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(record, view, vector, keys) of the distinct names of both sides, marked L and R, each its own record."""
+    return cut(space.vectors(both_sides(name_tokens(left), name_tokens(right)), NAME_VIEWS, MOST_BITS, TABLES))
+
+
+def met_names(made: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """(left_name, right_name) that meet, repeated ones too: names of records that share a value meet where their vectors fall
+    on the same side of a table's hyperplanes. Names and not records are blocked, so a name that a third of all records bear
+    is one row."""
+    of = lambda e, name: e.select(F.col("name").alias(name), F.col("key").alias("value")).distinct()
+    left = side(made, "L").join(a.select(F.col("name").alias("record")).distinct(), "record", "left_semi")
+    return blocked(left, side(made, "R"), cut(of(a, "left_record")), cut(of(b, "right_record"))).toDF("left_name", "right_name")
+
+
+def _of(e: DataFrame, side_: str) -> DataFrame:
+    return e.select(F.col("record").alias(f"{side_}_record"), F.col("name").alias(f"{side_}_name"), "attribute", "key")
+
+
+def _each(e: DataFrame, tok: DataFrame, side_: str) -> DataFrame:
+    """(record, addresses, places) of a side, as arrays of a record's few values."""
+    of = lambda *kinds: F.collect_set(F.when(F.col("attribute").isin(*kinds), F.col("value")))
+    by = tok.groupBy("record").agg(of(*ADDRESSES).alias(f"{side_}_addresses"), of("place").alias(f"{side_}_places"))
+    return e.select("record").distinct().join(by, "record").withColumnRenamed("record", f"{side_}_record")
+
+
+def labelled(made: DataFrame, a: DataFrame, b: DataFrame, each: tuple[DataFrame, DataFrame], vectors: DataFrame) -> DataFrame:
+    """(left_record, right_record, cosine, truth) on which confidence is fitted: pairs that share an employer and whose names
+    meet, of LABELLED_NAMES names by least hash, where both sides give addresses; truth is that they share one.
+
+    Neither the vectors nor what makes the pairs meet knows the addresses.
     """
-    n = right.select("name").distinct().count()
-    made = cut(space.vectors(both_sides(name_tokens(left), name_tokens(right)), NAME_VIEWS, bits_for(n), TABLES))
-    met = blocked(side(made, "L"), side(made, "R")).select(F.col("left_record").alias("left_name"), F.col("right_record").alias("right_name"))
-    of = lambda people, tok, name: tok.filter(F.col("attribute").isin(*ADDRESSES)).join(people.select("record", "name"), "record").select("attribute", "value", F.col("name").alias(name)).distinct()
-    shared = of(left, a, "left_name").join(of(right, b, "right_name"), ["attribute", "value"]).select("left_name", "right_name")
-    gathered = met.union(shared).groupBy(F.col("left_name").alias("name")).agg(F.collect_set("right_name").alias("centers"))
-    return verified(gathered).select(F.col("name").alias("left_name"), F.col("center").alias("right_name"), F.col("similarity").alias("name_similarity"))
+    few = cut(a.select("name").distinct().orderBy(F.xxhash64("name"), "name").limit(LABELLED_NAMES))
+    work = lambda e: e.filter("attribute = 'employer'")
+    mine = cut(work(a).join(few, "name", "left_semi"))
+    met = cut(met_names(made, mine, work(b)).distinct())
+    pairs = _of(mine, "left").join(met, "left_name").join(_of(work(b), "right"), ["right_name", "attribute", "key"]).select("left_record", "right_record").distinct()
+    known = pairs.join(each[0], "left_record").join(each[1], "right_record").filter("size(left_addresses) > 0 and size(right_addresses) > 0")
+    known = known.select("left_record", "right_record", F.arrays_overlap("left_addresses", "right_addresses").alias("truth"))
+    return cosine(cut(known), side(vectors, "L"), side(vectors, "R"), "record")
 
 
-def matches(spark: SparkSession, d: str) -> DataFrame:
+def matches(spark: SparkSession, d: str, confidence: bool = True) -> DataFrame:
     """(candidate_id, person_id, cosine, confidence, name_similarity, addresses, employers, places, qualified).
 
-    Pairs whose names agree and that share an address or employer; a name alone never counts. Records meet on the
-    name and the shared value together, so neither a frequent name nor a frequent employer makes all pairs.
+    Pairs whose names agree and that share an address or employer; a name alone never counts. Records meet on the name and
+    the shared value together, so neither a frequent name nor a frequent employer makes all pairs. Confidence is read from
+    the cosine of name, employers and place, see labelled(); without ``confidence`` its curve isn't fitted and it is null.
     """
     left, right = sides(spark, d)
     a, b = cut(tokens(left)), cut(tokens(right))
     space = Space(a, b)
-    agreed = cut(name_pairs(space, left, right, a, b))
-    evidence = lambda people, tok, record, name: tok.filter(F.col("attribute").isin("url", "email", "employer")).join(people.select("record", "name"), "record").select(F.col("record").alias(record), F.col("name").alias(name), "attribute", "value").distinct()
-    met = evidence(left, a, "left_record", "left_name").join(agreed, "left_name").join(evidence(right, b, "right_record", "right_name"), ["right_name", "attribute", "value"])
+    ea, eb = cut(evidence(left, a)), cut(evidence(right, b))
+    made = named(space, left, right)
+    agreed = cut(verified(met_names(made, ea, eb).toDF("name", "center")).toDF("left_name", "right_name", "name_similarity"))
+    met = _of(ea, "left").join(agreed, "left_name").join(_of(eb, "right"), ["right_name", "attribute", "key"])
     count = lambda *kinds: F.sum(F.col("attribute").isin(*kinds).cast("int"))
     pairs = met.groupBy("left_record", "right_record").agg(F.max("name_similarity").alias("name_similarity"), count(*ADDRESSES).alias("addresses"), count("employer").alias("employers"))
-    place = lambda tok, record: tok.filter("attribute = 'place'").select(F.col("record").alias(record), F.col("value").alias("place")).distinct()
-    there = place(a, "left_record").join(pairs.select("left_record", "right_record"), "left_record").join(place(b, "right_record"), ["right_record", "place"]).groupBy("left_record", "right_record").agg(F.count("*").cast("int").alias("places"))
-    pairs = pairs.join(there, ["left_record", "right_record"], "left").withColumn("places", F.coalesce("places", F.lit(0)))
+    each = _each(ea, a, "left"), _each(eb, b, "right")
+    pairs = pairs.join(each[0], "left_record").join(each[1], "right_record").withColumn("places", F.size(F.array_intersect("left_places", "right_places")))
     qualified = (F.col("addresses") > 0) | ((F.col("employers") >= ENOUGH) & (F.col("places") > 0))
-    vectors = space.vectors(both_sides(a, b), RECORD_VIEW)
-    scored = cut(cosine(cut(pairs.withColumn("qualified", qualified)), side(vectors, "L"), side(vectors, "R"), "record"))
-    return calibrated(scored, "cosine", "qualified").withColumnsRenamed({"left_record": "candidate_id", "right_record": "person_id"})
+    pairs = cut(pairs.withColumn("qualified", qualified).drop("left_places", "right_places", "left_addresses", "right_addresses"))
+    vectors = cut(space.vectors(both_sides(a, b), RECORD_VIEW))
+    scored = cosine(pairs, side(vectors, "L"), side(vectors, "R"), "record")
+    if not confidence:
+        return scored.withColumn("confidence", F.lit(None).cast("double")).withColumnsRenamed({"left_record": "candidate_id", "right_record": "person_id"})
+    intercept, slope, _, _ = curve(labelled(made, ea, eb, each, vectors), "cosine", "truth")
+    return confident(scored, "cosine", intercept, slope).withColumnsRenamed({"left_record": "candidate_id", "right_record": "person_id"})
 
 
 def best(found: DataFrame) -> DataFrame:
-    """Of a candidate's qualified people the one who agrees in most, then by name, cosine and least person_id."""
-    most = F.struct(-(F.col("addresses") + F.col("employers") + F.col("places")), -F.col("name_similarity"), -F.coalesce("cosine", F.lit(-1.0)), F.col("person_id"))
+    """Of a candidate's qualified people the one who agrees in most, then the likeliest by vectors, then by name and least person_id."""
+    most = F.struct(-(F.col("addresses") + F.col("employers") + F.col("places")), -F.coalesce("cosine", F.lit(-1.0)), -F.col("name_similarity"), F.col("person_id"))
     row = F.struct("person_id", "confidence", "cosine", "addresses", "employers", "places")
     return found.filter("qualified").groupBy("candidate_id").agg(F.min_by(row, most).alias("m")).select("candidate_id", "m.*")

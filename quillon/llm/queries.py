@@ -30,7 +30,7 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return people.best(people.matches(spark, d)).select("candidate_id", "person_id")
+    return people.best(people.matches(spark, d, confidence=False)).select("candidate_id", "person_id")
 
 
 def p4_confidence(spark: SparkSession, d: str) -> DataFrame:

@@ -149,6 +149,18 @@ def test_star_clusters(spark):
     assert got == {"a": "a", "b": "a", "c": "a", "d": "a", "e": "e", "f": "f"}
 
 
+def test_given_centers_and_ties(spark):
+    """Given names are centers whatever their degree; a spelling as near to two of them is nobody's."""
+    v = spark.createDataFrame([(n, n in "XY", 0) for n in "XYabcd"], "name string, given boolean, weight int")
+    e = spark.createDataFrame([("a", "X", 0.9), ("b", "X", 0.8), ("b", "Y", 0.8), ("c", "Y", 0.85), ("c", "X", 0.84), ("a", "b", 0.99), ("X", "Y", 0.9)], "a string, b string, similarity double")
+    got = {r.name: r.center for r in names.star_clusters(e, v, given=True).collect()}
+    assert got == {"X": "X", "Y": "Y", "a": "X", "b": "b", "c": "Y", "d": "d"}
+    # A chain longer than any fixed number of rounds ends, every vertex once.
+    line = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}", 0.9) for i in range(120)], "a string, b string, similarity double")
+    every = spark.createDataFrame([(f"n{i:03d}", 0) for i in range(121)], "name string, weight int")
+    assert names.star_clusters(line, every).count() == 121
+
+
 def test_addresses():
     assert people.address(" HTTPS://www.Site.example/in/X/?a=1#b ") == "site.example/in/x" and people.address(None) == "" and people.mail(" A@B ") == "a@b"
 
@@ -181,7 +193,7 @@ def test_matching_against_brute_force(spark, monkeypatch):
         if best:
             want[a.record] = min(best)[1]
     got = {r.candidate_id: r.person_id for r in queries.p4_found(spark, DATA).collect()}
-    assert set(got.items()) <= set(want.items()) and len(got) >= 0.9 * len(want) > 0
+    assert set(got.items()) <= set(want.items()) and len(got) == len(want) > 0
 
 
 def test_value_queries_run(spark):
