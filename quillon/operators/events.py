@@ -55,21 +55,20 @@ def collapsed(df: DataFrame, keys: list[str], at: str, tie: str, days: int = 60)
     return ordered.mapInArrow(sweep, df.schema)
 
 
-def near_pairs(df: DataFrame, keys: list[str], at: str, row_id: str, days: int = 60) -> DataFrame:
-    """(keys, earlier_id, later_id) of rows of one key within ``days``, joined by time bin and not over the whole key.
+def near_counts(df: DataFrame, keys: list[str], at: str, days: int = 60) -> DataFrame:
+    """(keys, pairs): how many pairs of rows of one key lie within ``days``; no pair is made.
 
-    A row meets its own bin and the next; bins are ``days`` wide.
+    Rows are counted by day before the shuffle; a day's pairs are those within it and those with the days before it that are
+    in reach. Rows without a date pair with none.
     """
-    day = F.datediff(F.col(at), F.lit("1970-01-01").cast("date"))
-    binned = df.select(*keys, F.col(row_id).alias("id"), day.alias("day"), F.floor(day / days).alias("bin"))
-    left = binned.select(*keys, F.col("id").alias("earlier_id"), F.col("day").alias("d0"), F.explode(F.array("bin", F.col("bin") + 1)).alias("bin"))
-    right = binned.select(*keys, F.col("id").alias("later_id"), F.col("day").alias("d1"), "bin")
-    ordered = (F.col("d0") < F.col("d1")) | ((F.col("d0") == F.col("d1")) & (F.col("earlier_id") < F.col("later_id")))
-    return left.join(right, [*keys, "bin"]).filter(ordered & (F.col("d1") - F.col("d0") <= days)).select(*keys, "earlier_id", "later_id")
+    daily = df.filter(F.col(at).isNotNull()).groupBy(*keys, F.datediff(F.col(at), F.lit("1970-01-01").cast("date")).alias("day")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*keys).orderBy("day").rangeBetween(-days, -1)
+    pairs = F.col("n") * F.coalesce(F.sum("n").over(before), F.lit(0)) + F.col("n") * (F.col("n") - 1) / 2
+    return daily.select(*keys, pairs.cast("bigint").alias("pairs")).groupBy(*keys).agg(F.sum("pairs").alias("pairs")).filter("pairs > 0")
 
 
 def reconciled(jobs: DataFrame, ended: DataFrame, started: DataFrame) -> DataFrame:
-    """Employment after ENDED events close open rows and STARTED events open rows that don't exist.
+    """Employment after ENDED events close open rows and STARTED events open rows that aren't open then.
 
     jobs: person_id, organization_id, started_at, ended_at, current; ended and started: person_id, organization_id, at.
     """
@@ -78,6 +77,6 @@ def reconciled(jobs: DataFrame, ended: DataFrame, started: DataFrame) -> DataFra
     closes = F.col("current") & F.col("__at").isNotNull()
     kept = kept.withColumn("ended_at", F.when(closes, F.coalesce("ended_at", "__at")).otherwise(F.col("ended_at"))).withColumn("current", F.col("current") & ~closes).drop("__at")
     opening = started.groupBy("person_id", "organization_id").agg(F.min("at").alias("started_at"))
-    new = opening.join(jobs.filter("current"), ["person_id", "organization_id"], "left_anti")
+    new = opening.join(kept.filter("current"), ["person_id", "organization_id"], "left_anti")
     new = new.select("person_id", "organization_id", "started_at", F.lit(None).cast(jobs.schema["ended_at"].dataType).alias("ended_at"), F.lit(True).alias("current"))
     return kept.select("person_id", "organization_id", "started_at", "ended_at", "current").unionByName(new)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.numbers import delta
+from quillon.session import cut
 
 PAGE, MOST_PAGE = 50, 500
 
@@ -53,3 +54,17 @@ def page(df: DataFrame, sort: str, allowed: dict[str, str], default: str, number
     order = [column.desc_nulls_last() if sort.startswith("-") else column.asc_nulls_last(), F.col(default).asc()]
     size = max(1, min(size, MOST_PAGE))
     return df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
+
+
+def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """``df`` with each row's place in one order of all rows, which should be total.
+
+    Rows are laid into ranges, numbered within each, and the ranges' sizes added up: no task sorts more than a range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = cut(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
+    sizes = laid.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.broadcast(sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return laid.withColumn("__within", within).join(starts, "__range").select(*df.columns, (F.col("__start") + F.col("__within")).alias(name))

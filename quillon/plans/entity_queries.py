@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from quillon.functions import numbers, text, values
 from quillon.operators import events, features, graph, ingest, ranking, resolve, timeline
 from quillon.plans import sqltext
+from quillon.plans.event_queries import PROFILE_PAIRS_SQL, findings_rows, profile_findings
 from quillon.plans.registry import Book
 from quillon.session import cut, table
+from quillon.sources import readers
 
 BOOK = Book()
 query = BOOK.query
@@ -75,10 +77,10 @@ def current_job(spark: SparkSession, d: str) -> DataFrame:
     return timeline.latest(table(spark, d, "employment").filter("current"), ["person_id"], order).select("person_id", "organization_id", "title", "started_at")
 
 
-@query("""select person_id, round(sum(case when seniority not in ('founder', 'board', 'advisor') and started_at is not null then greatest(0, date_diff('day', started_at, coalesce(ended_at, date '2026-09-06'))) / 365.25 end), 4) as years from employment group by person_id""")
+@query("""select person_id, round(sum(case when coalesce(seniority, '') not in ('founder', 'board', 'advisor') and started_at is not null then greatest(0, date_diff('day', started_at, coalesce(ended_at, date '2026-09-06'))) / 365.25 end), 4) as years from employment group by person_id""")
 def operating_years(spark: SparkSession, d: str) -> DataFrame:
     """AGG-14, FEA-12."""
-    return features.tenure_years(table(spark, d, "employment"), "person_id", "started_at", "ended_at", F.lit("2026-09-06").cast("date"), F.coalesce(~F.col("seniority").isin("founder", "board", "advisor"), F.lit(False)))
+    return features.tenure_years(table(spark, d, "employment"), "person_id", "started_at", "ended_at", F.lit("2026-09-06").cast("date"), F.coalesce(~F.lower("seniority").isin("founder", "board", "advisor"), F.lit(True)))
 
 
 @query("""select person_id, organization_id, started_at, case when current and ended_at is not null then false else current end as current, count(*) as n from employment group by 1, 2, 3, 4""")
@@ -89,14 +91,17 @@ def employment_reconciled(spark: SparkSession, d: str) -> DataFrame:
     return fixed.groupBy("person_id", "organization_id", "started_at", "current").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""with {PROFILE_PAIRS_SQL}, fr as ({findings_rows()}), o as (select observation_id, person_id, cast(observed_at as date) as at from observation where person_id is not null),
+mv as (select o.person_id, g.organization_id, fr.name, o.at as day from fr join o using (observation_id) join organization g on g.canonical_name = trim(fr.organization) where fr.name in ('EMPLOYMENT_ENDED', 'EMPLOYMENT_STARTED')),
+cl as (select person_id, organization_id, min(day) as day from mv where name = 'EMPLOYMENT_ENDED' group by 1, 2),
+kept as (select e.person_id, e.organization_id, e.started_at, case when e.current and cl.day is not null then coalesce(e.ended_at, cl.day) else e.ended_at end as ended_at, case when cl.day is not null and e.current then false else e.current end as current from employment e left join cl using (person_id, organization_id)),
+op as (select person_id, organization_id, min(day) as day from mv where name = 'EMPLOYMENT_STARTED' group by 1, 2)
+select * from kept union all select person_id, organization_id, day, null, true from op where not exists (select 1 from kept k where k.person_id = op.person_id and k.organization_id = op.organization_id and k.current)""")
 def employment_after_events(spark: SparkSession, d: str) -> DataFrame:
     """EVT-06: employment after the ends and starts that profile snapshots show."""
-    from quillon.plans.event_queries import profile_findings
-
     o = table(spark, d, "observation").select("observation_id", "person_id", F.col("observed_at").cast("date").alias("at")).filter("person_id is not null")
     orgs = table(spark, d, "organization").select(F.col("canonical_name").alias("organization"), "organization_id")
-    moves = profile_findings(spark, d).filter("name in ('EMPLOYMENT_ENDED', 'EMPLOYMENT_STARTED')").join(o, "observation_id").join(orgs, "organization")
+    moves = profile_findings(spark, d).filter("name in ('EMPLOYMENT_ENDED', 'EMPLOYMENT_STARTED')").withColumn("organization", F.trim("organization")).join(o, "observation_id").join(orgs, "organization")
     jobs = table(spark, d, "employment").select("person_id", "organization_id", "started_at", "ended_at", "current")
     side = lambda n: moves.filter(F.col("name") == n).select("person_id", "organization_id", "at")
     return events.reconciled(jobs, side("EMPLOYMENT_ENDED"), side("EMPLOYMENT_STARTED"))
@@ -322,7 +327,7 @@ def access_score(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {_EDGES} select src as node, count(distinct dst) as neighbours, count(distinct case when c_nationkey < 5 then dst end) as relevant,
 round(avg(case when date_diff('day', cast(verified as date), date '2024-02-01') <= 15 then 1.0 else 0.0 end), 4) as fresh_share from u left join customer on c_custkey = dst group by 1""")
 def connector_counts(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-04, AGG-05, AGG-07, FEA-16."""
+    """AGG-04, AGG-07: neighbours of a plain graph."""
     marks = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), (F.col("c_nationkey") < 5).alias("relevant"))
     return features.neighbour_features(_edges(spark, d), marks, ["relevant"], "verified", F.lit("2024-02-01").cast("date"), 15)
 
@@ -330,7 +335,7 @@ def connector_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("""select person_id, count(distinct s) as sectors from (select e.person_id, lower(unnest(list_distinct(list_concat([o.attributes.sector], coalesce(o.attributes.sectors, []))))) as s from employment e join organization o using (organization_id) where e.current)
 where s is not null and trim(s) <> '' group by 1""")
 def sector_breadth(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-06, THS-02: distinct sectors of a person's employers."""
+    """AGG-06: distinct sectors of a person's employers."""
     o = table(spark, d, "organization").select("organization_id", F.explode(F.array_union(F.array("attributes.sector"), F.coalesce("attributes.sectors", F.array().cast("array<string>")))).alias("s")).filter("s is not null and trim(s) <> ''")
     return table(spark, d, "employment").filter("current").join(o, "organization_id").groupBy("person_id").agg(F.count_distinct(F.lower("s")).alias("sectors"))
 
@@ -360,7 +365,7 @@ def structured_facts(spark: SparkSession, d: str) -> DataFrame:
 @query("""select person_id, canonical_name, coalesce(n.title, 'none') as title, c.facts from person left join (select person_id, min(title) as title from employment where current group by 1) n using (person_id)
 left join (select subject_id as person_id, count(*) as facts from fact group by 1) c using (person_id) where merged_into_id is null""")
 def person_detail(spark: SparkSession, d: str) -> DataFrame:
-    """RPT-03, RPT-07, JN-04."""
+    """RPT-03."""
     e = table(spark, d, "employment").filter("current").groupBy("person_id").agg(F.min("title").alias("title"))
     f = table(spark, d, "fact").groupBy(F.col("subject_id").alias("person_id")).agg(F.count("*").alias("facts"))
     p = table(spark, d, "person").filter("merged_into_id is null").select("person_id", "canonical_name")
@@ -440,11 +445,19 @@ def known_facts_first(spark: SparkSession, d: str) -> DataFrame:
     return first.select("fact_type", "subject_id", F.col("value.value").alias("value"))
 
 
-@query("""select organization_id, 'https://search.example/?q=' || replace(lower(canonical_name), ' ', '+') || '+' || coalesce(attributes.stage, 'any') as query from organization where canonical_name is not null""")
+SEARCHES = [
+    {"name": "labs", "titles": ["research scientist", "principal engineer"], "geographies": ["BQ", "TH"]},
+    {"name": "funds", "titles": ["partner", "chief investment officer", "principal", "analyst", "associate", "advisor"]},
+    {"name": "off", "active": False, "titles": ["engineer"]},
+    {"name": "untitled", "geographies": ["BQ"]},
+]
+
+
+@query("""select 'labs' as rule, 'site:profiles.example/in (''research scientist'' OR ''principal engineer'') (''BQ'' OR ''TH'')' as query
+union all select 'funds', 'site:profiles.example/in (''partner'' OR ''chief investment officer'' OR ''principal'' OR ''analyst'' OR ''associate'')'""")
 def query_strings(spark: SparkSession, d: str) -> DataFrame:
-    """STR-08: search strings built from attributes."""
-    o = table(spark, d, "organization").filter("canonical_name is not null")
-    return o.select("organization_id", F.concat(F.lit("https://search.example/?q="), F.replace(F.lower("canonical_name"), F.lit(" "), F.lit("+")), F.lit("+"), F.coalesce("attributes.stage", F.lit("any"))).alias("query"))
+    """STR-08: the search string of each active rule, from its first five titles and places."""
+    return spark.createDataFrame(list(readers.search_queries(SEARCHES).items()), "rule string, query string")
 
 
 @query("""select organization_type, count(*) as n, count(aum_usd) as disclosed, round(cast(sum(aum_usd) as double), 2) as aum, round(cast(max(aum_usd) as double), 2) as largest from organization group by 1""")

@@ -73,17 +73,6 @@ def previous_event(spark: SparkSession, d: str) -> DataFrame:
     return e.select("user_id", "event_id", "event_type", F.round("value", 4).alias("value"), F.round(F.col("value") - F.col("prev_value"), 4).alias("change"), F.col("prev_event_type").alias("before"))
 
 
-@query("""select event_id, cast(len(list_filter([event_type is distinct from pt, (cast(json_extract_string(props, '$.k') as bigint)) is distinct from pk], lambda x: x)) as bigint) as changed
-from (select *, lag(event_type) over w as pt, cast(json_extract_string(lag(props) over w, '$.k') as bigint) as pk, row_number() over w as rn from events window w as (partition by user_id order by ts, event_id)) where rn > 1""")
-def changed_fields(spark: SparkSession, d: str) -> DataFrame:
-    """DIF-03: how many fields differ from the snapshot before."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    k = F.get_json_object("props", "$.k").try_cast("bigint")
-    e = table(spark, d, "events").select("event_id", "event_type", k.alias("k"), F.lag("event_type").over(w).alias("pt"), F.lag(k).over(w).alias("pk"), F.row_number().over(w).alias("rn"))
-    differs = lambda a, b: (~F.col(a).eqNullSafe(F.col(b))).cast("bigint")
-    return e.filter("rn > 1").select("event_id", (differs("event_type", "pt") + differs("k", "pk")).alias("changed"))
-
-
 @query("""with k as (select event_id, ts, user_id, event_type, sha1(concat_ws('|', cast(user_id as varchar), event_type, strftime(ts, '%Y-%m-%d'))) as dedupe_key from events)
 select event_id, dedupe_key from (select *, row_number() over (partition by dedupe_key order by ts, event_id) as rn from k) where rn = 1""")
 def event_exact_dedupe(spark: SparkSession, d: str) -> DataFrame:
@@ -95,8 +84,8 @@ def event_exact_dedupe(spark: SparkSession, d: str) -> DataFrame:
 @query("""select a.user_id, a.event_type, count(*) as pairs from events a join events b on a.user_id = b.user_id and a.event_type = b.event_type
 and abs(date_diff('day', cast(a.ts as date), cast(b.ts as date))) <= 3 and (cast(a.ts as date), a.event_id) < (cast(b.ts as date), b.event_id) group by 1, 2""")
 def event_window_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """JN-11: pairs of alike events within three days, joined by bins."""
-    return events.near_pairs(table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id", 3).groupBy("user_id", "event_type").agg(F.count("*").alias("pairs"))
+    """JN-11: pairs of alike events within three days, counted by day and never made."""
+    return events.near_counts(table(spark, d, "events"), ["user_id", "event_type"], "ts", 3)
 
 
 @query("""with recursive k as (select user_id, event_type, ts, event_id from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1
@@ -110,7 +99,7 @@ def event_greedy_collapse(spark: SparkSession, d: str) -> DataFrame:
 @query("""select event_type, case when event_type in ('view', 'click') then 'inference' else 'event' end as route, count(*) as n,
 max(ts + to_days(case event_type when 'purchase' then 90 when 'signup' then 365 else 180 end)) as last_expiry from events group by 1, 2""")
 def event_route_class(spark: SparkSession, d: str) -> DataFrame:
-    """EVT-01, EVT-08, DT-04: events against inferences and when they expire."""
+    """DT-04: events against inferences and when they expire."""
     days = numbers.lookup(F.col("event_type"), {"purchase": 90, "signup": 365}, 180).cast("int")
     expiry = F.col("ts") + F.make_dt_interval(days)
     route = F.when(F.col("event_type").isin("view", "click"), "inference").otherwise("event")
@@ -155,7 +144,7 @@ def top_movers(spark: SparkSession, d: str) -> DataFrame:
 @query("""select s.step, count(distinct e.user_id) as people, count(*) as events, round(sum(e.value), 2) as value from
 (select unnest(generate_series(timestamp '2024-01-08', timestamp '2024-01-29', interval 7 day)) as step) s join events e on e.ts <= s.step group by 1""")
 def backtest_steps(spark: SparkSession, d: str) -> DataFrame:
-    """BKT-01, DT-03: one plan for all weeks; each event counts in every step at or after it."""
+    """DT-03: one plan for all weeks; each event counts in every step at or after it."""
     steps = [r[0] for r in timeline.weekly_steps(spark, "2024-01-08", "2024-01-29").collect()]
     later = F.explode(F.filter(F.array(*(F.lit(s).cast("timestamp_ntz") for s in steps)), lambda s: s >= F.col("ts")))
     return table(spark, d, "events").select("user_id", "value", later.alias("step")).groupBy("step").agg(F.count_distinct("user_id").alias("people"), F.count("*").alias("events"), F.round(F.sum("value"), 2).alias("value"))
@@ -317,6 +306,15 @@ def profile_findings(spark: SparkSession, d: str) -> DataFrame:
     return rules.findings(o, rules.profile_rules("before", "after"), ["observation_id"]).drop("unit")
 
 
+_MATERIAL = [*extraction.TEXTS.values(), *extraction.FLAGS.values()]
+
+
+@query(f"""with {PROFILE_PAIRS_SQL} select observation_id, array_to_string(list_filter([{', '.join(f"case when json_extract_string(j, '$.{f}') is distinct from json_extract_string(p, '$.{f}') then '{f}' end" for f in _MATERIAL)}], lambda x: x is not null), ',') as changed from pairs""")
+def changed_fields(spark: SparkSession, d: str) -> DataFrame:
+    """DIF-03: which of the eight material fields differ between a profile and the one before it."""
+    return profile_pairs(spark, d).select("observation_id", F.array_join(extraction.changed_fields(F.col("before"), F.col("after")), ",").alias("changed"))
+
+
 @query(f"""with o as (select person_id, observed_at, observation_id, {sqltext.opened('raw_json')} as j from observation where content_type = 'profile_snapshot' and person_id is not null),
 h as (select person_id, observed_at, observation_id, json_extract_string({sqltext.profile('j')}, '$.headline') as headline from o),
 t as (select headline, lag(headline) over (partition by person_id order by observed_at, observation_id) as prev from h)
@@ -342,7 +340,7 @@ def source_coverage(spark: SparkSession, d: str) -> DataFrame:
 @query("""select o.observation_id, s.reliability_tier, round(least(0.8, 0.8 * case s.reliability_tier when 1 then 1.0 when 2 then 0.85 when 3 then 0.7 when 4 then 0.55 when 5 then 0.35 else 0.5 end)::double, 2) as confidence
 from observation o join data_source s using (source_id)""")
 def evidence_confidence(spark: SparkSession, d: str) -> DataFrame:
-    """MTH-02, MTH-03, MTH-04, EXT-04, JN-17: confidence by the source's tier."""
+    """MTH-04, EXT-04: confidence by the source's tier."""
     o = table(spark, d, "observation").select("observation_id", "source_id").join(table(spark, d, "data_source"), "source_id")
     return o.select("observation_id", "reliability_tier", numbers.capped_confidence(F.lit(0.8), numbers.tier_weight(F.col("reliability_tier"))).alias("confidence"))
 
@@ -364,18 +362,17 @@ def url_normalize(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy(host.alias("host")).agg(F.count("*").alias("n"), F.count_distinct(F.coalesce(text.normal_address(F.col("source_url")), F.lit(""))).alias("addresses"))
 
 
-@query("""with b as (select doc_id, published_at from documents where published_at is not null)
-select cast(date_trunc('month', published_at) as timestamp) as month, count(*) as docs from b group by 1""")
+@query("""select doc_id, published_at as starts_at, coalesce(source, 'unknown') as host from documents where published_at >= timestamp '2026-06-01' order by published_at, doc_id limit 50""")
 def calendar_upcoming(spark: SparkSession, d: str) -> DataFrame:
-    """FLT-06, RPT-10: documents by month in order."""
-    x = table(spark, d, "documents").filter("published_at is not null")
-    return x.groupBy(F.date_trunc("month", "published_at").cast("timestamp_ntz").alias("month")).agg(F.count("*").alias("docs"))
+    """FLT-06, RPT-10, SRT-06: what starts at or after a moment, earliest first, a page of fifty."""
+    x = table(spark, d, "documents").filter(F.col("published_at") >= F.lit("2026-06-01").cast("timestamp_ntz"))
+    return x.select("doc_id", F.col("published_at").alias("starts_at"), F.coalesce("source", F.lit("unknown")).alias("host")).orderBy("starts_at", "doc_id").limit(50)
 
 
 @query("""select content_type, count(*) as n, count(*) filter (observed_at - coalesce(occurred_at, observed_at) > interval 7 day) as late,
 count(*) filter (occurred_at is null) as undated, count(*) filter (coalesce(occurred_at, observed_at) <= timestamp '2026-06-01' and observed_at <= timestamp '2026-06-01') as visible from observation group by 1""")
 def visible_observations(spark: SparkSession, d: str) -> DataFrame:
-    """FLT-03, FLT-09, FLT-10, FLT-11, SRC-03: what occurred and was known by a moment, and what came late."""
+    """FLT-03: what occurred and was known by a moment, and what came late."""
     at = F.lit("2026-06-01").cast("timestamp_ntz")
     o = table(spark, d, "observation").withColumn("when", F.coalesce("occurred_at", "observed_at"))
     count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
@@ -383,9 +380,10 @@ def visible_observations(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy("content_type").agg(F.count("*").alias("n"), count(late).alias("late"), count(F.col("occurred_at").isNull()).alias("undated"), count((F.col("when") <= at) & (F.col("observed_at") <= at)).alias("visible"))
 
 
-@query("""select story_cluster_key, list_sort(list(observation_id)) as evidence_ids, count(distinct source_id) as sources from observation where story_cluster_key is not null group by 1 having count(*) > 1""")
+@query("""with g as (select story_cluster_key, count(*) as articles, count(distinct source_id) as sources from observation where story_cluster_key is not null group by 1 having count(*) > 1)
+select story_cluster_key, observation_id, articles, sources from observation join g using (story_cluster_key)""")
 def evidence_by_story(spark: SparkSession, d: str) -> DataFrame:
-    """EVT-04, GRF-07, SCO-10: the observations behind each story."""
-    o = table(spark, d, "observation").filter("story_cluster_key is not null")
-    by = o.groupBy("story_cluster_key").agg(F.array_sort(F.collect_list("observation_id")).alias("evidence_ids"), F.count_distinct("source_id").alias("sources"))
-    return by.filter(F.size("evidence_ids") > 1)
+    """EVT-04, SCO-10: the observations behind each story, a row each, with the story's size and sources."""
+    o = table(spark, d, "observation").filter("story_cluster_key is not null").select("story_cluster_key", "observation_id", "source_id")
+    by = o.groupBy("story_cluster_key").agg(F.count("*").alias("articles"), F.count_distinct("source_id").alias("sources")).filter("articles > 1")
+    return o.join(by, "story_cluster_key").select("story_cluster_key", "observation_id", "articles", "sources")

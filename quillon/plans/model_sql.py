@@ -334,3 +334,51 @@ def talent_sql(as_of: str) -> str:
     feed = {"PRODUCT_SHIPPED": _IS_KNOWN, "BUDGET_OWNERSHIP": _IS_KNOWN, "TEAM_SIZE_MANAGED": _IS_NUMBER, "PROMOTION_COUNT": _IS_NUMBER}
     best = "qualify row_number() over (partition by person_id order by priority desc, role_id) = 1"
     return f"with {world_sql(as_of)}, {access_sql(as_of)}, {score_sql(model, wide, _feeding(feed), as_of, ', role_id', best, 'person_id, role_id')}"
+
+
+def rows_sql(as_of: str, select: str) -> str:
+    """A select over the CTEs of world_sql()."""
+    return f"with {world_sql(as_of)} {select}"
+
+
+def expiry_sql(event_type: str, at: str) -> str:
+    return f"{at} + to_days(cast({_MAP(event_type, {k: d for k, (_, d) in taxonomy.EVENT_TYPES.items()}, taxonomy.TTL_DEFAULT)} as int))"
+
+
+def severity_sql(event_type: str) -> str:
+    return _MAP(event_type, {k: f"'{s}'" for k, (s, _) in taxonomy.EVENT_TYPES.items()}, f"'{taxonomy.SEVERITY_DEFAULT}'")
+
+
+def backtest_sql(steps: tuple[str, ...]) -> str:
+    """Distribution of the founder's priorities at each step, with nothing that was recorded later."""
+    one = lambda s: f"""select '{s[:10]}' as step, count(*) as n, round(avg(priority), 2) as mean, round(median(priority), 2) as median, round(list_sort(list(priority))[cast(floor(0.9 * (count(*) - 1)) as bigint) + 1], 2) as p90, round(max(priority), 2) as max,
+    max(case when rank = 1 then person_id end) as first from ({founder_sql(s, s)})"""
+    return " union all ".join(one(s) for s in steps)
+
+
+def discovery_sql(as_of: str, rules: list[dict]) -> str:
+    """Candidates of the discovery stream by first matching rule."""
+    low = "lower(coalesce(txt, ''))"
+    hit = lambda words: "list_filter([" + ", ".join(f"case when contains({low}, '{w.lower()}') then '{w}' end" for w in words) + "]::varchar[], lambda y: y is not null)"
+    tests, reasons = [], []
+    for r in (r for r in rules if r.get("active", True)):
+        groups = {"keywords": (r.get("keywords") or [], 4), "topics": (r.get("technical_topics") or [], 4), "titles": (r.get("titles") or [], 3)}
+        events = sorted(r.get("required_events") or [])
+        met = f"list_sort(list_intersect(coalesce(types, []), {events}::varchar[]))" if events else "[]::varchar[]"
+        gate = f"len({met}) > 0" if events else "true"
+        signals = " + ".join(f"len({hit(ws)})" for ws, _ in groups.values()) + f" + cast({gate} as int)"
+        said = [f"case when len({hit(ws)}) > 0 then '{label}:' || array_to_string({hit(ws)}[1:{n}], ',') end" for label, (ws, n) in groups.items()] + [f"case when len({met}) > 0 then 'events:' || array_to_string({met}, ',') end"]
+        why = f"array_to_string(list_filter([{', '.join(said)}]::varchar[], lambda y: y is not null), '; ')"
+        tests.append(f"when len({hit(r.get('excluded_keywords') or [])}) = 0 and {gate} and {signals} >= {r.get('min_signals', 1)} and {why} <> '' then ")
+        reasons.append((r, why))
+    case = lambda value: "case " + " ".join(t + value(r, why) for t, (r, why) in zip(tests, reasons)) + " end"
+    name = "trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return f"""with {world_sql(as_of)}, ty as (select observation_id, list(distinct name) as types from x where kind <> 'fact' group by 1),
+dt as (select op.observation_id, source_id, person_id, subject_hint, observed_at, types, concat_ws(' ', nullif(raw_text, ''), nullif({_J('v', 'title')}, ''), nullif({_J('v', 'summary')}, ''), nullif({_J('v', 'body')}, ''), nullif({_J('v', 'profile.headline')}, '')) as txt
+    from op left join ty using (observation_id) where mode = 'discover' and trim(subject_hint) <> ''),
+mt as (select *, {case(lambda r, w: f"'{r['name']}'")} as rule, {case(lambda r, w: f"'{r['target_class']}'")} as target_class, {case(lambda r, w: w)} as reasons from dt),
+br as (select {name.format('canonical_name')} as nm, count(*) as bearers from person where merged_into_id is null group by 1),
+st as (select mt.*, l.live_id, coalesce(bearers, 0) as bearers from mt left join live l on l.person_id = mt.person_id left join br on nm = {name.format('subject_hint')} and nm <> '' where rule is not null),
+cd as (select *, coalesce(live_id, 'new:' || lower(trim(subject_hint))) as pid from st where live_id is not null or bearers < 2)
+select rule, target_class, pid as person_id, trim(subject_hint) as subject, live_id is null as is_new, cast(case when live_id is not null then 1.0 when bearers = 1 then 0.2 else 0.0 end as double) as identity_confidence, observation_id, source_id, reasons
+from cd qualify row_number() over (partition by rule, pid order by observed_at, observation_id) = 1"""

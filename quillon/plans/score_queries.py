@@ -44,7 +44,7 @@ def _wide(spark: SparkSession, d: str) -> DataFrame:
 round(greatest(0.0, 1 - p_size / 30.0), 6) as inverted, round(exp(-ln(2) / 15.0 * p_size), 6) as decay, case when p_size <= 5 then 1.0 when p_size <= 20 then 0.7 else 0.1::double end as bucket,
 case p_brand when 'Brand#11' then 1.0 when 'Brand#12' then 0.6 else 0.2::double end as tiered, round(least(1, p_retailprice / 2000.0), 6) as unit from part""")
 def normalizers_all(spark: SparkSession, d: str) -> DataFrame:
-    """MTH-01, SCO-09: all normalisers."""
+    """MTH-01: all normalisers."""
     n = lambda name, c, **p: F.round(numbers.normalized(name, c, p), 6)
     size, price = F.col("p_size"), F.col("p_retailprice")
     return table(spark, d, "part").select(
@@ -122,7 +122,7 @@ _PIVOT = ", ".join(f"max(case when o_orderpriority = '{k}' then o_totalprice end
 
 @query(f"""with l as (select * from orders qualify row_number() over (partition by o_custkey, o_orderpriority order by o_orderdate desc, o_orderkey) = 1) select o_custkey, {_PIVOT} from l where o_orderpriority in {_KINDS} group by 1""")
 def features_long_pivot(spark: SparkSession, d: str) -> DataFrame:
-    """FEA-01, FEA-13, FEA-18, FLT-14: the latest value of each kind in a row."""
+    """FLT-14: the latest value of each kind in a row."""
     p = features.pivoted(table(spark, d, "orders"), "o_custkey", "o_orderpriority", "o_totalprice", [F.desc("o_orderdate"), F.asc("o_orderkey")], list(_KINDS))
     return p.select("o_custkey", *(F.col(f"`{k}`").alias(f"k{i + 1}") for i, k in enumerate(_KINDS)))
 
@@ -141,7 +141,7 @@ _THESIS = "list_filter([" + ", ".join(f"case when contains(lower(text), '{t}') t
 
 @query(f"select doc_id, round(least(1.0, len({_THESIS}) / 4.0), 4) as score from documents where text is not null")
 def thesis_dimension_match(spark: SparkSession, d: str) -> DataFrame:
-    """THS-01, THS-03, STR-04, STR-11, FEA-02, FEA-04."""
+    """THS-03, STR-04, STR-11."""
     x = table(spark, d, "documents").filter("text is not null")
     return x.select("doc_id", features.phrase_match(F.col("text"), TOPICS).alias("score"))
 
@@ -150,7 +150,7 @@ def thesis_dimension_match(spark: SparkSession, d: str) -> DataFrame:
 s as (select c_custkey, p_partkey, round(greatest(0.0, 1 - abs(c_nationkey - p_size) / 10.0) + case when substr(c_mktsegment, 1, 1) = substr(p_type, 1, 1) then 0.5 else 0 end, 4) as score from c, r)
 select c_custkey, p_partkey, score from s qualify row_number() over (partition by c_custkey order by score desc, p_partkey) = 1""")
 def role_match_best(spark: SparkSession, d: str) -> DataFrame:
-    """JN-13, AGG-15, FEA-08, FEA-09, FEA-14: the best open role of each person.
+    """AGG-15: the best open role of each person.
 
     The open roles are a short list whose size is checked; each person meets them in an array within the row.
     """
@@ -168,7 +168,7 @@ def role_match_best(spark: SparkSession, d: str) -> DataFrame:
 s as (select query_id, vec_id, round(list_dot_product(qe::double[], embedding::double[]) / sqrt(list_dot_product(qe::double[], qe::double[]) * list_dot_product(embedding::double[], embedding::double[])), 6) as cosine from q, embeddings where vec_id <> query_id)
 select query_id, vec_id, cosine, cast(row_number() over (partition by query_id order by cosine desc, vec_id) as bigint) as place from s qualify place <= 5""")
 def embedding_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    """FEA-02, SRT-04: nearest vectors of every fiftieth one, against all."""
+    """SRT-04: nearest vectors of every fiftieth one, against all."""
     e = table(spark, d, "embeddings")
     return features.nearest(e, e.filter("vec_id % 50 = 0"), 5).withColumn("place", F.col("place").cast("bigint"))
 
@@ -199,17 +199,15 @@ def precision_ndcg_at_k(spark: SparkSession, d: str) -> DataFrame:
 select count(*) as n, round(1 - 6 * sum((a - b) * (a - b)) / (count(*)::double * (count(*)::double * count(*) - 1)), 6) as rho from r""")
 def spearman_rank(spark: SparkSession, d: str) -> DataFrame:
     """AGG-24, WIN-06: agreement of two rankings."""
-    from pyspark.sql import Window
-
     o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    c = table(spark, d, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"))
-    place = lambda c1: F.row_number().over(Window.orderBy(F.desc(c1), F.asc("c_custkey")))
-    return metrics.spearman(c.select(place("c_acctbal").alias("a"), place("n").alias("b")), "a", "b")
+    c = table(spark, d, "customer").join(o, F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "c_acctbal", "n")
+    both = ranking.placed(ranking.placed(c, [F.desc("c_acctbal"), F.asc("c_custkey")], "a"), [F.desc("n"), F.asc("c_custkey")], "b")
+    return metrics.spearman(both, "a", "b")
 
 
 @query("""select event_type, count(*) as n, round(avg(round(value, 2)), 4) as mean, round(median(round(value, 2)), 4) as median, list_sort(list(round(value, 2)))[cast(floor(0.9 * (count(*) - 1)) as bigint) + 1] as p90, max(round(value, 2)) as max from events group by 1""")
 def score_distribution(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-18, AGG-19, AGG-20."""
+    """AGG-18."""
     return metrics.distribution(table(spark, d, "events").select("event_type", F.round("value", 2).alias("value")), ["event_type"], "value")
 
 
@@ -232,48 +230,29 @@ def headline_materiality(spark: SparkSession, d: str) -> DataFrame:
     return o.select("observation_id", text.material_change(F.col("before"), F.col("after")).alias("material"))
 
 
-@query("select key as name, a::double as a, b::double as b from (values ('quality', 0.6, 0.5), ('timing', 0.4, 0.5)) t(key, a, b)")
-def weight_diff(spark: SparkSession, d: str) -> DataFrame:
-    """SET-06, JSN-02: weights that differ between two versions of a model."""
-    mine = {k: v["weight"] for k, v in MODEL["dimensions"].items()}
-    other = {"quality": 0.5, "timing": 0.5}
-    rows = [(k, float(a), float(b)) for k, (a, b) in scoring.weight_diff(mine, other).items()]
-    return spark.createDataFrame(rows, "name string, a double, b double")
-
-
 @query("""with w as (select c_mktsegment as segment, c_custkey, c_acctbal, row_number() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) as p from customer) select segment, c_custkey, c_acctbal, cast(p as bigint) as place from w where p <= 10""")
 def digest_sections(spark: SparkSession, d: str) -> DataFrame:
-    """DIG-01, DIG-03, DIG-05, SRT-04, SRT-08: the top ten of each section."""
+    """SRT-04, SRT-08: the top ten of each section."""
     top = ranking.top_k(table(spark, d, "customer"), ["c_mktsegment"], [F.desc("c_acctbal"), F.asc("c_custkey")], 10)
     return top.select(F.col("c_mktsegment").alias("segment"), "c_custkey", "c_acctbal", F.col("place").cast("bigint").alias("place"))
 
 
 @query("""select n_name as nation, l_returnflag, sum(l_quantity) as quantity, count(*) as n, round(avg(l_discount), 6) as discount from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey where l_shipdate <= timestamp '1998-09-02' group by 1, 2""")
 def evidence_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-01, JN-01, JN-19: evidence rows rolled up by origin."""
+    """AGG-01, JN-01: evidence rows rolled up by origin."""
     li = table(spark, d, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
     by = li.groupBy("l_suppkey", "l_returnflag").agg(F.sum("l_quantity").alias("q"), F.count("*").alias("n"), F.sum("l_discount").alias("dsum"))
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("nation"))
     return by.join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("nation", "l_returnflag").agg(F.sum("q").alias("quantity"), F.sum("n").alias("n"), F.round(F.sum("dsum") / F.sum("n"), 6).alias("discount"))
 
 
-@query()
-def weekly_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """All stages of a week (ORC-01, SNK-12, SNK-20, DIG-01): its scores with changes against the week before."""
-    from quillon.plans import pipeline
-
-    last, _ = pipeline.weekly(spark, d, "2026-09-06")
-    before, _ = pipeline.weekly(spark, d, "2026-08-30")
-    return pipeline.with_changes(last["scores"], before["scores"])
-
-
 @query("""with e as (select c.candidate_id, c.name = p.canonical_name as predicted, c.email is not null and lower(trim(c.email)) = lower(p.primary_email) as gold from er_candidate c join person p on lower(trim(c.name)) = lower(p.canonical_name) or lower(trim(c.email)) = lower(p.primary_email))
 select count(*) as pairs, round(avg(case when predicted and gold then 1.0::double else 0.0 end), 6) as correct, round(avg(case when predicted and not gold then 1.0::double else 0.0 end), 6) as false_merge, round(avg(case when gold and not predicted then 1.0::double else 0.0 end), 6) as missed,
 round(avg(case when predicted and gold then 1.0::double else 0.0 end) - 5 * avg(case when predicted and not gold then 1.0::double else 0.0 end), 6) as score from e""")
 def resolution_rates(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-23, SCO-11: shares of right, falsely merged and missed pairs, and their score."""
+    """AGG-23: shares of right, falsely merged and missed pairs, and their score."""
     c = table(spark, d, "er_candidate").select("candidate_id", "name", F.lower(F.trim("name")).alias("ln"), F.lower(F.trim("email")).alias("mail"))
-    p = table(spark, d, "person").select("person_id", "canonical_name", F.lower("canonical_name").alias("ln"), F.lower("primary_email").alias("mail"), F.monotonically_increasing_id().alias("row"))
+    p = table(spark, d, "person").select("person_id", "canonical_name", F.lower("canonical_name").alias("ln"), F.lower("primary_email").alias("mail"), F.col("person_id").alias("row"))
     pairs = c.join(p.select("ln", "row"), "ln").select("candidate_id", "row").union(c.join(p.select("mail", "row"), "mail").select("candidate_id", "row")).distinct()
     e = pairs.join(c, "candidate_id").join(p.withColumnsRenamed({"ln": "pln", "mail": "pmail"}), "row")
     e = e.select((F.col("name") == F.col("canonical_name")).alias("predicted"), F.coalesce(F.col("mail") == F.col("pmail"), F.lit(False)).alias("gold"))

@@ -30,14 +30,19 @@ def visible(df: DataFrame, as_of: Column, mode: str | None = None) -> DataFrame:
     return seen if mode is None else seen.filter(F.coalesce("mode", F.lit("update")) == mode)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
+def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A directory of JSON files, each a list of records or an object with the list under ``observations``.
 
+    A file is one task's work; large ones should hold a record per line and be read with ``lines``, which splits them.
+
     Nested raw_json and previous_snapshot stay JSON text. Unreadable files give no rows.
     """
-    whole = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(F.try_parse_json("value").alias("v"))
-    wrapped = F.try_variant_get("v", "$.observations", "array<variant>")
-    rows = whole.select(F.explode(F.coalesce(wrapped, F.try_variant_get("v", "$", "array<variant>"))).alias("r"))
+    if lines:
+        rows = spark.read.text(path, pathGlobFilter="*.json*").select(F.try_parse_json("value").alias("r")).filter("r is not null")
+    else:
+        whole = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(F.try_parse_json("value").alias("v"))
+        wrapped = F.try_variant_get("v", "$.observations", "array<variant>")
+        rows = whole.select(F.explode(F.coalesce(wrapped, F.try_variant_get("v", "$", "array<variant>"))).alias("r"))
     text = lambda n: F.try_variant_get("r", f"$.{n}", "string")
     nested = lambda n: F.to_json(F.try_variant_get("r", f"$.{n}", "variant"))
     return _draft(rows, {n: nested(n) if n in ("raw_json", "previous_snapshot") else text(n) for n in _TEXT})
@@ -46,7 +51,8 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, cutoff: Column) -> DataFrame:
     """CSV files with a header: every row is a ``csv_row``; blank cells are left out of its JSON.
 
-    The id is record_id, else file and place; a row without observed_at was observed at ``cutoff``.
+    The id is record_id, else file and row, counted within the file, so reading again gives the same ids; a row without
+    observed_at was observed at ``cutoff``. A file with line breaks in cells is one task's work.
     """
     df = spark.read.option("header", True).option("multiLine", True).csv(path)
     names = set(df.columns)
@@ -54,7 +60,9 @@ def read_csv(spark: SparkSession, path: str, cutoff: Column) -> DataFrame:
     pairs = F.map_from_arrays(F.array(*(F.lit(c) for c in df.columns)), F.array(*(F.col(f"`{c}`") for c in df.columns)))
     payload = F.to_json(F.map_filter(pairs, lambda k, v: v.isNotNull() & (F.trim(v) != "")))
     file = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-    numbered = df.select("*", F.concat_ws(":", file, F.monotonically_increasing_id().cast("string")).alias("__place"), payload.alias("__payload"))
+    rows = df.select("*", F.col("_metadata.file_path").alias("__file"), file.alias("__stem"), payload.alias("__payload"), F.monotonically_increasing_id().alias("__id"))
+    place = F.row_number().over(Window.partitionBy("__file").orderBy("__id")) - 1
+    numbered = rows.withColumn("__place", F.concat_ws(":", "__stem", place.cast("string")))
     return _draft(numbered, {
         "provider_record_id": F.coalesce(cell("record_id"), F.col("__place")), "mode": F.when(F.lower(cell("mode")) == "discover", "discover").otherwise("update"), "content_type": F.lit("csv_row"),
         "subject_hint": cell("person", "subject_hint"), "occurred_at": cell("occurred_at"), "observed_at": F.coalesce(cell("observed_at"), cutoff.cast("string")), "source_url": cell("source_url"), "raw_json": F.col("__payload"),
@@ -127,3 +135,20 @@ class Registry:
             except Exception as e:  # noqa: BLE001
                 rows.append((provider, "failed", 0, str(e)[:200]))
         return spark.createDataFrame(rows, "provider string, status string, records bigint, error string")
+
+
+def search_queries(rules: list[dict], site: str = "profiles.example/in", most: int = 5) -> dict[str, str]:
+    """The search string of each active rule that names titles: a site, any of its titles, any of its places."""
+    either = lambda words: "(" + " OR ".join(f"{w!r}" for w in words[:most]) + ")"
+    parts = lambda r: [f"site:{site}", either(r["titles"]), *([either(r["geographies"])] if r.get("geographies") else [])]
+    return {r["name"]: " ".join(parts(r)) for r in rules if r.get("active", True) and r.get("titles")}
+
+
+def search_drafts(results: DataFrame, query: str, subject: Column, as_of: Column) -> DataFrame:
+    """Search results (url, title, content, published) as drafts: the address is the id, a result without a date is of ``as_of``."""
+    when = F.coalesce(lenient_timestamp(F.col("published")), as_of)
+    body = F.to_json(F.struct("title", "content", F.lit(query).alias("query")))
+    return _draft(results, {
+        "provider_record_id": F.col("url"), "mode": F.lit("discover"), "content_type": F.lit("news_article"), "subject_hint": subject, "occurred_at": when, "observed_at": as_of,
+        "source_url": F.col("url"), "raw_text": F.concat_ws(". ", "title", "content"), "raw_json": body,
+    })
