@@ -186,22 +186,26 @@ def candidates(left: DataFrame, right: DataFrame, least: float = LEAST_SIMILARIT
     return keyed(left).join(centers, ["band", "key"]).select("name", "center")
 
 
+#: Parts in which the centers that one name meets are gathered, compared and spread over tasks.
+PARTS = 16
+
+
 def verified(pairs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """(name, center, similarity) of candidate pairs at or above ``accept``, each once.
 
-    One exchange spreads the pairs themselves evenly over all tasks, whatever name most of them have in common, and folds
-    those that repeat.
+    Pairs are folded to PARTS rows a name at most, partly before they shuffle, and then spread evenly over all tasks, so
+    neither a name that meets many centers nor small bytes make one task long.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            out = [(n, c, s) for n, c in zip(batch["name"], batch["center"]) if (s := similarity(n, c)) >= accept]
+            out = [(n, c, s) for n, cs in zip(batch["name"], batch["centers"]) for c in cs if (s := similarity(n, c)) >= accept]
             yield pd.DataFrame(out, columns=["name", "center", "similarity"])
 
-    even = spread(pairs.withColumn("__h", F.xxhash64("name", "center")), "__h")
-    return even.dropDuplicates(["__h", "name", "center"]).select("name", "center").mapInPandas(run, "name string, center string, similarity double")
+    met = pairs.groupBy("name", F.pmod(F.xxhash64("center"), F.lit(PARTS)).alias("part")).agg(F.collect_set("center").alias("centers"))
+    return spread(met, "name", "part").mapInPandas(run, "name string, center string, similarity double")
 
 
 def link(spellings: DataFrame, centers: DataFrame, accept: float = ACCEPT, least: float = LEAST_SIMILARITY, rows: int = BAND_ROWS) -> DataFrame:
