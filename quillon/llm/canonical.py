@@ -117,6 +117,20 @@ class Mapper:
             for w in set(ws):
                 self.by_word.setdefault(w, []).append(i)
         self.compact = {"".join(ws): i for i, ws in enumerate(self.words) if len(ws) > 1}
+        self.tail_words = {w for t in self.tails for w in t}
+        # Words by their first letters, by first letter and any other, and names by their first and last letters: what a value's
+        # words are compared with is looked up and never all of the list.
+        self.starting: dict[str, list[str]] = {}
+        self.holding: dict[tuple[str, str], list[str]] = {}
+        for w in self.known:
+            for prefix in {w[:1], w[:2]} | ({w[:5]} if len(w) >= 6 else set()):
+                self.starting.setdefault(prefix, []).append(w)
+            for letter in set(w):
+                self.holding.setdefault((w[0], letter), []).append(w)
+        self.ends: dict[tuple[str, str], list[str]] = {}
+        for c in self.compact:
+            self.ends.setdefault(("first", c[:3]), []).append(c)
+            self.ends.setdefault(("last", c[-3:]), []).append(c)
         self.like = lru_cache(maxsize=MEMORY)(self._like)
         self.find = lru_cache(maxsize=MEMORY)(self._find)
 
@@ -129,13 +143,21 @@ class Mapper:
             for w, d in self.near.near(word) if len(word) >= 3 else ():
                 if d <= (1 if len(w) < 8 else 2):
                     out[w] = 1 - d / max(len(w), len(word)) * (1.0 if d < 2 else 1.3)
-        for w in self.known if len(word) < 9 else ():
-            if w != word and w not in out and abbreviates(word, w):
-                out[w] = 0.85 if w.startswith(word) else 0.8
-            elif w not in out and len(w) >= 6 and len(word) >= 6 and w[:5] == word[:5]:
-                out[w] = 0.7
+        if len(word) < 9:
+            for w in self._longer(word):
+                if w != word and w not in out and abbreviates(word, w):
+                    out[w] = 0.85 if w.startswith(word) else 0.8
+            for w in self.starting.get(word[:5], ()) if len(word) >= 6 else ():
+                if w not in out and len(w) >= 6:
+                    out[w] = 0.7
         return out
 
+    def _longer(self, word: str) -> list[str]:
+        """Words of the list that ``word`` may abbreviate: those with its first letters, or with its first and its rarest letter."""
+        if len(word) < 3:
+            return self.starting.get(word, [])
+        return min((self.holding.get((word[0], c), []) for c in word), key=len)
+
     def mentions(self, words: tuple[str, ...]) -> list[tuple[int, int, tuple[int, ...]]]:
         """Longest non-overlapping (start, end, entries) of the list's names within the words."""
         joined = " " + " ".join(words) + " "
@@ -159,7 +181,7 @@ class Mapper:
 
     def _of_tail(self, who: tuple[int, ...] | list[int], rest: list[str]) -> list[int]:
         """Those of ``who`` whose tail agrees with what the value says of it; all of them if it says nothing."""
-        said = [w for w in rest if any(w in self.tails[i] for i in range(len(self.tails)))] if self.kind.tail_optional else []
+        said = [w for w in rest if w in self.tail_words] if self.kind.tail_optional else []
         if not said:
             return list(who)
         return [i for i in who if all(w in self.tails[i] for w in said)]
@@ -207,7 +229,7 @@ class Mapper:
         if len(found) == 1:
             s, e, who = found[0]
             rest = [w for w in (*words[:s], *words[e:]) if w not in kind.noise]
-            tails = [w for w in rest if any(w in t for t in self.tails)]
+            tails = [w for w in rest if w in self.tail_words]
             if all(w in tails or not self.like(w) for w in rest):
                 who = self._of_tail(who, rest)
                 if len(who) == 1:
@@ -264,7 +286,8 @@ class Mapper:
         if scored and scored[0][0] >= 0.7 and (len(scored) == 1 or scored[0][:2] > scored[1][:2]):
             return self.ids[scored[0][2]], scored[0][0]
         whole = "".join(said)
-        near = [(distance(whole, c), i) for c, i in self.compact.items() if abs(len(c) - len(whole)) <= 1 and (c[:3] == whole[:3] or c[-3:] == whole[-3:])]
+        close = {*self.ends.get(("first", whole[:3]), ()), *self.ends.get(("last", whole[-3:]), ())}
+        near = [(distance(whole, c), self.compact[c]) for c in close if abs(len(c) - len(whole)) <= 1]
         near.sort()
         if len(said) == 1 and near and near[0][0] <= 1 and (len(near) == 1 or near[1][0] > near[0][0]):
             return self.ids[near[0][1]], 1.0
