@@ -76,6 +76,19 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return shared.pairs().select(F.col("key_a").alias("doc_id_a"), F.col("key_b").alias("doc_id_b"))
 
 
+def p10_members(spark: SparkSession, d: str) -> DataFrame:
+    """The form without pairs: each document that shares a passage, with the passage, named by its first document, how many
+    documents share it, copies of a text among them. Linear in the documents of a passage."""
+    shared = spans.SharedSpans(table(spark, d, "documents"), "doc_id", "text")
+    passages = cut(shared.passages())
+    copies = shared.members.select(F.col("text_key"), F.col("key").alias("doc_id"))
+    rows = passages.join(copies, "text_key", "left").select("passage", F.coalesce("doc_id", "text_key").alias("doc_id"))
+    whole = shared.members.select(F.xxhash64("text_key", F.lit("copies")).alias("passage"), F.col("key").alias("doc_id"))
+    every = cut(rows.unionByName(whole))
+    named = every.groupBy("passage").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("documents"))
+    return every.join(named, "passage").select("first_doc", "doc_id", "documents", F.hex("passage").alias("passage"))
+
+
 def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     """Of each document how many characters also stand elsewhere, and in how many intervals; copies count as shared whole."""
     docs = table(spark, d, "documents")
@@ -93,5 +106,13 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_unmatched, p4_found, p4_confidence, p7_found, p7_candidates, p8_ids, p9_packed, p9_containers, p10_found, p10_shared)}
-SQL: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (p3_found, p3_unmatched, p4_found, p4_confidence, p7_found, p7_candidates, p8_ids, p9_packed, p9_containers, p10_found, p10_shared, p10_members)}
+_WINDOWS = f"""d as (select doc_id, text, length(text) as n from documents where doc_id is not null and length(text) >= {spans.LENGTH}),
+w as (select doc_id, i, md5_number(substr(text, i, {spans.LENGTH})) as h from (select doc_id, text, unnest(range(1, n - {spans.LENGTH} + 2)) as i from d)),
+s as (select h from w group by h having count(distinct doc_id) > 1), p as (select doc_id, i, h from w semi join s using (h))"""
+SQL: dict[str, str] = {
+    "p10_found": f"with {_WINDOWS}, k as (select distinct doc_id, h from p) select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from k a join k b on a.h = b.h and a.doc_id < b.doc_id",
+    "p10_shared": f"""with {_WINDOWS}, r as (select doc_id, i, case when i > lag(i) over o + {spans.LENGTH} or lag(i) over o is null then 1 else 0 end as new from (select distinct doc_id, i from p) window o as (partition by doc_id order by i)),
+g as (select doc_id, i, sum(new) over (partition by doc_id order by i) as run from r), v as (select doc_id, run, max(i) - min(i) + {spans.LENGTH} as covered from g group by 1, 2), t as (select doc_id, sum(covered) as shared, count(*) as runs from v group by 1)
+select doc_id, coalesce(length(text), 0) as chars, cast(coalesce(shared, 0) as bigint) as shared_chars, coalesce(runs, 0) as intervals from documents left join t using (doc_id)""",
+}

@@ -197,7 +197,7 @@ class SharedSpans:
         first = hashed.groupBy("h1", "h2", "n").agg(F.min("key").alias("text_key"), F.count("*").alias("copies"))
         self.classes = cut(first)
         several = self.classes.filter("copies > 1")
-        self.members = hashed.join(broadcast_if_small(several), ["h1", "h2", "n"]).select("key", "text_key")
+        self.members = cut(hashed.join(broadcast_if_small(several), ["h1", "h2", "n"]).select("key", "text_key"))
         copies = broadcast_if_small(self.members.filter("key <> text_key").select("key"))
         single = rows.join(copies, "key", "left_anti")
         self.seeds = cut(single.mapInArrow(_seed_rows(length, seed), "seed bigint, text_key bigint, at int"))
@@ -214,10 +214,16 @@ class SharedSpans:
         groups = held.agg(F.count("*").alias("texts"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("s"))
         self.groups = cut(groups.filter("texts > 1"))
 
+    def passages(self) -> DataFrame:
+        """(passage, text_key): the texts of each shared passage, one row for each; windows found in the same texts are one
+        passage, named by the least of them. Linear in the texts, however many share one passage."""
+        speaking = self.groups.groupBy("texts", "x", "s").agg(F.min("window").alias("window")).select("window")
+        of = self.windows.filter("first").select("window", "text_key")
+        return of.join(broadcast_if_small(cut(speaking)), "window").select(F.col("window").alias("passage"), "text_key")
+
     def text_pairs(self) -> DataFrame:
         """(a, b) of different texts, a < b, named by text_key."""
-        speaking = self.groups.groupBy("texts", "x", "s").agg(F.min("window").alias("window")).select("window")
-        of = self.windows.filter("first").join(broadcast_if_small(cut(speaking)), "window").select("window", "text_key")
+        of = cut(self.passages()).withColumnRenamed("passage", "window")
         left, right = of.withColumnRenamed("text_key", "a"), of.withColumnRenamed("text_key", "b")
         return left.join(right, "window").filter("a < b").select("a", "b").distinct()
 
