@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -195,7 +196,7 @@ def test_scores_add_up_and_unknown_stays_out(spark):
 def test_decay_is_monotone(spark):
     s = spark.createDataFrame([("fresh", 6.0), ("stale", 248.0), ("ahead", -3.0), ("undated", None)], "who string, age double")
     got = {r.who: r.score for r in scoring.signal_score(s, "who", F.lit(0.5), F.col("age"), F.lit(30.0)).collect()}
-    assert got["ahead"] == 50.0 > got["fresh"] > got["stale"] > 0 == got["undated"]
+    assert got["ahead"] == got["undated"] == 50.0 > got["fresh"] > got["stale"] > 0
 
 
 def test_ranks_share_ties(spark):
@@ -245,7 +246,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "people.csv").write_text("record_id,person,value,mode\nr1,Ann, ,discover\n,Bob,3,\n")
     c = {r.subject_hint: r for r in readers.read_csv(spark, str(tmp_path / "people.csv"), F.lit("2026-01-01 00:00:00")).collect()}
     assert c["Ann"].provider_record_id == "r1" and c["Ann"].mode == "discover" and "value" not in json.loads(c["Ann"].raw_json)
-    assert c["Bob"].provider_record_id.startswith("people:") and json.loads(c["Bob"].raw_json) == {"person": "Bob", "value": "3"}
+    assert c["Bob"].provider_record_id == "people:1" and json.loads(c["Bob"].raw_json) == {"person": "Bob", "value": "3"}
     (tmp_path / "feed.xml").write_text("<rss><channel><item><guid>g1</guid><title>T</title><link>https://a.example/1</link><description>D</description><pubDate>Mon, 05 Jan 2026 10:00:00 +0000</pubDate><category>Ann</category><category>Bob</category></item></channel></rss>")
     f = readers.read_feed(spark, str(tmp_path / "feed.xml"))
     r = f.first()
@@ -264,14 +265,21 @@ def test_sources(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, w string")
-    writers.publish(df, str(tmp_path / "t"))
-    assert writers.publish(df.limit(0), str(tmp_path / "t"), dry_run=True) == 0 and spark.read.parquet(str(tmp_path / "t")).count() == 2
+    t = str(tmp_path / "t")
+    assert writers.publish(df, t) == 2
+    before = writers.published(spark, t)
+    assert writers.publish(df.limit(0), t, dry_run=True) == 0 and writers.published(spark, t).count() == 2
+    assert writers.publish(df.union(df), t) == 4 and writers.published(spark, t).count() == 4
+    assert before.count() == 2  # readers of the version before go on reading it
+    with pytest.raises(Exception):
+        writers.publish(df.select(F.raise_error(F.lit("no"))), t)
+    writers.publish(df.limit(1), t)
+    assert writers.published(spark, t).count() == 1 and len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v")]) == 2
     for _ in range(2):
         writers.replace_partitions(df, str(tmp_path / "p"), ["w"])
     writers.replace_partitions(df.filter("k = 1"), str(tmp_path / "p"), ["w"])
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
     writers.append(df, str(tmp_path / "a"), ["w"])
-    assert [p.name for p in tmp_path.iterdir() if "staged" in p.name] == []
 
 
 def test_streams_equal_batches(spark, tmp_path):
@@ -285,6 +293,10 @@ def test_streams_equal_batches(spark, tmp_path):
     for _ in range(2):
         observations.append_new(observations.deduplicated(stream, ["person", "at"], "at"), str(tmp_path / "out"), ["person", "at"], str(tmp_path / f"cp{_}")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 30
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        observations.append_new(stream, str(tmp_path / "bad"), ["person", "at"], str(tmp_path / "cpbad")).awaitTermination(120)
 
 
 def test_visibility(spark):
@@ -322,3 +334,49 @@ def test_every_node_is_a_seed(spark, tmp_path):
     assert {r[0] for r in run("access_score")} == {f[1] for f in found}
     assert run("access_unknown") == {(len({f[1] for f in found if f[2] <= 2}),) * 2}
     assert run("or_edge_join") == {(2, 1, 2), (700, 2, 2), (900, 1, 2)}
+
+
+def test_merges_of_any_length(spark):
+    chain = [(f"p{i}", f"p{i + 1}" if i < 9 else None) for i in range(10)]
+    rows = [*chain, ("x", "y"), ("y", "x"), ("into_x", "x"), ("self", "self"), ("gone", "nobody"), (None, "p0"), ("p3", "p4")]
+    got = {r.person_id: r.live_id for r in resolve.live_ids(spark.createDataFrame(rows, "person_id string, merged_into_id string")).collect()}
+    assert all(got[f"p{i}"] == "p9" for i in range(10)) and got["self"] == "self" and got["gone"] == "nobody"
+    assert got["x"] == "x" and got["y"] == "y" and len(got) == 15
+    assert resolve.live_ids(spark.createDataFrame([], "person_id string, merged_into_id string")).count() == 0
+
+
+def test_places_without_one_task(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(100)], "id int, v int")
+    got = {r.id: r.place for r in ranking.placed(df, [F.desc("v"), F.asc("id")]).collect()}
+    want = sorted(range(100), key=lambda i: (-(i % 3), i))
+    assert [got[i] for i in want] == list(range(1, 101)) and ranking.placed(df.limit(0), [F.asc("id")]).count() == 0
+
+
+def test_near_pairs_are_counted(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), D0 + timedelta(days=rng.randint(0, 30))) for _ in range(80)] + [("a", None), (None, D0)]
+    want = {}
+    for i, (k, t) in enumerate(rows):
+        for k2, t2 in rows[:i]:
+            if t and t2 and k == k2 and abs((t - t2).days) <= 5:
+                want[k] = want.get(k, 0) + 1
+    got = {r.k: r.pairs for r in events.near_counts(spark.createDataFrame(rows, "k string, at timestamp"), ["k"], "at", 5).collect()}
+    assert got == want
+
+
+def test_end_and_restart_in_one_batch(spark):
+    jobs = spark.createDataFrame([("p", "o", date(2020, 1, 1), None, True), ("q", "o", date(2020, 1, 1), None, None)], "person_id string, organization_id string, started_at date, ended_at date, current boolean")
+    moves = spark.createDataFrame([("p", "o", date(2026, 1, 1))], "person_id string, organization_id string, at date")
+    back = moves.withColumn("at", F.lit("2026-02-01").cast("date"))
+    got = sorted((r.person_id, str(r.started_at), str(r.ended_at), r.current) for r in events.reconciled(jobs, moves, back).collect())
+    assert got == [("p", "2020-01-01", "2026-01-01", False), ("p", "2026-02-01", "None", True), ("q", "2020-01-01", "None", None)]
+
+
+def test_search_and_large_json(spark, tmp_path):
+    rules_ = [{"name": "a", "titles": ["x y", "z"], "geographies": ["Q"]}, {"name": "b", "titles": []}, {"name": "c", "active": False, "titles": ["x"]}]
+    assert readers.search_queries(rules_, "s.example") == {"a": "site:s.example ('x y' OR 'z') ('Q')"}
+    found = spark.createDataFrame([("https://a.example/1", "T", "C", None)], "url string, title string, content string, published string")
+    r = readers.search_drafts(found, "q", F.lit("Ann"), F.lit("2026-01-01").cast("timestamp")).first()
+    assert (r.provider_record_id, r.subject_hint, r.mode, r.raw_text, r.occurred_at) == ("https://a.example/1", "Ann", "discover", "T. C", datetime(2026, 1, 1))
+    (tmp_path / "l.json").write_text('{"provider_record_id": "1"}\nbroken\n{"provider_record_id": "2"}\n')
+    assert sorted(r.provider_record_id for r in readers.read_json(spark, str(tmp_path), lines=True).collect()) == ["1", "2"]

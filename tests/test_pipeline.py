@@ -14,15 +14,18 @@ DATA = "/root/testdata/sf0.01"
 def test_a_week_twice_is_the_same(spark):
     a, run = pipeline.weekly(spark, DATA, "2026-09-06")
     b, _ = pipeline.weekly(spark, DATA, "2026-09-06")
-    assert [s["stage"] for s in run.stages] == ["normalize_and_dedupe", "resolve_extract_detect", "features_and_scoring", "digest"] and run.log(spark).count() == 4
-    for name in a:
+    assert [s["stage"] for s in run.stages][:5] == ["source_health", "normalize_and_dedupe", "resolve_subjects", "extract", "resolve_extract_detect"] and run.log(spark).count() == 12
+    for name in ("observations", "attachments", "events", "candidates", "scores", "digest"):
         assert a[name].exceptAll(b[name]).count() == 0 == b[name].exceptAll(a[name]).count(), name
     scores = a["scores"]
-    assert 0 < scores.count() and scores.filter("score < 0 or score > 100 or rank < 1").count() == 0
+    assert {r.target for r in scores.select("target").distinct().collect()} == set(pipeline.TARGETS)
+    assert scores.filter("priority < 0 or priority > 100 or rank < 1 or confidence not between 0 and 1").count() == 0
     text = pipeline.render(a["digest"])
     assert text.startswith("## ") and pipeline.as_json(a["digest"]).startswith("[")
-    changes = pipeline.with_changes(scores, pipeline.weekly(spark, DATA, "2026-08-30")[0]["scores"])
-    assert changes.count() == scores.count() and changes.filter("score_change is not null").count() > 0
+    # The same week once more on what it stored has no new events and no change.
+    again, _ = pipeline.weekly(spark, DATA, "2026-09-06", a)
+    assert again["new_events"].count() == 0 and again["deltas"].filter("score_change <> 0 or rank_change <> 0").count() == 0
+    assert again["digest"].filter("section = 'important_departures'").count() == 0 < a["digest"].filter("section = 'important_departures'").count()
 
 
 def test_nothing_later_is_used(spark):
@@ -48,9 +51,20 @@ def test_texts_give_events(spark, tmp_path):
             made = made.select("*", *(at.alias(c) for c in ("occurred_at", "observed_at", "ingested_at")), F.lit("s").alias("source_id"), F.col("observation_id").alias("provider_record_id"), F.lit("2026-08-31").alias("batch_id"))
             t = made.select(*(F.col(c) if c in made.columns else F.lit(None).cast(t.schema[c].dataType).alias(c) for c in t.columns))
         t.write.parquet(f"{tmp_path}/{name}.parquet")
-    got, _ = pipeline.weekly(spark, str(tmp_path), "2026-09-06")
-    assert {(r.observation_id, r.event_type) for r in got["events"].collect()} == {("o1", "EMPLOYMENT_ENDED"), ("o2", "EMPLOYMENT_ENDED"), ("o3", "PATENT_FILED")}
-    assert {r.person_id for r in got["scores"].filter("score > 0").collect()} == {"a", "b"} and got["digest"].filter("section = 'departures'").count() == 2
+    w = pipeline.world
+    live = pipeline.resolve.live_ids(spark.createDataFrame([(p, None) for p in "abcde"], "person_id string, merged_into_id string"))
+    spark.createDataFrame([("s", "p", 1)], "source_id string, provider string, reliability_tier int").write.parquet(f"{tmp_path}/data_source.parquet")
+    at = F.lit("2026-09-06 23:59:59").cast("timestamp_ntz")
+    got = w.events_of(w.found(spark, str(tmp_path), w.visible(spark, str(tmp_path), at), live))
+    assert {(r.observation_id, r.event_type) for r in got.collect()} == {("o1", "EMPLOYMENT_ENDED"), ("o2", "EMPLOYMENT_ENDED"), ("o3", "PATENT_FILED"), ("o1", "PROFESSIONAL_DEPARTURE"), ("o2", "PROFESSIONAL_DEPARTURE")}
+
+
+def test_seven_types_fold_within_sixty_days_by_organisation(spark):
+    rows = [("o1", "EMPLOYMENT_ENDED", "Acme", 0), ("o2", "EMPLOYMENT_ENDED", "Acme", 30), ("o3", "EMPLOYMENT_ENDED", "Bolt", 31), ("o4", "EMPLOYMENT_ENDED", "Acme", 61), ("o5", "PATENT_FILED", None, 0), ("o6", "PATENT_FILED", None, 1), ("o7", "PATENT_FILED", None, 1)]
+    x = spark.createDataFrame(rows, "observation_id string, name string, organization string, n int").select("*", F.lit("event").alias("kind"), F.lit("p").alias("person_id"), F.expr("timestamp_ntz'2026-01-01' + make_dt_interval(n)").alias("at"), F.lit(0.8).alias("confidence"), F.lit(2).alias("tier"))
+    x = x.withColumn("ingested_at", F.col("at"))
+    got = {(r.observation_id, r.event_type) for r in pipeline.world.events_of(x).collect()}
+    assert got == {(o, t) for o in ("o1", "o3", "o4") for t in ("EMPLOYMENT_ENDED", "PROFESSIONAL_DEPARTURE")} | {("o5", "PATENT_FILED"), ("o6", "PATENT_FILED")}
 
 
 def test_guards():
@@ -77,12 +91,12 @@ def test_failing_stage_is_logged(spark):
 
 def test_banned_prose(spark):
     with pytest.raises(ValueError):
-        pipeline.render(spark.createDataFrame([("top", "p", "a compelling move")], "section string, person_id string, detail string"))
+        pipeline.render(spark.createDataFrame([("top", 1, "p", "P", "a compelling move")], "section string, place bigint, person_id string, person string, detail string"))
 
 
 def test_sampled_edges(spark):
     n = spark.range(50).select(F.col("id").alias("node"))
     have = spark.createDataFrame([(0, i) for i in range(1, 25)], "src bigint, dst bigint")
     e = pipeline.sampled_edges(n.filter("node < 5"), n, have, 4)
-    assert e.groupBy("src").count().filter("count > 4").count() == 0 and e.join(have, ["src", "dst"]).count() == 0 and e.filter("src = dst").count() == 0
+    assert [r["count"] for r in e.groupBy("src").count().collect()] == [4] * 5 and e.join(have, ["src", "dst"]).count() == 0 and e.filter("src = dst").count() == 0
     assert e.exceptAll(pipeline.sampled_edges(n.filter("node < 5"), n, have, 4)).count() == 0
