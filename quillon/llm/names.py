@@ -66,16 +66,30 @@ def grams(name: str, q: int = Q) -> set[str]:
     return {p[i : i + q] for w in parts(name) for p in [pad + looks(w) + pad] for i in range(len(p) - q + 1)}
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=500_000)
+def _letters(word: str) -> tuple[int, int]:
+    """The characters of a word, and of its form with lookalikes made equal, as bits."""
+    bits = lambda w: sum(1 << b for b in {ord(c) & 63 for c in w})
+    return bits(word), bits(looks(word))
+
+
 def word_similarity(a: str, b: str) -> float:
-    """1 for equal words, less for familiar forms, initials and typing errors, 0 for different words."""
+    """1 for equal words, less for familiar forms, initials and typing errors, 0 for different words.
+
+    An edit adds and takes away one kind of character at most, so words too different in their characters are told apart
+    without their distance.
+    """
     if a == b:
         return 1.0
     if (a, b) in _FAMILIAR or (b, a) in _FAMILIAR:
         return 0.95
-    short, long = sorted((a, b), key=len)
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
     if len(short) == 1:
         return 0.85 if long[0] == short else 0.0
+    edits = 2 if len(short) >= 5 else 1
+    (x, lx), (y, ly) = _letters(a), _letters(b)
+    if (x ^ y).bit_count() > 2 * edits and (lx ^ ly).bit_count() > 2 * (edits - 1):
+        return 0.0
     d = word_distance(a, b)
     if d == 1:
         return 0.9 if len(long) > 3 else 0.8
@@ -186,15 +200,15 @@ def candidates(left: DataFrame, right: DataFrame, least: float = LEAST_SIMILARIT
     return keyed(left).join(centers, ["band", "key"]).select("name", "center")
 
 
-#: Parts in which the centers that one name meets are gathered, compared and spread over tasks.
-PARTS = 16
+#: Centers that one row of gathered pairs holds, about, at most.
+ROW_CENTERS = 10_000
 
 
-def verified(pairs: DataFrame, accept: float = ACCEPT) -> DataFrame:
+def verified(pairs: DataFrame, centers: int, accept: float = ACCEPT) -> DataFrame:
     """(name, center, similarity) of candidate pairs at or above ``accept``, each once.
 
-    Pairs are folded to PARTS rows a name at most, partly before they shuffle, and then spread evenly over all tasks, so
-    neither a name that meets many centers nor small bytes make one task long.
+    Pairs are folded by name, partly before they shuffle, into as many rows as keep ROW_CENTERS of all ``centers`` to a row,
+    and then spread evenly over all tasks, so neither a name that meets many centers nor small bytes make one task long.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -204,7 +218,8 @@ def verified(pairs: DataFrame, accept: float = ACCEPT) -> DataFrame:
             out = [(n, c, s) for n, cs in zip(batch["name"], batch["centers"]) for c in cs if (s := similarity(n, c)) >= accept]
             yield pd.DataFrame(out, columns=["name", "center", "similarity"])
 
-    met = pairs.groupBy("name", F.pmod(F.xxhash64("center"), F.lit(PARTS)).alias("part")).agg(F.collect_set("center").alias("centers"))
+    part = F.pmod(F.xxhash64("center"), F.lit(centers // ROW_CENTERS + 1)).alias("part")
+    met = pairs.groupBy("name", part).agg(F.collect_set("center").alias("centers"))
     return spread(met, "name", "part").mapInPandas(run, "name string, center string, similarity double")
 
 
@@ -217,7 +232,7 @@ def link(spellings: DataFrame, centers: DataFrame, accept: float = ACCEPT, least
     """
     left = spellings.select("name").filter("name is not null").distinct()
     right = centers.select("name").filter("name is not null").distinct()
-    near = cut(verified(candidates(left, right, least, rows), accept))
+    near = cut(verified(candidates(left, right, least, rows), right.count(), accept))
     edges = near.filter("name <> center").select(F.col("name").alias("a"), F.col("center").alias("b"), "similarity")
     known = right.withColumn("given", F.lit(True))
     met = near.select("name").union(near.select("center")).distinct().join(known, "name", "left").select("name", F.coalesce("given", F.lit(False)).alias("given"), F.lit(0).alias("weight"))

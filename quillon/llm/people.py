@@ -184,7 +184,7 @@ def matches(spark: SparkSession, d: str, confidence: bool = True) -> DataFrame:
     space = Space(a, b)
     ea, eb = cut(evidence(left, a)), cut(evidence(right, b))
     made = named(space, left, right)
-    agreed = cut(verified(met_names(made, ea, eb).toDF("name", "center")).toDF("left_name", "right_name", "name_similarity"))
+    agreed = cut(verified(met_names(made, ea, eb).toDF("name", "center"), right.select("name").distinct().count()).toDF("left_name", "right_name", "name_similarity"))
     met = _of(ea, "left").join(agreed, "left_name").join(_of(eb, "right"), ["right_name", "attribute", "key"])
     count = lambda *kinds: F.sum(F.col("attribute").isin(*kinds).cast("int"))
     pairs = met.groupBy("left_record", "right_record").agg(F.max("name_similarity").alias("name_similarity"), count(*ADDRESSES).alias("addresses"), count("employer").alias("employers"))
