@@ -27,7 +27,7 @@ WINDOW, RATE = 3, 0.05
 #: Incident records of a token that are mixed in one task; hotter tokens are split at random.
 MIX = 2_000
 #: Hyperplane tables of a view that tolerates differences, and hyperplanes of a table at most.
-TABLES, MOST_BITS = 24, 32
+TABLES, MOST_BITS = 48, 32
 #: Right records that share a value and need no hyperplanes to be told apart.
 FEW = 8
 #: Pairs on which the confidence is fitted, at most.
