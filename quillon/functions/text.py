@@ -87,3 +87,19 @@ def titled_name(title: Column, url: Column, marker: str = "/in/") -> Column:
     words = F.split(head, r"\s+")
     good = F.size(words).between(2, 5) & F.forall(words, lambda w: w.rlike(r"^\p{Lu}[\p{L}.'’-]*$")) & url.contains(marker)
     return F.when(good, head)
+
+
+def label(code: Column) -> Column:
+    """A code as people read it: 'EMPLOYMENT_ENDED' as 'Employment ended'."""
+    words = F.lower(F.regexp_replace(code, "_+", " "))
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1_000_000))
+
+
+def truncated(c: Column, most: int = 80) -> Column:
+    """A text of at most ``most`` characters, cut ones ending in an ellipsis."""
+    return F.when(F.length(c) > most, F.concat(F.rtrim(F.substring(c, 1, most - 1)), F.lit("\u2026"))).otherwise(c)
+
+
+def age_bucket(days: Column) -> Column:
+    """How long ago: today, this week, this month, this year or earlier; null for an unknown age."""
+    return F.when(days < 1, "today").when(days < 7, "this week").when(days < 30, "this month").when(days < 365, "this year").when(days.isNotNull(), "earlier")

@@ -85,3 +85,13 @@ def content_hash(content_type: Column, subject: Column, url: Column, text: Colum
 def event_key(person: Column, event_type: Column, at: Column) -> Column:
     """Key under which an event counts once: person, type and day."""
     return F.sha1(F.concat_ws("|", person.cast("string"), event_type, F.coalesce(F.date_format(at, "yyyy-MM-dd"), F.lit("none"))).cast("binary"))
+
+
+def derived_key(person: Column, event_type: Column, at: Column) -> Column:
+    """Key of an event that follows from another, in plain text: person:type:day."""
+    return F.concat_ws(":", person.cast("string"), event_type, F.date_format(at, "yyyy-MM-dd"))
+
+
+def universe_key(target: Column, day: Column, name: Column) -> Column:
+    """Key of a ranking universe: its target, day and label."""
+    return F.concat_ws("|", target, day.cast("string"), name)

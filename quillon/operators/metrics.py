@@ -53,3 +53,26 @@ def distribution(df: DataFrame, group: list[str], value: str) -> DataFrame:
     low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
     by = run.groupBy(*group).agg(F.max("n").alias("n"), F.round(F.sum(v * F.col("c")) / F.sum("c"), 4).alias("mean"), F.round((at(low) + at(high)) / 2, 4).alias("median"), at(F.floor(0.9 * (F.col("n") - 1))).alias("p90"), F.max(value).alias("max"))
     return by
+
+
+def ranking_stats(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, n, mean, p50, p90, max) of a ranking; in descending order p50 stands at place n // 2 and p90 at place
+    int(n / 10) - 1, the first at least. Places are found by running counts over distinct values."""
+    v = F.col(value)
+    counts = df.filter(v.isNotNull()).groupBy(*group, value).agg(F.count("*").alias("c"))
+    down = Window.partitionBy(*group).orderBy(v.desc()).rowsBetween(Window.unboundedPreceding, 0)
+    run = counts.withColumn("upto", F.sum("c").over(down)).withColumn("n", F.sum("c").over(Window.partitionBy(*group)))
+    at = lambda place: F.max(F.when(F.col("upto") > place, v))
+    top = F.greatest(F.lit(0), F.floor(F.col("n") * 0.1) - 1)
+    return run.groupBy(*group).agg(F.max("n").alias("n"), F.round(F.sum(v * F.col("c")) / F.sum("c"), 2).alias("mean"), at(F.floor(F.col("n") / 2)).alias("p50"), at(top).alias("p90"), F.max(value).alias("max"))
+
+
+#: A fall of F1 that counts as a regression: fixed value.
+F1_FALL = 0.05
+
+
+def gate(now: DataFrame, stored: DataFrame, key: str, value: str, higher_is_better: bool = True, tolerance: float = F1_FALL) -> DataFrame:
+    """(key, before, now, regressed): measures against a stored baseline; a measure without one can't regress."""
+    both = now.select(key, F.col(value).alias("now")).join(stored.select(key, F.col(value).alias("before")), key, "left")
+    worse = F.col("now") < F.col("before") - tolerance if higher_is_better else F.col("now") > F.col("before") + tolerance
+    return both.select(key, "before", "now", F.coalesce(worse, F.lit(False)).alias("regressed"))

@@ -140,3 +140,22 @@ def decided(scores: DataFrame, rule_set: list[dict]) -> DataFrame:
     context = scores.withColumn("model_target", F.col("target"))
     action, reasons = rules.first_match(rule_set, context.columns)
     return context.select(*scores.columns, action.alias("action"), reasons.alias("reason_codes"))
+
+
+def contributions(scored_: DataFrame, model: Model) -> DataFrame:
+    """(person_id, dimension, feature, raw, normalized, weight, included, effective_weight, contribution) of the weighted
+    dimensions, from scored() rows: what each feature adds to its dimension's score of one. A feature that is left out adds
+    nothing and has no effective weight."""
+    normal = lambda n: F.col("normal").getField(n)
+    dims, rows = scoring.weighted(model), []
+    scored_ = scored_.select("*", *(scoring.present_weight(n, d, normal).alias(f"__present_{n}") for n, d in dims.items()))
+    for name, dim in dims.items():
+        present = F.col(f"__present_{name}")
+        for feature, spec in dim.features.items():
+            value = normal(f"{name}.{feature}")
+            share = F.when(value.isNotNull(), spec.weight / present).otherwise(0.0)
+            rows.append(F.struct(
+                F.lit(name).alias("dimension"), F.lit(feature).alias("feature"), F.col(feature).cast("string").alias("raw"), value.alias("normalized"), F.lit(spec.weight).alias("weight"), value.isNotNull().alias("included"),
+                scoring.rounded(share).alias("effective_weight"), scoring.rounded(F.coalesce(value, F.lit(0.0)) * share).alias("contribution"),
+            ))
+    return scored_.select("person_id", F.explode(F.array(*rows)).alias("c")).select("person_id", "c.*")
