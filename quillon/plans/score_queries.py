@@ -200,7 +200,7 @@ select count(*) as n, round(1 - 6 * sum((a - b) * (a - b)) / (count(*)::double *
 def spearman_rank(spark: SparkSession, d: str) -> DataFrame:
     """AGG-24, WIN-06: agreement of two rankings."""
     o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    c = table(spark, d, "customer").join(o, F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "c_acctbal", "n")
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal").join(o, F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "c_acctbal", "n")
     both = ranking.placed(ranking.placed(c, [F.desc("c_acctbal"), F.asc("c_custkey")], "a"), [F.desc("n"), F.asc("c_custkey")], "b")
     return metrics.spearman(both, "a", "b")
 
