@@ -274,31 +274,34 @@ def connector(thesis: dict | None, held: list[str]) -> Bundle:
     return Bundle(out, Facts().feeding())
 
 
-def talent(role: Column) -> Bundle:
-    """Features of a person for one role, a struct column; those apart from the role are the same for all roles."""
+def talent_person() -> Bundle:
+    """Features of a person that are the same for every role, the facts that feed them, and what the others read."""
     f = Facts()
-    functions = F.coalesce("functions", F.array().cast("array<string>"))
-    adjacent = F.coalesce(*(F.when(role["function"] == k, F.array(*(F.lit(v) for v in vs))) for k, vs in ADJACENT.items()), F.array().cast("array<string>"))
-    rank = F.coalesce("top_rank", F.lit(0))
-    words = F.lower(F.array_join(F.array_union(F.array(F.coalesce(f.text("HEADLINE_TEXT"), F.lit(""))), F.coalesce("names", F.array().cast("array<string>"))), " "))
-    wanted, stages = F.transform(role["domains"], F.lower), F.coalesce("stages", F.array().cast("array<string>"))
-    needs = F.transform(role["stages"], F.lower)
-    place = F.lower(f.text("LOCATION"))
-    within = lambda part: F.coalesce((part != "") & place.contains(F.lower(part)), F.lit(False))
+    none = F.array().cast("array<string>")
+    shared = {
+        "__functions": F.coalesce("functions", none), "__rank": F.coalesce("top_rank", F.lit(0)), "__stages": F.coalesce("stages", none), "__place": F.lower(f.text("LOCATION")),
+        "__words": F.lower(F.array_join(F.array_union(F.array(F.coalesce(f.text("HEADLINE_TEXT"), F.lit(""))), F.coalesce("names", none)), " ")),
+    }
     out = {
-        "function_alignment": F.when(F.size(functions) > 0, F.when(F.array_contains(functions, role["function"]), "exact").when(F.arrays_overlap(functions, adjacent), "adjacent").otherwise("none")),
+        "years_operating": F.col("years_operating"), "product_shipped": _or_false(f.flag("PRODUCT_SHIPPED")), "budget_ownership": _or_false(f.flag("BUDGET_OWNERSHIP")),
+        "org_built_team_size": f.number("TEAM_SIZE_MANAGED"), "promotions": F.coalesce(f.number("PROMOTION_COUNT"), F.lit(0.0)),
+    }
+    feeding = [(t, f.flag(t).isNotNull()) for t in ("PRODUCT_SHIPPED", "BUDGET_OWNERSHIP")] + [(t, f.number(t).isNotNull()) for t in ("TEAM_SIZE_MANAGED", "PROMOTION_COUNT")]
+    return Bundle(out, f.feeding(*feeding), shared)
+
+
+def talent_role(role: Column) -> dict[str, Column]:
+    """Features of a person for one role: a struct of role_id, function, rank, domains and stages in lower case, adjacent
+    functions, metro, country in lower case and remote_ok. Reads the shared columns of talent_person()."""
+    functions, rank, words, stages, place = (F.col(f"__{n}") for n in ("functions", "rank", "words", "stages", "place"))
+    within = lambda part: F.coalesce((part != "") & place.contains(part), F.lit(False))
+    return {
+        "function_alignment": F.when(F.size(functions) > 0, F.when(F.array_contains(functions, role["function"]), "exact").when(F.arrays_overlap(functions, role["adjacent"]), "adjacent").otherwise("none")),
         "seniority_distance": F.when(rank > 0, F.abs(role["rank"] - rank).cast("double")),
-        "domain_overlap": F.when(F.size(wanted) > 0, F.round(F.size(F.filter(wanted, lambda d: words.contains(d))) / F.size(wanted), 4)),
-        "stage_overlap": F.when(F.size(needs) > 0, F.when(F.arrays_overlap(needs, stages), "match").when(F.size(stages) > 0, "adjacent").otherwise("none")),
-        "years_operating": F.col("years_operating"),
-        "product_shipped": _or_false(f.flag("PRODUCT_SHIPPED")),
-        "budget_ownership": _or_false(f.flag("BUDGET_OWNERSHIP")),
-        "org_built_team_size": f.number("TEAM_SIZE_MANAGED"),
-        "promotions": F.coalesce(f.number("PROMOTION_COUNT"), F.lit(0.0)),
+        "domain_overlap": F.when(F.size(role["domains"]) > 0, F.round(F.size(F.filter(role["domains"], lambda d: words.contains(d))) / F.size(role["domains"]), 4)),
+        "stage_overlap": F.when(F.size(role["stages"]) > 0, F.when(F.arrays_overlap(role["stages"], stages), "match").when(F.size(stages) > 0, "adjacent").otherwise("none")),
         "location_alignment": F.when(place != "", F.when(role["remote_ok"], "remote_ok").when(within(role["metro"]), "same_metro").when(within(role["country"]), "same_country").otherwise("mismatch")),
     }
-    feeding = [(t, f.flag(t).isNotNull()) for t in ("PRODUCT_SHIPPED", "BUDGET_OWNERSHIP")] + [(t, f.number(t).isNotNull()) for t in ("TEAM_SIZE_MANAGED", "PROMOTION_COUNT")]
-    return Bundle(out, f.feeding(*feeding))
 
 
 #: Builders by model target; talent needs a role and is built by talent().

@@ -12,6 +12,7 @@ from quillon.operators import bundles, graph, ranking, rules, scoring
 from quillon.operators.bundles import World
 from quillon.operators.config import Model
 from quillon.operators.rules import SENIORITY
+from quillon.session import spread
 
 #: Roles matched within one row at once; more roles go in further blocks.
 ROLE_BLOCK = 500
@@ -96,33 +97,51 @@ def talent_scored(frame: DataFrame, world: World, model: Model, access: DataFram
     leaves the row, so no table of people by roles exists. Ties go to the least role_id.
     """
     blocks: list[list] = []
-    rank = F.coalesce(F.create_map(*(x for k, v in SENIORITY.items() for x in (F.lit(k), F.lit(v))))[F.lower("seniority")], F.lit(0))
-    roles = world.roles.select("role_id", "function", rank.alias("rank"), "domains", "stages", F.coalesce("metro", F.lit("")).alias("metro"), F.coalesce("country", F.lit("")).alias("country"), F.coalesce("remote_ok", F.lit(False)).alias("remote_ok"))
-    for r in roles.orderBy("role_id").toLocalIterator():
+    for r in world.roles.orderBy("role_id").toLocalIterator():
         if not blocks or len(blocks[-1]) == ROLE_BLOCK:
             blocks.append([])
-        blocks[-1].append(r.asDict())
+        low = lambda words: [w.lower() for w in words or [] if w is not None]
+        blocks[-1].append({
+            "role_id": r["role_id"], "function": r["function"], "rank": SENIORITY.get((r["seniority"] or "").lower(), 0), "domains": low(r["domains"]), "stages": low(r["stages"]),
+            "adjacent": list(bundles.ADJACENT.get(r["function"], ())), "metro": (r["metro"] or "").lower(), "country": (r["country"] or "").lower(), "remote_ok": bool(r["remote_ok"]),
+        })
     base = _access_joined(_timed(frame, bundles.signals(world, as_of), model), access, model)
-    kind = "array<struct<role_id:string,function:string,rank:int,domains:array<string>,stages:array<string>,metro:string,country:string,remote_ok:boolean>>"
+    kind = "array<struct<role_id:string,function:string,rank:int,domains:array<string>,stages:array<string>,adjacent:array<string>,metro:string,country:string,remote_ok:boolean>>"
+    own = bundles.talent_person()
     dims = scoring.weighted(model)
-    others = {n: d for n, d in model.dimensions.items() if n not in dims}
+    # What doesn't depend on the role is worked out once for each person.
+    fixed = {n: d for n, d in dims.items() if set(d.features) <= set(own.columns)}
+    varied = {n: d for n, d in dims.items() if n not in fixed}
+    ids = ("person_id", "canonical_name", "entity_resolution_status")
+    others = [n for n in model.dimensions if n not in dims]
+    base = base.select(*ids, *(f"dim_{n}" for n in others), *(c.alias(n) for n, c in own.shared.items()), *(c.alias(n) for n, c in own.columns.items()), own.feeding.alias("feeding"))
+    base = base.select("*", *(scoring.normal_value(F.col(f), spec).alias(f"__{n}.{f}") for n, d in fixed.items() for f, spec in d.features.items()))
+    column = lambda n: F.col(f"`__{n}`")
+    base = base.select("*", *(scoring.present_weight(n, d, column).alias(f"__present_{n}") for n, d in fixed.items()))
+    base = base.select("*", *(scoring.weighted_dimension(n, d, column, F.col(f"__present_{n}")).alias(f"dim_{n}") for n, d in fixed.items()), scoring._sum(F.col(f"__present_{n}") for n in fixed).alias("__fixed"))
+    # Few bytes and much work: every core should have its share.
+    base = spread(base, "person_id")
     best = None
     for block in blocks:
         held = F.from_json(F.lit(json.dumps(block)), kind)
-        raw = F.transform(held, lambda r: F.struct(r["role_id"].alias("role_id"), *(c.alias(n) for n, c in bundles.talent(r).columns.items())))
-        normal = F.transform(raw, lambda r: F.struct(r["role_id"].alias("role_id"), *(c.alias(n) for n, c in scoring.normal_columns(model, lambda f: r[f]).items())))
-        present = F.transform(normal, lambda r: F.struct(r.alias("r"), *(scoring.present_weight(n, d, r.getField).alias(n) for n, d in dims.items())))
+
+        def scores_of(r: Column) -> Column:
+            features = bundles.talent_role(r)
+            return F.struct(r["role_id"].alias("role_id"), *(scoring.normal_value(features[f], spec).alias(f"{n}.{f}") for n, d in varied.items() for f, spec in d.features.items()))
+
+        normal = F.transform(held, scores_of)
+        present = F.transform(normal, lambda r: F.struct(r.alias("r"), *(scoring.present_weight(n, d, r.getField).alias(n) for n, d in varied.items())))
         scores = F.transform(present, lambda p: F.struct(
-            p["r"]["role_id"].alias("role_id"), *(scoring.weighted_dimension(n, d, p["r"].getField, p[n]).alias(f"dim_{n}") for n, d in dims.items()), scoring._sum(p[n] for n in dims).alias("present"),
+            p["r"]["role_id"].alias("role_id"), *(scoring.weighted_dimension(n, d, p["r"].getField, p[n]).alias(f"dim_{n}") for n, d in varied.items()), scoring._sum(p[n] for n in varied).alias("present"),
         ))
-        total = lambda s: priority(model, lambda c: F.col(c) if c.removeprefix("dim_") in others else s[c])
+        total = lambda s: priority(model, lambda c: s[c] if c.removeprefix("dim_") in varied else F.col(c))
         found = F.array_min(F.transform(scores, lambda s: F.struct((-total(s)).alias("worse"), s["role_id"].alias("role_id"), s.alias("s"))))
         best = found if best is None else F.least(best, found)
     if best is None:
-        best = F.lit(None).cast("struct<worse:double,role_id:string,s:struct<role_id:string," + ",".join(f"dim_{n}:double" for n in dims) + ",present:double>>")
-    feeding = bundles.talent(F.from_json(F.lit("{}"), kind.removeprefix("array<").removesuffix(">"))).feeding
-    chosen = base.select("person_id", "canonical_name", "entity_resolution_status", *(f"dim_{n}" for n in others), best.alias("__best"), feeding.alias("feeding")).filter("__best is not null")
-    wide = chosen.select("*", "__best.role_id", *(F.col(f"__best.s.dim_{n}").alias(f"dim_{n}") for n in dims), "__best.s.present").drop("__best")
+        best = F.lit(None).cast("struct<worse:double,role_id:string,s:struct<role_id:string," + ",".join(f"dim_{n}:double" for n in varied) + ",present:double>>")
+    # With roles everybody has a best one; a filter on it would have all roles matched twice.
+    chosen = (base if blocks else base.limit(0)).select("*", best.alias("__best"))
+    wide = chosen.select(*ids, "feeding", *own.columns, *(f"dim_{n}" for n in [*others, *fixed]), "__best.role_id", *(F.col(f"__best.s.dim_{n}").alias(f"dim_{n}") for n in varied), (F.col("__fixed") + F.col("__best.s.present")).alias("present"))
     return _projected(wide, model, as_of)
 
 
