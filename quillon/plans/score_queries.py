@@ -9,7 +9,7 @@ from quillon.functions import numbers, text
 from quillon.operators import features, metrics, ranking, rules, scoring
 from quillon.plans.event_queries import PROFILE_PAIRS_SQL, profile_pairs
 from quillon.plans.registry import Book
-from quillon.session import table
+from quillon.session import broadcast_if_small, cut, table
 
 BOOK = Book()
 query = BOOK.query
@@ -152,16 +152,16 @@ select c_custkey, p_partkey, score from s qualify row_number() over (partition b
 def role_match_best(spark: SparkSession, d: str) -> DataFrame:
     """AGG-15: the best open role of each person.
 
-    The open roles are a short list whose size is checked; each person meets them in an array within the row.
+    A score knows of a role its size and the first letter of its type, of a person the nation and the first letter of the
+    segment: kinds of people meet kinds of roles, and the least key stands for a kind of role.
     """
-    roles = table(spark, d, "part").filter("p_brand = 'Brand#11' and p_size <= 12").select("p_partkey", "p_size", "p_type").limit(10_001).collect()
-    if len(roles) > 10_000:
-        raise ValueError("too many open roles for one row")
-    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    choices = F.from_json(F.lit("[" + ",".join(f'{{"p_partkey":{r[0]},"p_size":{r[1]},"t":"{r[2][:1]}"}}' for r in roles) + "]"), "array<struct<p_partkey:bigint,p_size:int,t:string>>")
-    score = lambda r: F.round(F.greatest(F.lit(0.0), 1 - F.abs(F.col("c_nationkey") - r["p_size"]) / 10.0) + F.when(F.substring("c_mktsegment", 1, 1) == r["t"], 0.5).otherwise(0.0), 4)
-    best = F.array_min(F.transform(choices, lambda r: F.struct((-score(r)).alias("s"), r["p_partkey"].alias("p"))))
-    return c.select("c_custkey", best.alias("b")).filter("b is not null").select("c_custkey", F.col("b.p").alias("p_partkey"), (-F.col("b.s")).alias("score"))
+    roles = table(spark, d, "part").filter("p_brand = 'Brand#11' and p_size <= 12").groupBy("p_size", F.substring("p_type", 1, 1).alias("t")).agg(F.min("p_partkey").alias("p"))
+    people = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.substring("c_mktsegment", 1, 1).alias("m"))
+    score = F.round(F.greatest(F.lit(0.0), 1 - F.abs(F.col("c_nationkey") - F.col("p_size")) / 10.0) + F.when(F.col("m") == F.col("t"), 0.5).otherwise(0.0), 4)
+    first = F.struct((-score).alias("s"), F.col("p").isNull().alias("none"), "p")
+    best = people.select("c_nationkey", "m").distinct().crossJoin(broadcast_if_small(cut(roles))).groupBy(F.col("c_nationkey").alias("nation"), F.col("m").alias("letter")).agg(F.min(first).alias("b"))
+    matched = people.join(best, F.col("c_nationkey").eqNullSafe(F.col("nation")) & F.col("m").eqNullSafe(F.col("letter")))
+    return matched.groupBy("c_custkey").agg(F.min("b").alias("b")).select("c_custkey", F.col("b.p").alias("p_partkey"), (-F.col("b.s")).alias("score"))
 
 
 @query("""with q as (select vec_id as query_id, embedding as qe from embeddings where vec_id % 50 = 0),

@@ -7,6 +7,7 @@ import math
 import random
 from datetime import date, datetime, timedelta
 
+import parity
 import pytest
 from pyspark.sql import functions as F
 
@@ -380,3 +381,16 @@ def test_search_and_large_json(spark, tmp_path):
     assert (r.provider_record_id, r.subject_hint, r.mode, r.raw_text, r.occurred_at) == ("https://a.example/1", "Ann", "discover", "T. C", datetime(2026, 1, 1))
     (tmp_path / "l.json").write_text('{"provider_record_id": "1"}\nbroken\n{"provider_record_id": "2"}\n')
     assert sorted(r.provider_record_id for r in readers.read_json(spark, str(tmp_path), lines=True).collect()) == ["1", "2"]
+
+
+def test_any_number_of_roles(spark, tmp_path):
+    """More roles than a row could hold, and odd rows on both sides, against SQL."""
+    from quillon.plans import reference_queries
+
+    roles = [(i, "Brand#11", f"{'ABCé'[i % 4]}x", i % 15 - 2) for i in range(20_000)]
+    roles += [(-1, "Brand#12", "Bx", 1), (None, "Brand#11", "Zx", 9), (30_000, "Brand#11", None, 10), (-5, "Brand#11", '"', 11), (-6, "Brand#11", "", 12), (-7, "Brand#11", "A", None), (-8, None, "A", 1)]
+    people = [(i, i % 25, "ABCZé"[i % 5] + "y") for i in range(40)] + [(7, 3, "Cy"), (50, None, "Ay"), (51, 4, None), (52, None, None), (53, 9, "Zy"), (54, 11, '"'), (55, 12, ""), (None, 1, "Ay"), (56, 40, "Qy")]
+    write = lambda rows, kinds, name: spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/{name}.parquet")
+    write(roles, "p_partkey bigint, p_brand string, p_type string, p_size int", "part")
+    write(people, "c_custkey bigint, c_nationkey int, c_mktsegment string", "customer")
+    assert parity.compare(spark, parity.duck(str(tmp_path)), reference_queries.QUERIES["role_match_best"], reference_queries.SQL["role_match_best"], str(tmp_path)) == ""
