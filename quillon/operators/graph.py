@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.numbers import clip, days_between
 from quillon.functions.numbers import lookup as numbers_lookup
+from quillon.session import cut
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -49,6 +50,51 @@ def paths(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
     return out.select("seed", "target", "hops", "first_hop", "weakest", "verified", mean.alias("confidence"), "path")
 
 
+def routes(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(first_hop, target, hops, paths, weakest): of how many seeds a path of up to three hops leads by a first hop to a target.
+
+    The paths are those of paths(), but counted and not listed: a hub of n neighbours alone would have n² of two hops. edges:
+    src, dst, strength (few ranks), each in both directions; parallel edges are paths of one hop each, one edge further on; a
+    loop counts as a first and as a last step. seeds: node. weakest is that of the strongest path, null at three hops.
+
+    Seeds of a first hop are its neighbours, so two hops are counted by edge. At three hops all seeds of the first hop count
+    but the target and those for which every middle node is blocked, being the seed or its neighbour. Listed are the pairs of
+    edges behind first hops, at the cost of the middle nodes' squared degrees.
+    """
+    s = cut(seeds.select("node").filter("node is not null").distinct())
+    u = cut(edges.select("src", "dst", "strength"))
+    one = u.join(s, F.col("src") == F.col("node"), "left_semi").groupBy(F.col("dst").alias("first_hop")).agg(F.count("*").alias("paths"), F.max("strength").alias("weakest"))
+    e = cut(u.filter("src is not null and dst is not null").groupBy("src", "dst").agg(F.max("strength").alias("strength")))
+    start = e.join(s, F.col("src") == F.col("node"), "left_semi").select(F.col("src").alias("seed"), F.col("dst").alias("first_hop"), "strength")
+    levels = F.sort_array(F.collect_list(F.struct("strength", "n")), False)
+    by = start.groupBy("first_hop", "strength").agg(F.count("*").alias("n")).groupBy("first_hop").agg(F.sum("n").alias("seeds"), levels.alias("levels"))
+    ahead = e.filter("src <> dst").select(F.col("src").alias("first_hop"), F.col("dst").alias("target"), "strength")
+    # The target may be a seed of the hop before it, over the same edge.
+    own = F.col("node").isNotNull()
+    alone = own & (F.col("levels")[0]["strength"] == F.col("strength")) & (F.col("levels")[0]["n"] == 1)
+    before = F.when(alone, F.get("levels", F.lit(1))["strength"]).otherwise(F.col("levels")[0]["strength"])
+    two = ahead.join(by, "first_hop").join(s, F.col("target") == F.col("node"), "left")
+    two = two.select("first_hop", "target", (F.col("seeds") - own.cast("bigint")).alias("paths"), F.least("strength", before).alias("weakest"))
+
+    near = start.filter("seed <> first_hop").select("seed", "first_hop")
+    firsts = near.groupBy("first_hop").agg(F.count("*").alias("seeds"))
+    last = e.select(F.col("src").alias("mid"), F.col("dst").alias("target"))
+    middle = ahead.select("first_hop", F.col("target").alias("mid")).join(firsts.select("first_hop"), "first_hop", "left_semi")
+    pairs = middle.join(last, "mid").filter("target <> first_hop").select("first_hop", "mid", "target")
+    known = pairs.filter("target <> mid").join(near, (near["first_hop"] == pairs["first_hop"]) & (F.col("seed") == F.col("target"))).select("seed", pairs["first_hop"], "mid")
+    blocked = near.select("seed", "first_hop", F.col("seed").alias("mid")).unionByName(known)
+    through = pairs.groupBy("first_hop", "target").agg(F.count("*").alias("mids"))
+    barred = blocked.join(last, "mid").filter("target <> first_hop and target <> seed").groupBy("seed", "first_hop", "target").agg(F.count("*").alias("n"))
+    barred = barred.join(through, ["first_hop", "target"]).filter("n = mids").groupBy("first_hop", "target").agg(F.count("*").alias("barred"))
+    three = through.join(firsts, "first_hop").join(near.select("first_hop", F.col("seed").alias("target"), F.lit(1).alias("own")), ["first_hop", "target"], "left").join(barred, ["first_hop", "target"], "left")
+    left = F.col("seeds") - F.coalesce("own", F.lit(0)) - F.coalesce("barred", F.lit(0))
+    three = three.select("first_hop", "target", left.alias("paths"), F.lit(None).cast(e.schema["strength"].dataType).alias("weakest"))
+
+    one = one.withColumn("target", F.col("first_hop"))
+    parts = [x.filter("paths > 0").select("first_hop", "target", F.lit(n).alias("hops"), "paths", "weakest") for n, x in ((1, one), (2, two), (3, three))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def access(found: DataFrame, base: Column, bonus: float = 4.0, most_bonus: float = 8.0, as_of: Column | None = None, stale_after: float = 365.0, per_month: float = 4.0, most_penalty: float = 15.0, floor: float = 0.5) -> DataFrame:
     """(target, hops, base, routes, score, path) of the best path to each target.
 

@@ -394,3 +394,20 @@ def test_any_number_of_roles(spark, tmp_path):
     write(roles, "p_partkey bigint, p_brand string, p_type string, p_size int", "part")
     write(people, "c_custkey bigint, c_nationkey int, c_mktsegment string", "customer")
     assert parity.compare(spark, parity.duck(str(tmp_path)), reference_queries.QUERIES["role_match_best"], reference_queries.SQL["role_match_best"], str(tmp_path)) == ""
+
+
+def test_paths_are_counted(spark, tmp_path):
+    """Numbers of paths of graphs with triangles, loops, parallel edges and unknown ends, against SQL."""
+    from quillon.plans import reference_queries
+
+    rng = random.Random(7)
+    for i, (users, items, n) in enumerate(((8, 8, 20), (30, 10, 45), (4, 12, 25), (40, 3, 60))):
+        # Some users have the id of an item.
+        ids = [rng.choice([u, 10**6 + u]) for u in range(users)]
+        rows = [(rng.choice(ids), "purchase", rng.choice([90.0, 120.0, 160.0]), D0, f'{{"k": {rng.randrange(items)}}}') for _ in range(n)]
+        rows += [(10**6 + 1, "purchase", 90.0, D0, '{"k": 1}'), (10**6 + 2, "purchase", 160.0, D0, '{"k": 3}'), (10**6 + 3, "purchase", 90.0, D0, '{"k": 2}')]
+        rows += [(None, "purchase", 90.0, D0, '{"k": 0}'), (ids[0], "purchase", 90.0, D0, None), (ids[1], "purchase", 90.0, D0, "{}"), (77, "view", 1.0, D0, "{}"), (ids[2], "purchase", None, D0, '{"k": 0}')]
+        d = f"{tmp_path}/{i}"
+        spark.createDataFrame(rows, "user_id bigint, event_type string, value double, ts timestamp_ntz, props string").write.parquet(f"{d}/events.parquet")
+        for q in ("access_paths",):
+            assert parity.compare(spark, parity.duck(d), reference_queries.QUERIES[q], reference_queries.SQL[q], d) == "", (i, q)
